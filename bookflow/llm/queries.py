@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, mixing, sharding
+from bookflow.llm import decontamination, mixing, secrets, sharding, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,13 @@ ORACLES["op5_raking_mix"] = mixing.oracle()
 @query
 def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.audio(documents(spark, sf_dir), keep_pcm=False)
+
+
+@query
+def op8_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir)).drop("findings")
