@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, mixing, secrets, sharding, telephony
+from bookflow.llm import decontamination, html, mixing, secrets, sharding, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir)).drop("findings")
+
+
+@query
+def op1_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
