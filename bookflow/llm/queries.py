@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, html, mixing, secrets, sharding, telephony
+from bookflow.llm import decontamination, html, mixing, near_dups, secrets, sharding, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op8_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
