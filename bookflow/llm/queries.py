@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, html, mixing, near_dups, secrets, sharding, telephony
+from bookflow.llm import decontamination, html, mixing, near_dups, quality, secrets, sharding, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op1_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
+@query
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.scored(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
