@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, html, mixing, near_dups, quality, secrets, sharding, telephony
+from bookflow.llm import decontamination, html, mixing, near_dups, quality, secrets, sharding, suffixes, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.scored(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op2_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(documents(spark, sf_dir), keep_text=False)
