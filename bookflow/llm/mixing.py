@@ -110,6 +110,17 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
 
 
+def fitted_cells(rows: DataFrame, keep: float, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, int]:
+    """The cells with weight and probability, and their number."""
+    cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mixing-cells")
+    aimed = cells
+    for d in DIMENSIONS:
+        given = (targets or {}).get(d)
+        to = tempered(cells, d, TEMPER[d]) if given is None else given.toDF(d, f"to_{d}")
+        aimed = aimed.join(to, d, "left").withColumn(f"to_{d}", F.coalesce(F.col(f"to_{d}"), F.lit(0.0)))
+    return calibrated(rake(stored(aimed, "mixing-targets")), keep).select(*DIMENSIONS, "weight", "probability"), cells.count()
+
+
 def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Column | None = None) -> DataFrame:
     """Sample documents so that the kept tokens follow target shares of source, language and topic.
 
@@ -123,18 +134,25 @@ def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | Non
     * an empty table gives no rows; other columns of the input are ignored
     """
     rows = measured(docs, seed, topic)
-    cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mixing-cells")
-    aimed = cells
-    for d in DIMENSIONS:
-        given = (targets or {}).get(d)
-        to = tempered(cells, d, TEMPER[d]) if given is None else given.toDF(d, f"to_{d}")
-        aimed = aimed.join(to, d, "left").withColumn(f"to_{d}", F.coalesce(F.col(f"to_{d}"), F.lit(0.0)))
-    fitted = calibrated(rake(stored(aimed, "mixing-targets")), keep)
-    table = fitted.select(*DIMENSIONS, "weight", "probability")
-    return (
-        rows.join(small_or_not(table, cells.count()), list(DIMENSIONS))
-        .select("doc_id", "tokens", *DIMENSIONS, F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), (F.col("draw") < F.col("probability")).alias("kept"))
-    )
+    table, n = fitted_cells(rows, keep, targets)
+    return rows.join(small_or_not(table, n), list(DIMENSIONS)).select(
+        "doc_id", "tokens", *DIMENSIONS, F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), (F.col("draw") < F.col("probability")).alias("kept")
+    )
+
+
+def sampled(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Column | None = None) -> DataFrame:
+    """The rows that `mix` keeps, with all their columns."""
+    table, n = fitted_cells(measured(docs, seed, topic), keep, targets)
+    table = table.select(*[F.col(d).alias(f"__mix_{d}") for d in DIMENSIONS], F.col("probability").alias("__mix_p"))
+    label = {
+        "source": F.coalesce(docs["source"].cast("string"), F.lit(NONE)),
+        "lang": F.coalesce(docs["lang"].cast("string"), F.lit(NONE)),
+        "topic": topic_of(docs["text"]) if topic is None else topic,
+    }
+    rows = docs.withColumns({f"__own_{d}": c for d, c in label.items()})
+    same = [F.col(f"__own_{d}") == F.col(f"__mix_{d}") for d in DIMENSIONS]
+    kept = rows.join(small_or_not(table, n), same).filter(unit_interval(docs["doc_id"], docs["text"], seed) < F.col("__mix_p"))
+    return kept.select(*[docs[c] for c in docs.columns])
 
 
 def oracle(keep: float = KEEP, seed: int = 17) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, html, mixing, near_dups, quality, secrets, sharding, suffixes, telephony
+from bookflow.llm import decontamination, html, lines, mixing, near_dups, quality, secrets, sharding, suffixes, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(documents(spark, sf_dir), keep_text=False)
+
+
+@query
+def op10_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir))
+
+
+ORACLES["op10_deletion_lines"] = lines.ORACLE
