@@ -36,7 +36,7 @@ def time_grid(df: DataFrame, freq: str, session: Sequence[str] = SESSION) -> Dat
     step = micros(freq)
     us = micros_of(F.col("timestamp"))
     ends = df.groupBy(*session).agg(ceil_to(F.min(us), step).alias("__from"), floor_to(F.max(us), step).alias("__to")).filter("__from <= __to")
-    return ends.select(*session, time_of(F.explode(F.sequence("__from", "__to", F.lit(step)))).alias("timestamp"))
+    return ends.select(*session, F.explode(F.sequence("__from", "__to", F.lit(step))).alias("__at")).select(*session, time_of(F.col("__at")).alias("timestamp"))
 
 
 def resample_books(df: DataFrame, freq: str, session: Sequence[str] = SESSION) -> DataFrame:
