@@ -103,17 +103,29 @@ def _half_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _taker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of the asked lines, with single spaces between words."""
+    """Text of the asked lines. Rows that share an id are told apart by the line's hash."""
     for batch in batches:
         out = {"h": [], "doc": [], "line": [], "words": []}
         for doc, text, asked in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             lines = (text or "").split("\n")
             for x in asked:
+                if x["line"] >= len(lines):
+                    continue
                 out["h"].append(x["h"])
                 out["doc"].append(doc)
                 out["line"].append(x["line"])
                 out["words"].append(lines[x["line"]])
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("words", pa.string())]))
+        taken = pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("words", pa.string())]))
+        if len(taken):
+            yield taken.filter(pa.array(line_hashes(*text_bytes(taken.column("words"))) == np.asarray(taken.column("h"), dtype=np.int64)))
+
+
+def line_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The hash of the words of each line of a batch."""
+    a, z, row = word_ranges(data, bounds)
+    words = RangeHash(data).of(a, z) if len(a) else np.zeros(0, np.uint64)
+    first = np.searchsorted(row, np.arange(len(bounds)))
+    return WordHash(words).of(first[:-1], first[1:]).view(np.int64)
 
 
 def variants(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
