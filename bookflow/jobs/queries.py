@@ -57,11 +57,27 @@ def _r(expr: str, name: str, digits: int = 9) -> str:
 
 # ---- stages over the fixtures ----
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
+
+def kept(stage: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Persist a stage that many queries start from, once for each session and folder; lost parts are computed again."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, stage.__name__)
+        if key not in _KEPT:
+            _KEPT[key] = stage(spark, sf_dir).persist()
+        return _KEPT[key]
+
+    return get
+
+
+@kept
 def good_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_books(raw_books(spark, sf_dir), LEVELS, BY_SYMBOL)
 
 
+@kept
 def good_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_trades(raw_trades(spark, sf_dir), good_books(spark, sf_dir), BY_SYMBOL)
 
@@ -70,6 +86,7 @@ def aligned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.resample_and_align(good_books(spark, sf_dir), good_trades(spark, sf_dir), CONFIG)
 
 
+@kept
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.build_features(aligned_table(spark, sf_dir), CONFIG)
 
@@ -539,6 +556,7 @@ bt AS MATERIALIZED (SELECT *, (position <> lag(position, 1, 0) OVER (PARTITION B
 _RECURSIVE = f"WITH RECURSIVE {O.TO_FEATURES}, {_HELD}"
 
 
+@kept
 def _bt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.backtest(predictions(spark, sf_dir), H, CONFIG.steps(H))
 

@@ -77,12 +77,15 @@ def by_scenario(bt: DataFrame, scenarios: Sequence[str], keys: Sequence[str] = K
     return bt.select(*keys, "timestamp", "position", "traded", F.inline(F.array(*cells)))
 
 
-def equity_curve(returns: DataFrame, keys: Sequence[str] = (*KEYS, "cost_scenario")) -> DataFrame:
+def equity_curve(returns: DataFrame, keys: Sequence[str] = (*KEYS, "cost_scenario"), by_day: bool = False) -> DataFrame:
     """Adds cum: the running sum of returns, NULL as 0.
 
-    Days are summed first; a window then holds one day of one key, and the sums
-    of the days before are added.
+    by_day, for long histories: days are summed first; a window then holds one
+    day of one key, and the sums of the days before are added.
     """
+    if not by_day:
+        w = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+        return returns.withColumn("cum", F.sum(F.coalesce("ret", F.lit(0.0))).over(w))
     dated = returns.withColumn("__day", F.to_date("timestamp")).withColumn("__r", F.coalesce("ret", F.lit(0.0)))
     days = dated.groupBy(*keys, "__day").agg(F.sum("__r").alias("__s"))
     w = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,26 +94,30 @@ def equity_curve(returns: DataFrame, keys: Sequence[str] = (*KEYS, "cost_scenari
     return dated.withColumn("__in", inside).join(carried, [*keys, "__day"]).withColumn("cum", F.col("__before") + F.col("__in")).drop("__day", "__r", "__in", "__before")
 
 
-def drawdown(curve: DataFrame, mode: str = "backtest", keys: Sequence[str] = (*KEYS, "cost_scenario")) -> DataFrame:
+def drawdown(curve: DataFrame, mode: str = "backtest", keys: Sequence[str] = (*KEYS, "cost_scenario"), by_day: bool = False) -> DataFrame:
     """Adds peak and drawdown of cum. "backtest" divides by the peak's size and gives 0 at peak 0; "metric" divides by the signed peak, by 1 at peak 0.
 
-    As equity_curve, a window holds one day; the maxima of the days before are carried in.
+    by_day as in equity_curve; the maxima of the days before are carried in.
     """
-    dated = curve.withColumn("__day", F.to_date("timestamp"))
-    days = dated.groupBy(*keys, "__day").agg(F.max("cum").alias("__m"))
-    w = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(*keys, "__day", F.max("__m").over(w).alias("__before"))
-    inside = F.max("cum").over(Window.partitionBy(*keys, "__day").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0))
-    out = dated.withColumn("__in", inside).join(carried, [*keys, "__day"]).withColumn("peak", F.greatest("__in", "__before"))
+    if by_day:
+        dated = curve.withColumn("__day", F.to_date("timestamp"))
+        days = dated.groupBy(*keys, "__day").agg(F.max("cum").alias("__m"))
+        w = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+        carried = days.select(*keys, "__day", F.max("__m").over(w).alias("__before"))
+        inside = F.max("cum").over(Window.partitionBy(*keys, "__day").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0))
+        out = dated.withColumn("__in", inside).join(carried, [*keys, "__day"]).withColumn("peak", F.greatest("__in", "__before")).drop("__day", "__in", "__before")
+    else:
+        w = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+        out = curve.withColumn("peak", F.max("cum").over(w))
     gap = F.col("cum") - F.col("peak")
     value = F.when(F.col("peak") != 0, gap / F.abs("peak")).otherwise(0.0) if mode == "backtest" else gap / F.when(F.col("peak") != 0, F.col("peak")).otherwise(1.0)
-    return out.withColumn("drawdown", value).drop("__day", "__in", "__before")
+    return out.withColumn("drawdown", value)
 
 
-def backtest_summary(bt: DataFrame, scenarios: Sequence[str] = tuple(SCENARIOS), keys: Sequence[str] = KEYS) -> DataFrame:
+def backtest_summary(bt: DataFrame, scenarios: Sequence[str] = tuple(SCENARIOS), keys: Sequence[str] = KEYS, by_day: bool = False) -> DataFrame:
     """Profit, mean active return, Sharpe ratio, hit rate, drawdown, trades and active rows of each scenario."""
     by = [*keys, "cost_scenario"]
-    curve = drawdown(equity_curve(by_scenario(bt, scenarios, keys), by), "backtest", by)
+    curve = drawdown(equity_curve(by_scenario(bt, scenarios, keys), by, by_day), "backtest", by, by_day)
     active = F.when((F.col("position") != 0) & F.col("ret").isNotNull(), F.col("ret"))
     sd = F.stddev_pop(active)
     return curve.groupBy(*by).agg(
