@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, html, lines, mixing, near_dups, quality, secrets, sharding, suffixes, telephony
+from bookflow.llm import decontamination, html, lines, mixing, near_dups, oracles, quality, secrets, sharding, suffixes, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,6 @@ def op10_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_deletion_lines"] = lines.ORACLE
+
+
+ORACLES |= {"op2_previous_factors": oracles.SUFFIXES, "op3_tensored_minhash": oracles.NEAR_DUPS, "op4_template_leaks": oracles.LEAKS}
