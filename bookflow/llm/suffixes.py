@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import stored
+from bookflow.llm.common import bounded_batches, release_memory, stored
 from bookflow.llm.kernels import RangeHash, passes, text_bytes
 
 LENGTH = 50
@@ -40,9 +40,11 @@ WINDOW = LENGTH - KMER + 1
 #: Bits of a key that come from the strip; the others come from the anchor.
 STRIP_BITS = 36
 #: Keys that one bucket's task sorts, about, and bytes of text for each key.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 700_000
 BYTES_PER_KEY = 16
-PASS = 1 << 20
+PASS = 1 << 18
+#: Bytes of text whose keys one task packs at a time.
+PACK_BYTES = 1 << 24
 LAST = np.iinfo(np.int64).max
 
 
@@ -100,28 +102,39 @@ def batch_strips(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, St
 
 def _packer(buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, size, n = [], [], 0, 0
         for batch in batches:
-            ids = np.asarray(batch.column("doc"), dtype=np.int64)
-            found = [(first + s.row, s.key, s.spread) for first, s in batch_strips(*text_bytes(batch.column("text")))]
-            row, key, spread = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(3))
-            if not len(key):
-                continue
-            docs, place = np.unique(ids, return_inverse=True)
-            place = place[row.astype(np.int64)].astype(np.uint32)
-            bucket = (spread * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.lexsort((place, key, bucket))
-            bucket, key, place = bucket[order], key[order], place[order]
-            same = np.zeros(len(key), bool)
-            same[1:] = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
-            head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-            later = place != place[head]
-            rows = []
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                one, rest = ~same[x:y], later[x:y]
-                rows.append((int(bucket[x]), docs.tobytes(), key[x:y][one].tobytes(), place[x:y][one].tobytes(), key[x:y][rest].tobytes(), place[x:y][rest].tobytes()))
-            kinds = [pa.int32(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "docs", "keys", "places", "later", "later_places"])
+            data, bounds = text_bytes(batch.column("text"))
+            held += [((n + first + s.row).astype(np.int32), s.key, s.spread.astype(np.uint32)) for first, s in batch_strips(data, bounds)]
+            ids.append(np.array(batch.column("doc"), dtype=np.int64))
+            size, n = size + len(data), n + len(bounds) - 1
+            if size >= PACK_BYTES:
+                yield from pack_part(held, np.concatenate(ids))
+                held, ids, size, n = [], [], 0, 0
+                release_memory()
+        if ids:
+            yield from pack_part(held, np.concatenate(ids))
+
+    def pack_part(held: list[tuple[np.ndarray, ...]], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, key, spread = (np.concatenate([f[k] for f in held]) if held else np.zeros(0, np.uint64) for k in range(3))
+        if not len(key):
+            return
+        docs, place = np.unique(ids, return_inverse=True)
+        place = place[row].astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
+        bucket = (spread.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.lexsort((place, key, bucket))
+        bucket, key, place = bucket[order], key[order], place[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
+        head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+        later = place != place[head]
+        rows = []
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            one, rest = ~same[x:y], later[x:y]
+            rows.append((int(bucket[x]), docs.tobytes(), key[x:y][one].tobytes(), place[x:y][one].tobytes(), key[x:y][rest].tobytes(), place[x:y][rest].tobytes()))
+        kinds = [pa.int32(), *[pa.binary()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "docs", "keys", "places", "later", "later_places"])
 
     return pack
 
@@ -129,15 +142,20 @@ def _packer(buckets: int):
 PACKED = "bucket int, docs binary, keys binary, places binary, later binary, later_places binary"
 
 
+def _places(packed: bytes, key_bytes: int) -> np.ndarray:
+    """Numbers of 2 or 4 bytes, one for each key of 8."""
+    return np.frombuffer(packed, np.uint16 if 4 * len(packed) == key_bytes else np.uint32)
+
+
 def _meet(table: pa.Table) -> pa.Table:
     """What each document of a bucket has to know: keys of strips that an earlier document has, keys of strips to send."""
     keys, owners, later, later_owners = [], [], [], []
     for docs, k, p, lk, lp in zip(*(table.column(c).to_pylist() for c in ("docs", "keys", "places", "later", "later_places")), strict=True):
         ids = np.frombuffer(docs, np.int64)
         keys.append(np.frombuffer(k, np.uint64))
-        owners.append(ids[np.frombuffer(p, np.uint32)])
+        owners.append(ids[_places(p, len(k))])
         later.append(np.frombuffer(lk, np.uint64))
-        later_owners.append(ids[np.frombuffer(lp, np.uint32)])
+        later_owners.append(ids[_places(lp, len(lk))])
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
@@ -157,6 +175,7 @@ def _meet(table: pa.Table) -> pa.Table:
     send = mixed[np.cumsum(group) - 1] if len(cut) else np.zeros(0, bool)
     full, part = _by_doc(full_doc, full_key), _by_doc(own[send], key[at][send])
     docs = sorted(full.keys() | part.keys())
+    release_memory()
     return pa.table({"doc": pa.array(docs, pa.int64()), "full": pa.array([full.get(d) for d in docs], pa.binary()), "part": pa.array([part.get(d) for d in docs], pa.binary())})
 
 
@@ -196,6 +215,7 @@ def _sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at.append(int(s.start[j]))
                     content.append(data[base + s.start[j] : base + s.end[j]].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int64()), pa.array(content, pa.binary())], names=["anchor", "doc", "start", "strip"])
+        release_memory()
 
 
 def longest_previous(equal: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -259,6 +279,7 @@ def _factors(table: pa.Table) -> pa.Table:
                 r = rows[of[hit[x]]]
                 out.append((int(doc[r]), int(start[r] + at[hit[x]]), int(start[r] + at[hit[y - 1]] + LENGTH)))
         i = j
+        release_memory()
     return pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "a": pa.array([x[1] for x in out], pa.int64()), "z": pa.array([x[2] for x in out], pa.int64())})
 
 
@@ -298,14 +319,16 @@ def _cutter(keep_text: bool):
                 rows["n_removed"].append(len(text) - len(kept))
                 rows["n_spans"].append(len(runs))
                 rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                rows["kept"].append(kept)
-                rows["removed"].append([{"a": a, "z": z} for a, z in runs])
+                if keep_text:
+                    rows["kept"].append(kept)
+                    rows["removed"].append([{"a": a, "z": z} for a, z in runs])
             arrays = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(rows["n_removed"], pa.int64()), pa.array(rows["n_spans"], pa.int64()), pa.array(rows["kept_sha256"], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 arrays += [pa.array(rows["kept"], pa.binary()), pa.array(rows["removed"], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))]
                 names += ["kept", "removed"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            release_memory()
 
     return cut_out
 
@@ -325,6 +348,7 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     * a row with a null id comes after all others
     * an empty table gives no rows; other columns are ignored
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     buckets = max(24, -(-size // (BYTES_PER_KEY * BUCKET_KEYS)))
