@@ -5,10 +5,9 @@ the rest is lower-cased words. Windows of template words are hash-joined with
 those of the benchmark items, so a question whose numbers or names were changed
 still matches; the slots' values must then map one to one along the match.
 
-The large side is cut into windows at every `stride`-th word only. A run of
-n words in common with an item holds n - WINDOW + 1 windows one after another,
-so every run of at least WINDOW + stride - 1 words is met. Only documents met
-that way are cut into all their windows and compared in full.
+A first join counts the windows of an item that a document holds anywhere. Both
+sides are cut at every word, so no pair that has enough windows is lost. Only
+documents with such a pair are compared in full, with their slots.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from bookflow.llm.common import small_or_not, stored
 WINDOW = 8
 #: Windows of an item that must be met in a document: a run of 13 words, or all of a shorter item.
 NEEDED = 6
-STRIDE = 4
 #: Items with fewer words can't tell a leak from ordinary language and are left out.
 SHORTEST = 4
 #: Marks before a slot's value (private use characters): name, number, unit.
@@ -55,16 +53,25 @@ def template(mark: Column) -> Column:
     return F.regexp_replace(mark, rf"([{NAME}{NUMBER}{UNIT}])[\p{{L}}\p{{N}}]+", "$1")
 
 
-def windows(words: Column, length: int, stride: int) -> Column:
-    """(position, hash) of the windows that start at every stride-th word."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1), F.lit(stride)))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i, length)).alias("key")))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_keys(hashes: Column, length: int) -> Column:
+    """Hashes of the windows that start at each word; null for a shorter text."""
+    starts = F.when(F.size(hashes) >= length, F.sequence(F.lit(1), F.size(hashes) - (length - 1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, length)))
+
+
+def windows(hashes: Column, length: int) -> Column:
+    """(position, hash) of the windows that start at each word."""
+    return F.transform(window_keys(hashes, length), lambda key, i: F.struct((i + 1).alias("at"), key.alias("key")))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, template words, slot values and the window length of each usable item."""
+    """item_id, template words and their hashes, slot values and the window length of each usable item."""
     mark = benchmark.select("item_id", marked(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
-    words = mark.select("item_id", split_words(template(F.col("mark"))).alias("words"), split_words(F.col("mark")).alias("values"))
+    words = mark.select("item_id", split_words(template(F.col("mark"))).alias("words"), split_words(F.col("mark")).alias("values")).withColumn("hashes", hashed(F.col("words")))
     return words.filter(F.size("words") >= SHORTEST).withColumn("length", F.least(F.size("words"), F.lit(WINDOW)))
 
 
@@ -72,7 +79,7 @@ def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     """(length, key, item_id, item_at, slots, n_windows): slots are the values at each word of the window, null for plain words."""
     out = None
     for n in lengths:
-        cut = items.filter(F.col("length") == n).select("item_id", "words", "values", (F.size("words") - (n - 1)).alias("n_windows"), F.explode(windows(F.col("words"), n, 1)).alias("w"))
+        cut = items.filter(F.col("length") == n).select("item_id", "words", "values", (F.size("words") - (n - 1)).alias("n_windows"), F.explode(windows(F.col("hashes"), n)).alias("w"))
         one = cut.select(F.lit(n).alias("length"), F.col("w.key").alias("key"), "item_id", F.col("w.at").alias("item_at"), slots("values", F.col("w.at"), n).alias("item_slots"), "n_windows")
         out = one if out is None else out.unionByName(one)
     return out
@@ -83,7 +90,7 @@ def slots(values: str, at: Column, length: int) -> Column:
     return F.transform(F.slice(F.col(values), at, length), lambda v: F.when(v.rlike(rf"^[{NAME}{NUMBER}{UNIT}]"), v))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED, stride: int = STRIDE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
     Returns doc_id, item_id, matched_windows, item_windows and n_slots, one row
@@ -96,31 +103,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED, stride: i
     * an empty table on either side gives no rows; other columns are ignored
     """
     items = stored(items_of(benchmark), "template-items")
-    facts = items.agg(F.sort_array(F.collect_set("length")).alias("lengths"), F.min(F.least(F.size("words"), F.lit(WINDOW + needed - 1))).alias("run"), F.sum(F.size("words")).alias("n")).first()
+    facts = items.agg(F.sort_array(F.collect_set("length")).alias("lengths")).first()
     spark = docs.sparkSession
     if not facts["lengths"]:
         return spark.createDataFrame([], "doc_id long, item_id long, matched_windows long, item_windows long, n_slots long")
     lengths = list(facts["lengths"])
-    step = max(1, min(stride, facts["run"] - WINDOW + 1))
     keys = stored(item_windows(items, lengths), "template-windows")
     n_keys = keys.count()
 
     texts = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
-    words = texts.select("doc_id", split_words(template(marked(F.col("text")))).alias("words"))
+    hashes = texts.select("doc_id", hashed(split_words(template(marked(F.col("text"))))).alias("hashes"))
     met = None
     for n in lengths:
-        cut = words.select("doc_id", F.explode(windows(F.col("words"), n, step if n == WINDOW else 1)).alias("w")).select("doc_id", F.col("w.key").alias("key"))
-        known = keys.filter(F.col("length") == n).select("key", "item_id").distinct()
-        hit = cut.join(small_or_not(known, n_keys), "key").select("doc_id", "item_id")
+        # each key once a text: the rows of a pair are windows of the item
+        cut = hashes.select("doc_id", F.explode(F.array_distinct(window_keys(F.col("hashes"), n))).alias("key"))
+        known = keys.filter(F.col("length") == n).select("key", "item_id", "n_windows")
+        hit = cut.join(small_or_not(known, n_keys), "key").select("doc_id", "item_id", "n_windows")
         met = hit if met is None else met.unionByName(hit)
-    met = stored(met.distinct(), "template-met")
+    met = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.max("n_windows").alias("n_windows"))
+    met = met.filter(F.col("n") >= F.least(F.lit(needed), F.col("n_windows")))
+    found = stored(met.select("doc_id").distinct(), "template-met")
 
-    found = met.select("doc_id").distinct()
-    close = texts.join(small_or_not(found, met.count()), "doc_id").select("doc_id", marked(F.col("text")).alias("mark"))
-    close = close.select("doc_id", split_words(template(F.col("mark"))).alias("words"), split_words(F.col("mark")).alias("values"))
+    close = texts.join(small_or_not(found, found.count()), "doc_id").select("doc_id", marked(F.col("text")).alias("mark"))
+    close = close.select("doc_id", hashed(split_words(template(F.col("mark")))).alias("hashes"), split_words(F.col("mark")).alias("values"))
     aligned = None
     for n in lengths:
-        cut = close.select("doc_id", "values", F.explode(windows(F.col("words"), n, 1)).alias("w"))
+        cut = close.select("doc_id", "values", F.explode(windows(F.col("hashes"), n)).alias("w"))
         pair = cut.join(small_or_not(keys.filter(F.col("length") == n), n_keys), F.col("w.key") == F.col("key"))
         one = pair.select(
             "doc_id", "item_id", "item_at", "n_windows", (F.col("w.at") - F.col("item_at")).alias("diagonal"),

@@ -233,6 +233,16 @@ def test_leaks(spark, docs, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_add_up_over_short_runs_at_any_place(spark):
+    item = [f"quest{k}x" for k in "abcdefghijklmnopqrstuvwxyz"]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    # two runs of 10 words hold 3 windows each, whatever stands before them
+    held = [(k, " ".join(["pad"] * k + item[:10] + ["and", "so"] + item[12:22] + ["end"] * 9)) for k in range(8)]
+    held += [(9, " ".join(item[:10] + ["and", "so"] + item[12:21]))]
+    got = {r["doc_id"]: r["matched_windows"] for r in decontamination.leaks(spark.createDataFrame(held, "doc_id long, text string"), bench).collect()}
+    assert got == {k: 6 for k in range(8)}
+
+
 def test_mixing(docs, empty):
     got = rows(mixing.mix(docs))
     assert len(got) == len(texts()) and all(0 <= r["probability"] <= 1 for r in got)
