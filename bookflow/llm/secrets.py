@@ -1,22 +1,24 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is the first layer. Each layer is scanned for secrets and for encoded
-parts: percent escapes, Unicode escapes, base64 runs, and base64 of zlib or gzip
-data. A decoded part is a new layer, which joins the worklist unless the same
-content was met before in this document, so the work ends at a fixpoint even
-where a part decodes to itself. Each character of a layer knows the span of the
+parts: percent escapes, Unicode escapes, base64 runs (at each of the four places
+where a group of letters can start, also joined over line ends), and zlib or gzip
+data in decoded bytes. A decoded part is a new layer, which joins the worklist
+unless the same content was met before in this document, so the work ends at a
+fixpoint even where a part decodes to itself. Decoded bytes that are not UTF-8
+are scanned with replacement characters. Each character of a layer knows the span of the
 original text that it came from, and a finding is mapped back by it.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,15 @@ HINT = re.compile(r"[pP][aA][sS][sS]|[sS][eE][cC][rR]|[tT][oO][kK][eE]|[aA][pP][
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed part may grow to this many characters; a larger one is not unwrapped (decompression bombs).
+LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+#: A base64 run that goes on over line ends, also written-out ones.
+BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{LINE_END.pattern}[A-Za-z0-9+/_-]++)+={{0,2}}")
+#: Where zlib or gzip data may begin inside decoded bytes.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: A compressed part is scanned in pieces of this many bytes, each with the last OVERLAP bytes of the one before.
 MOST_UNPACKED = 1 << 26
+OVERLAP = 1 << 20
+STEP = 1 << 18
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, findings array<struct<kind:string,start:long,end:long,via:string,value:string>>"
 
@@ -58,28 +67,48 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text; `first` and `last` give the original span of each character, None in the text itself."""
+    """A decoded text; `first` and `last` give the original span of each character, or one span of all; None in the text itself.
 
-    __slots__ = ("text", "first", "last", "via")
+    `raw` holds the bytes of a layer that was decoded from bytes, and `rest` gives what follows them, if they are a piece.
+    """
+
+    __slots__ = ("text", "first", "last", "via", "raw", "rest")
 
-    def __init__(self, text: str, first: np.ndarray | None, last: np.ndarray | None, via: str):
-        self.text, self.first, self.last, self.via = text, first, last, via
+    def __init__(self, text: str, first: np.ndarray | int | None, last: np.ndarray | int | None, via: str, raw: bytes | None = None, rest: Callable[[], Iterator[bytes]] | None = None):
+        self.text, self.first, self.last, self.via, self.raw, self.rest = text, first, last, via, raw, rest
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.first is None:
             return start, end
+        if isinstance(self.first, int):
+            return self.first, self.last
         return int(self.first[start:end].min()), int(self.last[start:end].max())
 
+    def mark(self) -> bytes:
+        """A digest of the content and, of a decoded layer, its original span."""
+        content = self.raw if self.raw is not None else self.text.encode("utf-8", "surrogatepass")
+        span = b"" if self.first is None or not self.text else repr(self.origin(0, len(self.text))).encode()
+        return hashlib.sha256(hashlib.sha256(content).digest() + span).digest()
+
+    def plain(self) -> bool:
+        """Not decoded from bytes, or from bytes that are text."""
+        return self.raw is None or ("\ufffd" not in self.text and self.text.translate(BLANKS).isprintable())
+
+
+BLANKS = dict.fromkeys(map(ord, "\t\r\n"), " ")
+
 
 def unescaped(layer: Layer, pattern: re.Pattern, width: int, decode, via: str) -> Layer | None:
     """The layer with all escape runs of one sort replaced, and where each character came from."""
     parts, first, last, at, changed = [], [], [], 0, False
     for m in pattern.finditer(layer.text):
         new = decode(m.group())
-        if new is None:
-            continue
         changed = True
         parts.append(layer.text[at : m.start()])
+        if isinstance(layer.first, int):
+            parts.append(new)
+            at = m.end()
+            continue
         first.append(_firsts(layer, at, m.start()))
         last.append(_lasts(layer, at, m.start()))
         parts.append(new)
@@ -94,6 +123,8 @@ def unescaped(layer: Layer, pattern: re.Pattern, width: int, decode, via: str) -
     if not changed:
         return None
     parts.append(layer.text[at:])
+    if isinstance(layer.first, int):
+        return Layer("".join(parts), layer.first, layer.last, f"{layer.via}>{via}")
     first.append(_firsts(layer, at, len(layer.text)))
     last.append(_lasts(layer, at, len(layer.text)))
     return Layer("".join(parts), np.concatenate(first), np.concatenate(last), f"{layer.via}>{via}")
@@ -107,49 +138,78 @@ def _lasts(layer: Layer, a: int, z: int) -> np.ndarray:
     return np.arange(a + 1, z + 1) if layer.last is None else layer.last[a:z]
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-
-
-def _unicode(run: str) -> str | None:
-    try:
-        return binascii.unhexlify(run.replace("\\u", "")).decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
-
-
-def unpacked(raw: bytes) -> bytes | None:
-    """The content of zlib or gzip data; None if it is neither, is damaged or is too large."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    opened = zlib.decompressobj(zlib.MAX_WBITS | 32)
-    try:
-        out = opened.decompress(raw, MOST_UNPACKED)
-    except zlib.error:
-        return None
-    return out if opened.eof else None
-
-
-def from_base64(run: str) -> tuple[str, str] | None:
-    """A base64 run's text and how it was reached, if it is one."""
-    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(bare) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
-    except binascii.Error:
-        return None
-    inner, via = unpacked(raw), "base64"
-    if inner is not None:
-        raw, via = inner, "base64>deflate"
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return (text, via) if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _percent(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
+
+
+def _unicode(run: str) -> str:
+    return binascii.unhexlify(run.replace("\\u", "")).decode("utf-16-be", "replace")
+
+
+def packed_at(raw: bytes) -> Iterator[int]:
+    """Places where zlib or gzip data seems to begin."""
+    if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 and not PACKED.match(raw):
+        yield 0
+    yield from (m.start() for m in PACKED.finditer(raw))
+
+
+def unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of zlib or gzip data, member after member, up to its end or to damage."""
+    opened, fresh = zlib.decompressobj(zlib.MAX_WBITS | 32), True
+    for chunk in chunks:
+        full = False
+        while chunk or full:
+            if fresh and not (chunk := bytes(chunk).lstrip(b"\0")):  # padding between members
+                break
+            try:
+                out = opened.decompress(chunk, STEP)
+            except zlib.error:
+                return
+            fresh, full = opened.eof, len(out) == STEP and not opened.eof
+            chunk = opened.unused_data if opened.eof else opened.unconsumed_tail
+            if opened.eof:
+                opened = zlib.decompressobj(zlib.MAX_WBITS | 32)
+            if out:
+                yield out
+
+
+def slices(raw: bytes, start: int) -> Iterator[bytes]:
+    return (raw[i : i + STEP] for i in range(start, len(raw), STEP))
+
+
+def after(chunks: Iterator[bytes], skip: int) -> Iterator[bytes]:
+    """The chunks without the first `skip` bytes."""
+    for chunk in chunks:
+        if skip < len(chunk):
+            yield chunk[skip:] if skip else chunk
+        skip = max(0, skip - len(chunk))
+
+
+def pieces(chunks: Callable[[], Iterator[bytes]], span: tuple[int, int], via: str) -> Iterator[Layer]:
+    """Layers of the bytes that `chunks` gives: one, or overlapping ones where there are more than MOST_UNPACKED."""
+    held, end, new = bytearray(), 0, 0
+    for chunk in chunks():
+        held += chunk
+        end += len(chunk)
+        new += len(chunk)
+        if len(held) >= MOST_UNPACKED:
+            raw = bytes(held)
+            yield Layer(raw.decode("utf-8", "replace"), *span, via, raw, lambda skip=end: after(chunks(), skip))
+            held, new = held[-OVERLAP:], 0
+    if new:
+        raw = bytes(held)
+        yield Layer(raw.decode("utf-8", "replace"), *span, via, raw)
+
+
+def from_base64(run: str) -> Iterator[bytes]:
+    """The bytes of a base64 run read from each of its first four letters."""
+    bare = LINE_END.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
+    for k in range(4):
+        part = bare[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        if k and len(part) < 16:
+            break
+        yield binascii.a2b_base64(part + "=" * (-len(part) % 4))
 
 
 def inner_layers(layer: Layer) -> Iterator[Layer]:
@@ -158,41 +218,55 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
         yield new
     if "\\u" in text and (new := unescaped(layer, UNICODE, 6, _unicode, "unicode")):
         yield new
-    for m in BASE64.finditer(text):
-        if (got := from_base64(m.group())) and got[0]:
-            a, z = layer.origin(m.start(), m.end())
-            yield Layer(got[0], np.full(len(got[0]), a), np.full(len(got[0]), z), f"{layer.via}>{got[1]}")
+    for pattern in (BASE64, BASE64_LINES):
+        for m in pattern.finditer(text):
+            for raw in from_base64(m.group()):
+                yield Layer(raw.decode("utf-8", "replace"), *layer.origin(m.start(), m.end()), f"{layer.via}>base64", raw)
+    if layer.raw is not None:
+        for at in packed_at(layer.raw):
+            def chunks(at: int = at) -> Iterator[bytes]:
+                return unpacked(chain(slices(layer.raw, at), layer.rest() if layer.rest else ()))
+
+            yield from pieces(chunks, (layer.first, layer.last), f"{layer.via}>deflate")
 
 
 def scan(text: str) -> tuple[list[Span], list[tuple[str, int, int, str, str]], int]:
     """Base spans, the findings of inner layers (kind, start, end, way, value) and the number of layers.
 
-    An inner finding whose span and kind the base scan has already is not repeated.
+    An inner finding whose span and kind the base scan has already is not
+    repeated, nor is a value that was found the same way at an overlapping span.
+    Layers of bytes that are no text count only if something is found there.
     """
     base = base_spans(text)
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    known, inner, layers = set(base), [], 1
-    work = deque(inner_layers(Layer(text, None, None, "text")))
+    whole = Layer(text, None, None, "text")
+    seen, known, inner, layers = {whole.mark()}, set(base), [], 1
+    met: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+    work = deque([inner_layers(whole)])
     while work:
-        layer = work.popleft()
-        mark = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass") + (b"" if layer.first is None else np.asarray([layer.first.min(), layer.last.max()]).tobytes() if len(layer.first) else b"")).digest()
-        if mark in seen:
+        layer = next(work[0], None)
+        if layer is None:
+            work.popleft()
+            continue
+        if not layer.text or (mark := layer.mark()) in seen:
             continue
         seen.add(mark)
-        layers += 1
-        for kind, a, z in base_spans(layer.text):
+        found = base_spans(layer.text)
+        layers += bool(found) or layer.plain()
+        for kind, a, z in found:
             start, end = layer.origin(a, z)
-            if (kind, start, end) not in known and (f"{kind}@{layer.via}", start, end) not in known:
-                known.add((f"{kind}@{layer.via}", start, end))
+            spans = met.setdefault((kind, layer.via, layer.text[a:z]), [])
+            if (kind, start, end) not in known and not any(x < end and start < y for x, y in spans):
+                spans.append((start, end))
                 inner.append((kind, start, end, layer.via, layer.text[a:z]))
-        work.extend(inner_layers(layer))
+        # a large layer is worked off before the next one is made
+        (work.appendleft if len(layer.text) >= STEP else work.append)(inner_layers(layer))
     return base, inner, layers
 
 
 def joined(spans: list[Span]) -> str:
     """kind:start:end by start, then kind as listed (inner kinds after the base ones), comma-joined."""
     rank = {k: i for i, k in enumerate(KINDS)}
-    return ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(spans, key=lambda x: (x[1], rank.get(x[0], len(KINDS)), x[0], x[2])))
+    return ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(set(spans), key=lambda x: (x[1], rank.get(x[0], len(KINDS)), x[0], x[2])))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

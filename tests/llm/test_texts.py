@@ -161,6 +161,34 @@ def test_secrets_base_and_layers(spark):
     assert any(f["value"] == inner[:-1] for f in got[6, 0]["findings"])
 
 
+SECRET = f'password = "{"s3cr3tvalue" * 2}"'
+
+
+@pytest.mark.parametrize("content", [
+    SECRET.encode() + b"\xc2\xa0", b"\xef\xbb\xbf" + SECRET.encode(), b"A=1\0" + SECRET.encode() + b"\0", b"\x1b[1m" + SECRET.encode(), b"\xff" + SECRET.encode(),
+    gzip.compress(gzip.compress(SECRET.encode())), gzip.compress(zlib.compress(SECRET.encode())), gzip.compress(b"first") + gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode()),
+])
+def test_secrets_in_bytes_that_are_no_plain_text(content):
+    packed = base64.b64encode(content).decode()
+    lines = "\n".join(packed[i : i + 20] for i in range(0, len(packed), 20))
+    for text in [packed, *("x" * k + "/" + packed for k in range(4)), "key_" + packed, f"begin\n{lines}\nend", lines.replace("\n", "\\n")]:
+        assert SECRET[:-1] in {f[4] for f in secrets.scan(text)[1]}, text
+    assert SECRET[:-1] in {f[4] for f in secrets.scan(quote(b"\xff" + SECRET.encode(), safe=""))[1]} | {f[4] for f in secrets.scan("\\ud800" + "".join("\\u%04x" % ord(c) for c in SECRET))[1]}
+    assert SECRET[:-1] in {f[4] for f in secrets.scan("".join("%%%02x" % b for b in b"\xff" + SECRET.encode()))[1]}
+
+
+def test_secrets_in_large_layers_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_UNPACKED", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 500)
+    monkeypatch.setattr(secrets, "STEP", 64)
+    rng = np.random.default_rng(1)
+    for where in (10, 4990, 5000, 9480, 14900):
+        noise = bytes(rng.integers(32, 48, 15000).astype(np.uint8))
+        content = noise[:where] + SECRET.encode() + noise[where:]
+        for packed in (gzip.compress(content), gzip.compress(gzip.compress(content)), gzip.compress(noise) + gzip.compress(content)):
+            assert {f[4] for f in secrets.scan(base64.b64encode(packed).decode())[1]} == {SECRET[:-1]}
+
+
 def test_telephony_round_trip(docs):
     got = rows(telephony.audio(docs))
     by_text = {}
