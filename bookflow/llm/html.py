@@ -39,11 +39,19 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
     "pagination pager popup promo promoted recommend recommended related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-#: A page votes for the deepest container with this share of its score.
+#: A page's vote starts at the deepest container with this share of its score.
 SHARE = 0.75
+#: Elements that are parts of an article: they are voted for only where no other container below the body stands.
+PARTS = frozenset("table tbody tr td ul ol dl figure blockquote".split())
+ROOTS = frozenset(["html", "body"])
+#: Elements that mark an article; a vote doesn't climb beyond them.
+ARTICLES = frozenset(["article", "main"])
+#: Blocks outside these tags are text of an article from this length on.
+PROSE = HEADINGS | frozenset("p li dt dd pre th td caption figcaption blockquote".split())
+LEAST_PROSE = 40
 #: Paths with at least this share of a host's votes win.
 WINS = 0.2
-#: A block of which links are more than this share is a menu.
+#: A block of which links are more than this share is a menu, where no article text stands on both sides.
 MOST_LINKS = 0.6
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -128,37 +136,74 @@ def blocks_of(html: str) -> list[tuple[tuple[Element, ...], str, str, float]]:
 
 
 def vote(blocks: list) -> tuple[str, int]:
-    """The path of the deepest container that holds SHARE of the page's plain text, and its score."""
+    """The path of the deepest container that holds the page's article, and its score.
+
+    The vote starts at the deepest container with SHARE of the plain text and
+    climbs to the deepest one above it that no article text is left out of: up to
+    an article element, else to the body, of which only blocks right under it count.
+    """
     scores: dict[str, float] = defaultdict(float)
+    article: dict[str, float] = defaultdict(float)
+    chains: dict[str, tuple[Element, ...]] = {}
     total = 0.0
-    for at, _, text, linked in blocks:
+    for at, tag, text, linked in blocks:
         if not at or any(e.hidden for e in at):
             continue
-        score = len(text) * (1 - linked) * (0.1 if any(e.dull for e in at) else 1.0)
+        dull = any(e.dull for e in at)
+        score = len(text) * (1 - linked) * (0.1 if dull else 1.0)
         total += score
+        prose = not dull and linked <= MOST_LINKS and (tag in PROSE or len(text) >= LEAST_PROSE)
+        for i, e in enumerate(at):
+            if e.path not in chains:
+                chains[e.path] = at[: i + 1]
         for path in {e.path for e in at}:
             scores[path] += score
+        if prose:
+            # of a root, only the blocks right under it: other containers there need not be the article
+            for path in {e.path for e in at if e.tag not in ROOTS} or {at[-1].path}:
+                article[path] += score
     if not total:
         return "", 0
-    best = max((p for p, s in scores.items() if s >= SHARE * total), key=lambda p: (p.count("/"), scores[p], p), default="")
+    heavy = [p for p, s in scores.items() if s >= SHARE * total]
+    whole = [p for p in heavy if chains[p][-1].tag not in PARTS]
+    standing = whole if any(chains[p][-1].tag not in ROOTS for p in whole) else heavy
+    best = max(standing, key=lambda p: (p.count("/"), scores[p], p), default="")
+    if best:
+        best = climbed(best, chains[best], article)
     return best, int(scores.get(best, 0))
 
 
+def climbed(best: str, chain: tuple[Element, ...], article: dict[str, float]) -> str:
+    """The deepest container from `best` upwards outside of which no article text stands."""
+    top = next((i for i in range(len(chain) - 1, -1, -1) if chain[i].tag in ARTICLES), 0)
+    now = article[best]
+    for e in reversed(chain[top:-1]):
+        # of a root, `article` has the blocks right under it alone
+        held = now + article[e.path] if e.tag in ROOTS else article[e.path]
+        if held > now and (e.tag not in PARTS):
+            best, now = e.path, held
+    return best
+
+
 def main_text(blocks: list, paths: set[str]) -> str | None:
     """Text of the article's blocks under any of the paths; None if the page has none of them."""
-    met, out = False, []
+    met, out, menus = False, [], []
     for at, tag, text, linked in blocks:
         inside = next((i for i, e in enumerate(at) if e.path in paths), None)
         if inside is None:
             continue
         met = True
         below = at[inside + 1 :]
-        if any(e.hidden for e in at) or linked > MOST_LINKS:
+        if any(e.hidden for e in at):
             continue
         dull = [e for e in below if e.dull]
         if dull and not (tag in HEADINGS and all(e.tag == "header" for e in dull)):
             continue
-        out.append(text)
+        if linked > MOST_LINKS:  # part of the article only between its other blocks
+            menus += [text] if out else []
+            continue
+        out += [*menus, text]
+        menus = []
     return "\n".join(out) if met else None
 
 
