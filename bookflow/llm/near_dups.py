@@ -5,7 +5,8 @@ the pair (A_i, B_j), so m + m bands make m * m tables: the minhash work is about
 the square root of that of independent tables with as many rows.
 
 1. Sketch: one pass over the texts gives each document's number of shingles, a
-   hash of its set and its bands. Documents with equal sets are one class.
+   hash of its set and its bands. Documents with equal sets are one class, which
+   gets a number of its own: rows that share an id but no text are told apart.
 2. Candidates: classes that share a table key are joined by stars (keyring).
    Stars keep candidates connected, so a true link never leaves its candidate
    group.
@@ -35,6 +36,8 @@ from bookflow.llm.kernels import LOWER, RangeHash, mix, passes, text_bytes, word
 BANDS = 11
 #: Members of a block of a large candidate group.
 BLOCK = 512
+#: Shingles of a block and of a task of small groups, about: 32 MB of hashes.
+TASK_SHINGLES = 1 << 22
 #: Small groups are packed into tasks of about this many members.
 PACK = 2000
 WORD_FACTOR = mix(np.arange(1, 65, dtype=np.uint64))
@@ -68,6 +71,14 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[n
                 yield np.zeros(0, np.uint64)
 
 
+MARK_FACTOR = mix(np.arange(7001, 7002, dtype=np.uint64)) | np.uint64(1)
+
+
+def set_mark(s: np.ndarray) -> bytes | None:
+    """128 bits that tell a set of shingles from others; None for the empty set."""
+    return np.array([s.sum(dtype=np.uint64), mix(s * MARK_FACTOR).sum(dtype=np.uint64) + np.uint64(len(s))]).tobytes() if len(s) else None
+
+
 def _sketcher(width: int, rows: int, bands: int):
     factor = mix(np.arange(1001, 1001 + 2 * bands * rows, dtype=np.uint64)) | np.uint64(1)
     salt = mix(np.arange(5001, 5001 + rows, dtype=np.uint64)) | np.uint64(1)
@@ -78,26 +89,26 @@ def _sketcher(width: int, rows: int, bands: int):
             counts, marks, halves = [], [], []
             for s in shingle_sets(data, bounds, width):
                 counts.append(len(s))
+                marks.append(set_mark(s))
                 if not len(s):
-                    marks.append(None)
                     halves.append(None)
                     continue
-                sums = np.array([s.sum(dtype=np.uint64), mix(s * factor[0]).sum(dtype=np.uint64) + np.uint64(len(s))])
-                marks.append(sums.tobytes())
                 low = np.full(len(factor), np.iinfo(np.uint64).max, np.uint64)
                 for k in range(0, len(s), 4096):
                     np.minimum(low, (s[k : k + 4096, None] * factor[None, :]).min(axis=0), out=low)
                 halves.append(mix((mix(low).reshape(2 * bands, rows) * salt).sum(axis=1, dtype=np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(halves, pa.binary())], names=["doc_id", "n_shingles", "mark", "halves"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(halves, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "mark", "halves"],
             )
 
     return sketch
 
 
 def sketches(docs: DataFrame, width: int, rows: int, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, mark (a hash of the set) and halves (the bands of A, then of B)."""
-    return texts(docs).mapInArrow(_sketcher(width, rows, bands), "doc_id long, n_shingles long, mark binary, halves binary")
+    """doc_id, text_hash, n_shingles, mark (a hash of the set) and halves (the bands of A, then of B)."""
+    source = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return source.mapInArrow(_sketcher(width, rows, bands), "doc_id long, text_hash long, n_shingles long, mark binary, halves binary")
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -109,10 +120,10 @@ def _table_keys(bands: int):
 
     def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         halves = np.frombuffer(b"".join(batch.column("halves").to_pylist()), np.uint64).reshape(-1, 2 * bands)
-        reps = np.asarray(batch.column("rep"), dtype=np.int64)
+        nodes = np.asarray(batch.column("node"), dtype=np.int64)
         a, b = halves[:, :bands], halves[:, bands:]
         keys = mix(a[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + b[:, None, :] + table)
-        return keys.reshape(-1), np.repeat(reps, bands * bands)
+        return keys.reshape(-1), np.repeat(nodes, bands * bands)
 
     return keys_of
 
@@ -121,8 +132,13 @@ def _set_maker(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
-            sets = [s.tobytes() for s in shingle_sets(data, bounds, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("grp"), batch.column("blocks"), pa.array(sets, pa.binary())], names=["node", "grp", "blocks", "shingles"])
+            sets = list(shingle_sets(data, bounds, width))
+            # of the rows that share the id of a class, those with its set
+            own = [i for i, (s, m) in enumerate(zip(sets, batch.column("mark").to_pylist(), strict=True)) if set_mark(s) == m]
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(at), batch.column("grp").take(at), batch.column("blocks").take(at), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "grp", "blocks", "shingles"]
+            )
 
     return make
 
@@ -200,15 +216,17 @@ def _compared(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.groupBy("task").applyInArrow(_confirmer(percent), "a long, b long")
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that connect the same members of each candidate group (node, component) as all its true links do."""
-    n = groups.count()
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = stored(groups.join(sizes, "component").select("node", F.col("component").alias("grp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "candidate-groups")
+    members = groups.join(classes.select("node", "rep", "mark", "n_shingles"), "node")
+    sizes = groups.join(classes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("held"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("held") / TASK_SHINGLES)).cast("int")
+    dealt = stored(members.join(sizes, "component").select("node", "rep", "mark", "n_shingles", F.col("component").alias("grp"), blocks.alias("blocks")), "candidate-groups")
+    n, held = dealt.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
     source = texts(docs)
-    rows = source.join(small_or_not(dealt, n), source["doc_id"] == dealt["node"]).select("node", "grp", "blocks", "text")
-    sets = stored(rows.mapInArrow(_set_maker(width), "node long, grp long, blocks int, shingles binary").dropDuplicates(["node", "shingles"]), "candidate-sets")
-    packs = max(24, n // PACK)
+    rows = source.join(small_or_not(dealt), source["doc_id"] == dealt["rep"]).select("node", "grp", "blocks", "mark", "text")
+    sets = stored(rows.mapInArrow(_set_maker(width), "node long, grp long, blocks int, shingles binary").dropDuplicates(["node"]), "candidate-sets")
+    packs = max(24, n // PACK, (held or 0) // TASK_SHINGLES)
     one = sets.filter("blocks = 1").select("node", "grp", "shingles", F.lit(2).alias("side"), F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(packs))).alias("task"))
     big = sets.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     within = big.select("node", "grp", "shingles", F.lit(2).alias("side"), F.concat_ws(":", F.lit("w"), "grp", "block").alias("task"))
@@ -226,8 +244,8 @@ def _residual_links(big: DataFrame, links: DataFrame, percent: int) -> DataFrame
     parts = components(links)
     named = big.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     sizes = named.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("grp").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
-    marked = stored(named.join(F.broadcast(main) if main.count() <= 100_000 else main, "grp"), "large-parts")
+    main = stored(sizes.groupBy("grp").agg(F.max_by("part", F.struct("size", "part")).alias("main")), "largest-parts")
+    marked = stored(named.join(small_or_not(main), "grp"), "large-parts")
     outside = marked.filter("part <> main")
     chunks = outside.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     chunks = stored(chunks, "residual-chunks")
@@ -242,7 +260,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Groups of documents linked by 100 * |common shingles| >= percent * |all shingles|.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable, its
-    own included) and kept (doc_id = component_id) for every row.
+    own included), kept (doc_id = component_id) and text_hash (xxhash64 of the
+    text, which tells rows that share an id apart) for every row.
 
     * null and empty texts, and texts without words, have no shingles and are linked with nothing
     * a text of fewer than `width` words is one shingle, its whole sequence of words
@@ -253,14 +272,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     rows = band_rows(percent)
     all_docs = stored(sketches(docs, width, rows), "sketches")
-    classes = stored(
-        all_docs.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")).filter(F.col("rep").isNotNull()), "classes"
-    )
+    named = all_docs.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("n_shingles").alias("n_shingles")).filter(F.col("rep").isNotNull())
+    classes = stored(named.withColumn("node", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    packed = classes.select("rep", "halves").mapInArrow(keyring.packer(_table_keys(BANDS), keyring.n_buckets(n * BANDS * BANDS)), keyring.PACKED)
+    packed = classes.select("node", "halves").mapInArrow(keyring.packer(_table_keys(BANDS), keyring.n_buckets(n * BANDS * BANDS)), keyring.PACKED)
     groups = components(keyring.shared_key_links(packed))
-    parts = components(confirmed_links(docs, groups, width, percent))
-    labels = classes.select("mark", "rep").join(small_or_not(parts, parts.count()), F.col("rep") == F.col("node"), "left").select("mark", F.coalesce("component", "rep").alias("low"))
-    found = all_docs.select("doc_id", "n_shingles", "mark").join(labels, "mark", "left")
+    parts = components(confirmed_links(docs, classes, groups, width, percent))
+    # linked classes: the smallest id of each component, by class
+    linked = classes.select("mark", "rep", "node").join(small_or_not(parts), "node")
+    lows = linked.groupBy("component").agg(F.min("rep").alias("low"))
+    low_of = stored(linked.join(lows, "component").select("mark", "low"), "class-lows")
+    labels = classes.select("mark", "rep").join(small_or_not(low_of), "mark", "left").select("mark", F.coalesce("low", "rep").alias("low"))
+    found = all_docs.select("doc_id", "n_shingles", "text_hash", "mark").join(labels, "mark", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "text_hash")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without near-duplicates: those that `near_duplicates` keeps, by id and text.
+
+    Rows equal in id and text are one document and stay or go together.
+    """
+    gone = near_duplicates(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")

@@ -53,7 +53,7 @@ def op1_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+    return near_dups.near_duplicates(documents(spark, sf_dir), width=3, percent=85).drop("text_hash")
 
 
 @query

@@ -8,13 +8,18 @@ windows of one anchor make a strip of text.
 
 1. Each strip sends a packed key: bits of its anchor's hash and of its own.
    Strips with equal keys are equal strings: all but those in the smallest
-   document repeat an earlier suffix over their full length. Each batch of
-   documents sends a key once.
+   document repeat an earlier suffix over their full length. Each pack of
+   documents sends a key once, with 4 bytes for its owner; repeats inside a pack
+   need no meeting and travel evenly dealt.
 2. Anchors that stand in different strips of different documents need the bytes.
    Only these strips are sent, one for each different string. Per anchor, their
    suffixes are sorted; previous and next smaller documents in suffix order give
    the longest previous factor of each suffix.
-3. Covered ranges of both kinds meet at their document, whose bytes are cut.
+   An anchor with very many different strips (the edge of a passage that a great
+   part of all documents share) is dealt by its suffixes' LENGTH-byte hashes
+   instead: equal hashes have the smallest document as previous factor. Each pack
+   sends a hash once. Which anchors are hot is a matter of the plan alone.
+3. Covered ranges of all kinds meet at their document, whose bytes are cut.
 
 Keys are 64 bits and the text's bytes travel twice at most, so the disk needed
 stays in proportion to the input.
@@ -31,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import bounded_batches, release_memory, stored
-from bookflow.llm.kernels import RangeHash, passes, text_bytes
+from bookflow.llm.common import bounded_batches, doc_key, parts_of, release_memory, stored
+from bookflow.llm.kernels import RangeHash, mix, passes, text_bytes
 
 LENGTH = 50
 KMER = 20
@@ -45,7 +50,12 @@ BYTES_PER_KEY = 16
 PASS = 1 << 18
 #: Bytes of text whose keys one task packs at a time.
 PACK_BYTES = 1 << 24
-LAST = np.iinfo(np.int64).max
+#: Bytes of text, about, whose anchors are counted to find hot ones.
+COUNTED_BYTES = 1 << 26
+#: Different strips that make an anchor hot, and the least share of all strips, which bounds the list of hot anchors by its inverse.
+HOT_STRIPS, HOT_SHARE = 2000, 1e-5
+#: Suffixes of hot anchors that a task gathers before it sends them.
+GATHERED = 1 << 19
 
 
 @dataclass
@@ -100,79 +110,128 @@ def batch_strips(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, St
         yield first, strips(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
 
 
-def _packer(buckets: int):
+def anchor_of(key: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """60 bits of the anchor's hash."""
+    return (key >> np.uint64(STRIP_BITS)) << np.uint64(32) | spread.astype(np.uint64)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with more than one strip in a batch, with the number of others, and the number of all strips under anchor -1."""
+    for batch in batches:
+        found = [s for _, s in batch_strips(*text_bytes(batch.column("text")))]
+        key, spread = (np.concatenate([getattr(s, c) for s in found]) if found else np.zeros(0, np.uint64) for c in ("key", "spread"))
+        key, at = np.unique(key, return_index=True)
+        anchor, n = np.unique(anchor_of(key, spread[at]), return_counts=True)
+        some = n > 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[anchor[some].view(np.int64), -1]), pa.array(np.r_[n[some] - 1, len(key)])], names=["anchor", "n"])
+
+
+def hot_anchors(source: DataFrame, size: int) -> np.ndarray:
+    """Anchors that have very many different strips, by a count over a bounded part of the texts; at most 1 / HOT_SHARE of them.
+
+    The list decides how strips are dealt to tasks, not which are compared.
+    """
+    share = min(1.0, COUNTED_BYTES / max(size, 1))
+    part = source.select("text").sample(fraction=share, seed=11) if share < 1 else source.select("text")
+    counted = stored(part.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchor-counts")
+    total = (counted.filter("anchor = -1").first() or {"n": 0})["n"]
+    least = max(HOT_STRIPS * share, HOT_SHARE * total, 8)
+    found = counted.filter((F.col("anchor") != -1) & (F.col("n") >= least)).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
+
+
+def owners(ids: np.ndarray, base: int) -> bytes:
+    """Ids as 4 bytes above a base where they fit, else 8."""
+    above = (ids - base).view(np.uint64)
+    return (above.astype(np.uint32) if not len(above) or above.max() < 1 << 32 else above).tobytes()
+
+
+def owned(packed: bytes, n: int, base: int) -> np.ndarray:
+    return np.frombuffer(packed, np.uint32 if len(packed) == 4 * n else np.int64).astype(np.int64) + base
+
+
+PACKED = "bucket int, base long, keys binary, owners binary, later binary, later_owners binary"
+
+
+def packed_rows(key: np.ndarray, spread: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray) -> list[tuple]:
+    """PACKED rows of the strips of a pack: each key once, in the bucket of its anchor (a hot anchor's: of the key); repeats in a row of their own."""
+    dealt = spread.astype(np.uint64)
+    if len(hot):
+        many = member(anchor_of(key, spread), hot)
+        dealt[many] = mix(key[many]) >> np.uint64(32)
+    bucket = (dealt * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((doc, key, bucket))
+    bucket, key, doc = bucket[order], key[order], doc[order]
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
+    later = doc != doc[np.flatnonzero(~same)[np.cumsum(~same) - 1]]
+    rows = []
+    if later.any():
+        base = int(doc[later].min())
+        rows.append((int(mix(np.array([base], np.uint64))[0] % np.uint64(buckets)), base, b"", b"", key[later].tobytes(), owners(doc[later], base)))
+    bucket, key, doc = bucket[~same], key[~same], doc[~same]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        base = int(doc[x:y].min())
+        rows.append((int(bucket[x]), base, key[x:y].tobytes(), owners(doc[x:y], base), b"", b""))
+    return rows
+
+
+def _packer(buckets: int, hot: np.ndarray):
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, size, n = [], [], 0, 0
+        held, size = [], 0
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
-            held += [((n + first + s.row).astype(np.int32), s.key, s.spread.astype(np.uint32)) for first, s in batch_strips(data, bounds)]
-            ids.append(np.array(batch.column("doc"), dtype=np.int64))
-            size, n = size + len(data), n + len(bounds) - 1
+            ids = np.array(batch.column("doc"), dtype=np.int64)
+            held += [(s.key, s.spread.astype(np.uint32), ids[first + s.row]) for first, s in batch_strips(data, bounds)]
+            size += len(data)
             if size >= PACK_BYTES:
-                yield from pack_part(held, np.concatenate(ids))
-                held, ids, size, n = [], [], 0, 0
+                yield from packed(held)
+                held, size = [], 0
                 release_memory()
-        if ids:
-            yield from pack_part(held, np.concatenate(ids))
-
-    def pack_part(held: list[tuple[np.ndarray, ...]], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        row, key, spread = (np.concatenate([f[k] for f in held]) if held else np.zeros(0, np.uint64) for k in range(3))
-        if not len(key):
-            return
-        docs, place = np.unique(ids, return_inverse=True)
-        place = place[row].astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
-        bucket = (spread.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        order = np.lexsort((place, key, bucket))
-        bucket, key, place = bucket[order], key[order], place[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
-        head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        later = place != place[head]
-        rows = []
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            one, rest = ~same[x:y], later[x:y]
-            rows.append((int(bucket[x]), docs.tobytes(), key[x:y][one].tobytes(), place[x:y][one].tobytes(), key[x:y][rest].tobytes(), place[x:y][rest].tobytes()))
-        kinds = [pa.int32(), *[pa.binary()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "docs", "keys", "places", "later", "later_places"])
-
-    return pack
+        yield from packed(held)
 
+    def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if sum(len(x[0]) for x in held):
+            rows = packed_rows(*(np.concatenate([x[k] for x in held]) for k in range(3)), buckets, hot)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-PACKED = "bucket int, docs binary, keys binary, places binary, later binary, later_places binary"
+    return pack
 
 
-def _places(packed: bytes, key_bytes: int) -> np.ndarray:
-    """Numbers of 2 or 4 bytes, one for each key of 8."""
-    return np.frombuffer(packed, np.uint16 if 4 * len(packed) == key_bytes else np.uint32)
+def _meeting(hot: np.ndarray):
+    hot_bits = np.unique(hot >> np.uint64(32))
+    return lambda table: _meet(table, hot_bits)
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(table: pa.Table, hot_bits: np.ndarray) -> pa.Table:
     """What each document of a bucket has to know: keys of strips that an earlier document has, keys of strips to send."""
-    keys, owners, later, later_owners = [], [], [], []
-    for docs, k, p, lk, lp in zip(*(table.column(c).to_pylist() for c in ("docs", "keys", "places", "later", "later_places")), strict=True):
-        ids = np.frombuffer(docs, np.int64)
+    keys, held, later, later_held = [], [], [], []
+    for base, k, o, lk, lo in zip(*(table.column(c).to_pylist() for c in ("base", "keys", "owners", "later", "later_owners")), strict=True):
         keys.append(np.frombuffer(k, np.uint64))
-        owners.append(ids[_places(p, len(k))])
+        held.append(owned(o, len(keys[-1]), base))
         later.append(np.frombuffer(lk, np.uint64))
-        later_owners.append(ids[_places(lp, len(lk))])
-    key, owner = np.concatenate(keys), np.concatenate(owners)
+        later_held.append(owned(lo, len(later[-1]), base))
+    key, owner = np.concatenate(keys), np.concatenate(held)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(first)
-    head = owner[at[np.cumsum(first) - 1]]
-    repeated = owner != head
+    repeated = owner != owner[at[np.cumsum(first) - 1]] if len(key) else np.zeros(0, bool)
     full_key = np.concatenate([key[repeated], *later])
-    full_doc = np.concatenate([owner[repeated], *later_owners])
+    full_doc = np.concatenate([owner[repeated], *later_held])
     # of the strips of one anchor: are there different ones, in different documents?
     anchor, own = key[at] >> np.uint64(STRIP_BITS), owner[at]
+    many = member(anchor, hot_bits)
     group = np.ones(len(at), bool)
     group[1:] = anchor[1:] != anchor[:-1]
     cut = np.flatnonzero(group)
     mixed = (np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)) if len(cut) else np.zeros(0, bool)
-    send = mixed[np.cumsum(group) - 1] if len(cut) else np.zeros(0, bool)
+    send = mixed[np.cumsum(group) - 1] | many if len(cut) else np.zeros(0, bool)
     full, part = _by_doc(full_doc, full_key), _by_doc(own[send], key[at][send])
     docs = sorted(full.keys() | part.keys())
     release_memory()
@@ -197,25 +256,89 @@ def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
 
 
-def _sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the strips that their documents were asked for."""
-    for batch in batches:
-        data, bounds = text_bytes(batch.column("text"))
-        ids = np.asarray(batch.column("doc"), dtype=np.int64)
-        wanted = [known(x) for x in batch.column("part").to_pylist()]
-        anchors, docs, at, content = [], [], [], []
-        for first, s in batch_strips(data, bounds):
-            cut = np.searchsorted(s.row, np.arange(len(np.unique(s.row)) and s.row[-1] + 2))
-            for i in range(len(cut) - 1):
-                x, y = cut[i], cut[i + 1]
-                for j in x + np.flatnonzero(member(s.key[x:y], wanted[first + i])):
-                    base = bounds[first + i]
-                    anchors.append(int(s.key[j] >> np.uint64(STRIP_BITS)) << 32 | int(s.spread[j]))
-                    docs.append(int(ids[first + i]))
-                    at.append(int(s.start[j]))
-                    content.append(data[base + s.start[j] : base + s.end[j]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int64()), pa.array(content, pa.binary())], names=["anchor", "doc", "start", "strip"])
-        release_memory()
+#: Kinds of rows: 0 a strip of an anchor; 1 hashes, documents and places of suffixes; 2 documents and ends of covered ranges.
+SENT = "bucket int, kind int, anchor long, doc long, start long, content binary"
+
+
+def smaller_elsewhere(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have the key of an entry of a smaller document."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    out = np.zeros(len(k), bool)
+    if len(k):
+        out[order] = d != d[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    return out
+
+
+def suffix_runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (doc, from, to) that suffixes at `at` cover over LENGTH bytes, neighbouring ones as one."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1), True]) if len(doc) else np.zeros(1, np.int64)
+    return doc[cut[:-1]], at[cut[:-1]], at[cut[1:] - 1] + LENGTH
+
+
+def _sender(buckets: int, hot: np.ndarray):
+    """Bytes of the strips that their documents were asked for; of hot anchors, the hashes of their suffixes."""
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in SENT.split(", ")]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def gathered(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, doc, at = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        late = smaller_elsewhere(key, doc)
+        covered = suffix_runs(doc[late], at[late])
+        rows = [(int(mix(doc[:1].view(np.uint64))[0] % np.uint64(buckets)), 2, None, None, None, np.concatenate(covered).tobytes())]
+        key, doc, at = key[~late], doc[~late], at[~late]
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, key, doc, at = bucket[order], key[order], doc[order], at[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            rows.append((int(bucket[x]), 1, None, None, None, np.concatenate([key[x:y].view(np.int64), doc[x:y], at[x:y]]).tobytes()))
+        return table(rows)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n_parts = [], 0
+        for batch in batches:
+            data, bounds = text_bytes(batch.column("text"))
+            ids = np.asarray(batch.column("doc"), dtype=np.int64)
+            wanted = [known(x) for x in batch.column("part").to_pylist()]
+            rows = []
+            for first, s in batch_strips(data, bounds):
+                anchor = anchor_of(s.key, s.spread)
+                dealt = (mix(anchor) % np.uint64(buckets)).astype(np.int64)
+                many = member(anchor, hot)
+                cut = np.searchsorted(s.row, np.arange(s.row[-1] + 2)) if len(s.row) else [0]
+                asked = [x + np.flatnonzero(member(s.key[x:y], wanted[first + i])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+                asked = np.concatenate(asked) if asked else np.zeros(0, np.int64)
+                for j in asked[~many[asked]]:
+                    base = bounds[first + s.row[j]]
+                    rows.append((int(dealt[j]), 0, int(anchor[j]), int(ids[first + s.row[j]]), int(s.start[j]), data[base + s.start[j] : base + s.end[j]].tobytes()))
+                hot_ones = asked[many[asked]]
+                if len(hot_ones):
+                    n = s.end[hot_ones] - s.start[hot_ones] - LENGTH + 1
+                    of = np.repeat(hot_ones, n)
+                    at = s.start[of] + np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
+                    begin = bounds[first]
+                    place = bounds[first + s.row[of]] - begin + at
+                    ranges = RangeHash(data[begin : bounds[min(first + s.row[-1] + 1, len(bounds) - 1)]])
+                    parts.append((ranges.of(place, place + LENGTH), ids[first + s.row[of]], at))
+                    n_parts += len(of)
+            yield table(rows)
+            if n_parts >= GATHERED:
+                yield gathered(parts)
+                parts, n_parts = [], 0
+            release_memory()
+        if parts:
+            yield gathered(parts)
+
+    return send
 
 
 def longest_previous(equal: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -242,8 +365,23 @@ def longest_previous(equal: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _factors(table: pa.Table) -> pa.Table:
-    """Covered ranges of the strips of a bucket of anchors, by their suffixes' longest previous factors."""
-    content = table.column("strip").to_pylist()
+    """Covered ranges of a bucket: of strips by their suffixes' longest previous factors, of hot suffixes by their hashes."""
+    kind = np.asarray(table.column("kind"))
+    strips_of = table.filter(pa.array(kind == 0))
+    out = [np.array(strip_factors(strips_of), np.int64).reshape(-1, 3).T] if len(strips_of) else []
+    packed = [[np.frombuffer(x, np.int64).reshape(3, -1) for x in table.column("content").filter(pa.array(kind == k)).to_pylist()] for k in (1, 2)]
+    if packed[0]:
+        key, doc, at = np.concatenate(packed[0], axis=1)
+        late = smaller_elsewhere(key, doc)
+        out.append(np.stack(suffix_runs(doc[late], at[late])))
+    doc, a, z = np.concatenate([*out, *packed[1]], axis=1) if out or packed[1] else np.zeros((3, 0), np.int64)
+    release_memory()
+    return pa.table({"doc": pa.array(doc), "a": pa.array(a), "z": pa.array(z)})
+
+
+def strip_factors(table: pa.Table) -> list[tuple[int, int, int]]:
+    """Covered ranges of strips, by the longest previous factors of the suffixes of each anchor."""
+    content = table.column("content").to_pylist()
     anchor, doc, start = (np.asarray(table.column(c), dtype=np.int64) for c in ("anchor", "doc", "start"))
     size = np.array([len(c) for c in content])
     order = np.argsort(anchor, kind="stable")
@@ -280,7 +418,7 @@ def _factors(table: pa.Table) -> pa.Table:
                 out.append((int(doc[r]), int(start[r] + at[hit[x]]), int(start[r] + at[hit[y - 1]] + LENGTH)))
         i = j
         release_memory()
-    return pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "a": pa.array([x[1] for x in out], pa.int64()), "z": pa.array([x[2] for x in out], pa.int64())})
+    return out
 
 
 def covered_ranges(length: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -296,7 +434,7 @@ def covered_ranges(length: int, ranges: list[tuple[int, int]]) -> list[tuple[int
 
 def _cutter(keep_text: bool):
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             data, bounds = text_bytes(batch.column("text"))
             full, spans = batch.column("full").to_pylist(), batch.column("spans").to_pylist()
             removed: list[list[tuple[int, int]]] = [[(s["a"], s["z"]) for s in x or ()] for x in spans]
@@ -345,20 +483,22 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     * null and texts shorter than LENGTH bytes keep all their bytes
     * matches are judged on the input and never cross documents; bytes may be cut inside a character
     * rows that share an id are one document to each other: neither is earlier
-    * a row with a null id comes after all others
+    * a row with a null id comes after all others; of these, the order is that of a hash of the text, and equal texts are one document
     * an empty table gives no rows; other columns are ignored
     """
-    bounded_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
-    size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
-    buckets = max(24, -(-size // (BYTES_PER_KEY * BUCKET_KEYS)))
-    packed = source.select("doc", "text").mapInArrow(_packer(buckets), PACKED)
-    replies = packed.groupBy("bucket").applyInArrow(_meet, "doc long, full binary, part binary")
-    told = stored(replies.groupBy("doc").agg(F.collect_list("full").alias("full"), F.collect_list("part").alias("part")), "strip-replies")
-    asked = told.filter(F.size("part") > 0).select("doc", "part")
-    sent = source.select("doc", "text").join(asked, "doc").mapInArrow(_sender, "anchor long, doc long, start long, strip binary")
-    spans = sent.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInArrow(_factors, "doc long, a long, z long")
-    spans = stored(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "strip-factors")
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key(F.col("doc_id"), text).alias("doc"), text.alias("text"))
+    with bounded_batches(docs.sparkSession):
+        size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+        buckets = max(24, -(-size // (BYTES_PER_KEY * BUCKET_KEYS)))
+        hot = hot_anchors(source, size)
+        packed = source.select("doc", "text").mapInArrow(_packer(buckets, hot), PACKED)
+        replies = packed.groupBy("bucket").applyInArrow(_meeting(hot), "doc long, full binary, part binary")
+        told = stored(replies.groupBy("doc").agg(F.collect_list("full").alias("full"), F.collect_list("part").alias("part")), "strip-replies")
+        asked = told.filter(F.size("part") > 0).select("doc", "part")
+        sent = source.select("doc", "text").join(asked, "doc").mapInArrow(_sender(buckets, hot), SENT)
+        spans = sent.groupBy("bucket").applyInArrow(_factors, "doc long, a long, z long")
+        spans = stored(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "strip-factors")
     known_of = told.select("doc", "full").join(spans, "doc", "full")
     rows = source.join(known_of, "doc", "left").select("doc_id", "text", "full", "spans")
     return rows.mapInArrow(_cutter(keep_text), RESULT + (", kept binary, removed array<struct<a:long,z:long>>" if keep_text else ""))
