@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookflow.llm.decontamination import NAME, NEEDED, NUMBER, SHORTEST, UNIT, UNITS, WINDOW
+from bookflow.llm.decontamination import FUNCTION_WORDS, NAME, NEEDED, NUMBER, NUMBER_WORDS, PLAIN, UNIT, UNITS, WINDOW
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,25 +34,32 @@ SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
 
 
 def leaks() -> str:
-    slot, words = f"[{NAME}{NUMBER}{UNIT}]", rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"
-
-    def marked(source: str, key: str, name: str) -> str:
-        return rf"""{name}0 AS (SELECT {key} AS id, string_split(regexp_replace(coalesce(text, ''), '(\d)[.,](\d)', '\1\2', 'g'), ' ') AS t FROM {source} WHERE {key} IS NOT NULL),
-{name}1 AS (SELECT id, array_to_string(list_transform(t, lambda x, i: CASE WHEN i > 1 AND regexp_matches(t[i - 1], '[\p{{Ll}}\p{{Nd}},;]$') AND regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '{NAME}' || x ELSE x END), ' ') AS t FROM {name}0),
-{name}2 AS (SELECT id, lower(regexp_replace(regexp_replace(t, '(\d+)', '{NUMBER}\1', 'g'), '({NUMBER}\d+) ?({"|".join(UNITS)})\b', '\1 {UNIT}\2', 'g')) AS m FROM {name}1),
-{name}3 AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(m, '({slot})[\p{{L}}\p{{N}}]+', '\1', 'g'), '{words}'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(m, '{words}'), lambda x: x <> '') AS v FROM {name}2)"""
-
-    def windows(name: str, length: str, source: str) -> str:
-        return f"""{name} AS (SELECT id, i, w, v, {length} AS len, array_to_string(w[i:i + {length} - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - {length} + 2)) AS i FROM {source}))"""
-
-    return f"""WITH {marked("benchmark", "item_id", "b")}, b4 AS (SELECT *, least(len(w), {WINDOW}) AS l FROM b3 WHERE len(w) >= {SHORTEST}), {windows("bw", "l", "b4")},
-{marked("documents", "doc_id", "d")}, lens AS (SELECT DISTINCT l FROM b4), d4 AS (SELECT * FROM d3, lens WHERE len(w) >= l), {windows("dw", "l", "d4")},
-hit AS (SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id, bw.i AS item_at, dw.i - bw.i AS diagonal, len(bw.w) - bw.len + 1 AS n, bw.len AS l, bw.v[bw.i:bw.i + bw.len - 1] AS iv, dw.v[dw.i:dw.i + dw.len - 1] AS dv
-  FROM dw JOIN bw ON dw.k = bw.k AND dw.len = bw.len),
-pair AS (SELECT doc_id, item_id, diagonal, unnest(iv) AS iv, unnest(dv) AS dv FROM hit),
-slots AS (SELECT doc_id, item_id, diagonal, count(DISTINCT (iv, dv)) AS p, count(DISTINCT iv) AS pi, count(DISTINCT dv) AS pd FROM pair WHERE regexp_matches(iv, '^{slot}') GROUP BY ALL),
-good AS (SELECT hit.*, coalesce(p, 0) AS p FROM hit LEFT JOIN slots USING (doc_id, item_id, diagonal) WHERE p IS NULL OR (p = pi AND p = pd))
-SELECT doc_id, item_id, count(DISTINCT item_at) AS matched_windows, any_value(n)::BIGINT AS item_windows, max(p)::BIGINT AS n_slots FROM good GROUP BY doc_id, item_id HAVING count(DISTINCT item_at) >= least({NEEDED}, any_value(n))"""
+    """Windows as strings: verbatim ones by their words, template ones with slots agreeing along diagonals."""
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+
+    def words(source: str, key: str, name: str) -> str:
+        mark = f"""CASE WHEN lower(x) IN ({listed(NUMBER_WORDS)}) OR regexp_full_match(x, '[0-9]+') THEN '{NUMBER}' WHEN lower(x) IN ({listed(UNITS)}) THEN '{UNIT}'
+          WHEN lower(x) <> x AND lower(x) NOT IN ({listed(FUNCTION_WORDS)}) AND regexp_full_match(x, '\\p{{Lu}}\\p{{Ll}}\\p{{L}}*') THEN '{NAME}' ELSE lower(x) END"""
+        return rf"""{name}0 AS (SELECT {key} AS id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '(\d)[.,](\d)', '\1\2', 'g'), '(\d)({"|".join(UNITS)})\b', '\1 \2', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {source}),
+{name}1 AS (SELECT id, list_transform(w, lambda x: lower(x)) AS v, list_transform(w, lambda x: {mark}) AS t FROM {name}0 WHERE len(w) > 0)"""
+
+    return f"""WITH {words("benchmark", "item_id", "b")}, {words("documents", "doc_id", "d")},
+b2 AS (SELECT *, least(len(v), {WINDOW}) AS l FROM b1), b3 AS (SELECT *, len(v) - l + 1 AS n, unnest(range(1, len(v) - l + 2)) AS pos FROM b2),
+bw AS MATERIALIZED (SELECT id AS item_id, n, pos, l, v[pos:pos + l - 1] AS vs, t[pos:pos + l - 1] AS ts FROM b3),
+lens AS (SELECT DISTINCT l FROM b2), d2 AS (SELECT id AS doc_id, v, t, l, unnest(range(1, len(v) - l + 2)) AS pos FROM d1, lens WHERE len(v) >= l),
+dw AS MATERIALIZED (SELECT doc_id, pos, l, hash(v[pos:pos + l - 1]) AS vk, hash(t[pos:pos + l - 1]) AS tk FROM d2),
+same AS (SELECT DISTINCT doc_id, item_id, bw.pos, n FROM (SELECT DISTINCT doc_id, vk FROM dw) dk JOIN bw ON dk.vk = hash(bw.vs)),
+bt AS (SELECT *, list_filter(range(1, {WINDOW + 1}), lambda i: vs[i] <> ts[i]) AS places FROM bw WHERE l = {WINDOW}),
+hit AS MATERIALIZED (SELECT doc_id, item_id, bt.pos AS pos, n, dw.pos - bt.pos AS diagonal, list_transform(places, lambda i: {{'i': bt.vs[i], 'd': d1.v[dw.pos + i - 1]}}) AS pairs
+  FROM dw JOIN bt ON dw.l = bt.l AND dw.tk = hash(bt.ts) JOIN d1 ON d1.id = dw.doc_id WHERE len(places) BETWEEN 1 AND {WINDOW - PLAIN}),
+seen AS (SELECT doc_id, item_id, diagonal, p, count(*) AS c FROM (SELECT doc_id, item_id, diagonal, unnest(pairs) AS p FROM hit) GROUP BY ALL),
+chosen AS (SELECT doc_id, item_id, diagonal, p FROM seen QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, diagonal, p.i ORDER BY c DESC, p.d) = 1),
+allowed AS (SELECT doc_id, item_id, diagonal, list(p) AS allowed FROM chosen GROUP BY ALL),
+good AS (SELECT doc_id, item_id, pos, n, pairs FROM hit JOIN allowed USING (doc_id, item_id, diagonal) WHERE list_has_all(allowed, pairs)),
+every AS (SELECT doc_id, item_id, pos, n FROM same UNION SELECT doc_id, item_id, pos, n FROM good),
+slots AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_slots FROM (SELECT doc_id, item_id, unnest(pairs) AS p FROM good) GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS matched_windows, any_value(n)::BIGINT AS item_windows, coalesce(any_value(n_slots), 0)::BIGINT AS n_slots
+FROM every LEFT JOIN slots USING (doc_id, item_id) GROUP BY doc_id, item_id HAVING count(*) >= least({NEEDED}, any_value(n))"""
 
 
 LEAKS = leaks()

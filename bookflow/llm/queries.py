@@ -33,7 +33,7 @@ ORACLES["op5_raking_mix"] = mixing.oracle()
 
 @query
 def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
 
 
 @query

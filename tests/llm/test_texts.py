@@ -251,12 +251,22 @@ def test_quality_scores_every_row(spark, docs, empty):
 def test_leaks(spark, docs, empty):
     question = "If Anna buys 12 apples for 3 dollars then how many apples can Anna buy for 9 dollars in the same shop on Monday"
     changed = question.replace("Anna", "Peter").replace("12", "40").replace(" 3 ", " 5 ").replace(" 9 ", " 20 ")
-    broken = question.replace("can Anna", "can Peter")
-    bench = spark.createDataFrame([(7, question, 1), (8, None, 1), (9, "too short", 1), (10, "", 1)], "item_id long, text string, doc_id int")
-    held = [(20, "before it, " + question + " and after", 0), (21, changed, 0), (22, prose(5, 300), 0), (23, broken, 0), (24, question.upper(), 0), (None, question, 0)]
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(spark.createDataFrame(held, "doc_id long, text string, key int"), bench).collect()}
-    assert {(20, 7), (21, 7)} <= got and not {d for d, _ in got} & {22, None}
-    assert (23, 7) not in got
+    merged = question.replace("12", "five").replace(" 3 ", " 5 ").replace(" 9 ", " 5 ")
+    slip = changed.replace("can Peter", "can Rosa")
+    numbers = " ".join(str(k) for k in range(30, 50))
+    registers = " ".join(f"x{k}" for k in range(1, 15))
+    bench = spark.createDataFrame([(7, question, 1), (8, None, 1), (9, "What is gravity", 1), (10, " .", 1), (11, numbers, 1), (12, registers, 1)], "item_id long, text string, doc_id int")
+    held = [
+        (20, "before it, " + question + " and after", 0), (21, changed, 0), (22, prose(5, 300), 0), (23, slip, 0), (24, question.upper(), 0), (25, question.lower(), 0), (26, merged, 0), (None, question, 0),
+        (27, "he asked: what is GRAVITY?", 0), (28, "What is the gravity", 0), (29, " ".join("0123456789" * 20), 0), (30, "and " + numbers, 0), (31, "x90" + " x17" * 20, 0), (20, "the same id " + prose(6, 30), 0),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(spark.createDataFrame(held, "doc_id long, text string, key int"), bench).collect()}
+    assert set(got) == {(d, 7) for d in (20, 21, 23, 24, 25, 26, None)} | {(27, 9), (30, 11)}
+    assert got[20, 7]["matched_windows"] == got[25, 7]["matched_windows"] == got[20, 7]["item_windows"] and got[21, 7]["n_slots"] >= 5
+    # the two windows in which Anna is not Rosa are left out, the others stay
+    assert got[23, 7]["matched_windows"] == got[21, 7]["matched_windows"] - 2
+    clean = decontamination.without_leaks(spark.createDataFrame(held, "doc_id long, text string, key int"), bench)
+    assert clean.columns == ["doc_id", "text", "key"] and sorted(r["doc_id"] for r in clean.collect()) == [20, 22, 28, 29, 31]
     assert decontamination.leaks(docs, bench).count() == 0
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
