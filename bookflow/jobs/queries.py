@@ -611,11 +611,6 @@ def cross_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(backtest.cross_asset(backtest.backtest_summary(_bt(spark, sf_dir)).withColumn("horizon", F.lit(H))), 6)
 
 
-@query()
-def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(backtest.format_summary(backtest.backtest_grid(predictions(spark, sf_dir), CONFIG)), 4)
-
-
 @query(f"{_RECURSIVE} SELECT symbol, {_r('avg(abs(d))', 'turnover')} FROM (SELECT symbol, position - lag(position) OVER (PARTITION BY symbol ORDER BY rn) AS d FROM bt) GROUP BY symbol")
 def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(stats.turnover(_bt(spark, sf_dir), ["symbol"]))

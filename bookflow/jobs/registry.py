@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookflow.jobs import model_queries, storage_queries  # noqa: F401 (they register their queries)
 from bookflow.jobs.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

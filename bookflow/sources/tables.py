@@ -6,6 +6,7 @@ prunes folders; nothing is sorted on reading.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,19 @@ from pyspark.sql import functions as F
 PARTS = ("symbol", "date")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, in a local session without it a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        jsc = spark.sparkContext._jsc.sc()
+        if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        found = jsc.getCheckpointDir().get()
+    return found.rstrip("/")
+
+
 def _chosen(df: DataFrame, symbols: Sequence[str] | None, start: str | None, end: str | None) -> DataFrame:
     if symbols:
         df = df.filter(F.col("symbol").isin(list(symbols)))
