@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.config import SCENARIOS, Config, Cost
-from bookflow.operators.splits import with_row_number
+from bookflow.operators.splits import with_previous, with_row_number
 
 KEYS = ("symbol",)
 
@@ -42,8 +42,8 @@ def non_overlapping(df: DataFrame, hold: int, keys: Sequence[str] = KEYS) -> Dat
 
 def with_traded(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds traded: 1 where the position differs from the row before; the position before the first row is 0."""
-    before = F.lag("position", 1, 0).over(Window.partitionBy(*keys).orderBy("timestamp"))
-    return df.withColumn("traded", (F.col("position") != before).cast("int"))
+    found = with_previous(df, "position", "__position_before", keys)
+    return found.withColumn("traded", (F.col("position") != F.coalesce("__position_before", F.lit(0))).cast("int")).drop("__position_before")
 
 
 def cost_of(c: Cost) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions.numeric import correlation
-from bookflow.operators.splits import fold_bounds, with_row_number
+from bookflow.operators.splits import fold_table, with_row_number
 from bookflow.operators.stats import decile_spread, ic_ir, ic_tstat, regression_metrics
 
 RIDGE, LASSO, LASSO_STEPS = 1.0, 0.01, 5000
@@ -212,7 +212,7 @@ def _scored_by_key(rows: DataFrame, models: dict[tuple, dict[str, Linear]], keys
     value = F.col("__b")
     for i, f in enumerate(features):
         value = value + F.col(f) * F.col("__w")[i]
-    return rows.join(F.broadcast(coefs), list(keys)).withColumn("y_pred", value).drop("__b", "__w")
+    return rows.join(coefs, list(keys)).withColumn("y_pred", value).drop("__b", "__w")
 
 
 def fold_metrics(df: DataFrame, target: str, features: Sequence[str], names: Sequence[str] = MODELS, n_folds: int = 5, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -222,12 +222,14 @@ def fold_metrics(df: DataFrame, target: str, features: Sequence[str], names: Seq
     of the blocks before its bound.
     """
     numbered = with_row_number(df, keys)
-    counts = {tuple(r[k] for k in keys): r["n"] for r in numbered.groupBy(*keys).agg(F.max("n_rows").alias("n")).collect()}
-    folds = {k: fold_bounds(n, n_folds) for k, n in counts.items()}
+    found = fold_table(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), n_folds, keys=keys).orderBy(*keys, "fold").collect()  # one row for each model
+    folds: dict[tuple, list[tuple[int, int, int, int]]] = {}
+    for r in found:
+        folds.setdefault(tuple(r[k] for k in keys), []).append((r["fold"], r["train_to"], r["test_from"], r["test_to"]))
     cuts = {k: sorted({x for f in fs for x in f[1:]}) for k, fs in folds.items()}
     spark, head = df.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
     table = spark.createDataFrame([(*k, c) for k, c in cuts.items()], head + ", __cuts array<long>")
-    blocks = numbered.join(F.broadcast(table), list(keys)).withColumn("__block", F.size(F.filter("__cuts", lambda c: c <= F.col("rn"))))
+    blocks = numbered.join(table, list(keys)).withColumn("__block", F.size(F.filter("__cuts", lambda c: c <= F.col("rn"))))
     rows = design(blocks, target, features, [*keys, "__block", "rn"])
     parts = grams(rows, features, [*keys, "__block"])
     models, sizes, spans = {}, {}, []
@@ -242,7 +244,7 @@ def fold_metrics(df: DataFrame, target: str, features: Sequence[str], names: Seq
                 sizes[(*k, fold)] = int(total.n)
                 spans.append((*k, fold, test_from, test_to, int(total.n)))
     spans_df = spark.createDataFrame(spans, head + ", fold int, __from long, __to long, train_size long")
-    test = rows.join(F.broadcast(spans_df), list(keys)).filter((F.col("rn") >= F.col("__from")) & (F.col("rn") < F.col("__to")))
+    test = rows.join(spans_df, list(keys)).filter((F.col("rn") >= F.col("__from")) & (F.col("rn") < F.col("__to")))
     scored = _scored_by_key(test, models, [*keys, "fold"], names).withColumnRenamed("__y", target)
     by = [*keys, "fold", "model", "train_size"]
     return evaluated(scored, target, by).withColumnRenamed("n", "test_size")

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from bookflow.config import micros
 from bookflow.functions.numeric import correlation
-from bookflow.operators.stats import average_rank
+from bookflow.operators.splits import with_row_number
+from bookflow.operators.stats import average_ranks, small_rank
 
 LEAST = 30
 
@@ -58,7 +59,7 @@ def ic_table(df: DataFrame, features: Sequence[str], horizons: Sequence[str], ke
     cells = [F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f).cast("double").alias("x"), F.col(f"y_return_{h}").alias("y")) for h in horizons for f in features if f in df.columns]
     long = df.select(*keys, F.inline(F.array(*cells))).filter("x is not null and y is not null")
     by = [*keys, "feature", "horizon"]
-    ranked = average_rank(average_rank(long, by, "x", "rx"), by, "y", "ry")
+    ranked = average_ranks(long, by, {"x": "rx", "y": "ry"})
     out = ranked.groupBy(*by).agg(correlation(F.col("x"), F.col("y")).alias("pearson_ic"), correlation(F.col("rx"), F.col("ry")).alias("spearman_ic"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     return out.mapInPandas(_with_p_values, head + ", pearson_pval double, spearman_pval double")
@@ -114,7 +115,7 @@ def regime_ic(df: DataFrame, target: str, regime_cols: Sequence[str], y_pred: st
     cells = F.array(*[F.struct(F.lit(c).alias("regime_type"), F.col(c).cast("string").alias("regime")) for c in regime_cols])
     long = df.filter(F.col(target).isNotNull() & F.col(y_pred).isNotNull()).select(*keys, F.col(target).alias("y"), F.col(y_pred).alias("p"), F.inline(cells)).filter("regime is not null")
     by = [*keys, "regime_type", "regime"]
-    ranked = average_rank(average_rank(long, by, "y", "ry"), by, "p", "rp")
+    ranked = average_ranks(long, by, {"y": "ry", "p": "rp"})
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), correlation(F.col("y"), F.col("p")).alias("pearson_ic"), correlation(F.col("ry"), F.col("rp")).alias("spearman_ic"), F.avg("y").alias("mean_return"), F.stddev_pop("y").alias("std_return")
     ).filter(F.col("n") >= least)
@@ -132,13 +133,12 @@ def rolling_ic(df: DataFrame, feature: str, target: str, window: int = 300, step
     Each row goes to the few windows that hold it, so the cost is rows times window / step.
     """
     rows = df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*keys, "timestamp", F.col(feature).alias("x"), F.col(target).alias("y"))
-    w = Window.partitionBy(*keys)
-    numbered = rows.withColumn("r", F.row_number().over(w.orderBy("timestamp")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    numbered = with_row_number(rows, keys).withColumnsRenamed({"rn": "r", "n_rows": "n"})
     low = F.greatest(F.lit(0), F.ceil((F.col("r") - window + 1) / step)).cast("int")
     high = F.floor(F.col("r") / step).cast("int")
     dealt = numbered.withColumn("j", F.explode(F.when(low <= high, F.sequence(low, high)))).filter(window + F.col("j") * step < F.col("n"))
     by = [*keys, "j"]
-    ranked = average_rank(average_rank(dealt, by, "x", "rx"), by, "y", "ry")
+    ranked = small_rank(small_rank(dealt, by, "x", "rx"), by, "y", "ry")
     return ranked.groupBy(*by).agg(correlation(F.col("rx"), F.col("ry")).alias("ic"), F.max("timestamp").alias("until"))
 
 

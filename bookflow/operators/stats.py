@@ -16,13 +16,52 @@ from pyspark.sql.window import Window
 from bookflow.functions.numeric import correlation
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
-    """Adds the rank of `value` among the key's rows, from 1, ties sharing their mean rank; NULL for NULL."""
+#: Ranges of values that the rows of a key are dealt to for ranking, and the accuracy of their bounds (one over the relative error).
+RANK_RANGES, RANGE_ACCURACY = 64, 1000
+
+
+def small_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+    """As average_rank, in one window for each key; for keys whose rows are few by construction."""
     w = Window.partitionBy(*keys)
     low, same = F.rank().over(w.orderBy(F.col(value).asc_nulls_last())), F.count(value).over(Window.partitionBy(*keys, value))
     return df.withColumn(name, F.when(F.col(value).isNotNull(), low + (same - 1) / 2.0))
 
 
+def _joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table on keys that may be NULL; AQE broadcasts it where it is measured to be small."""
+    other = table.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = [df[k].eqNullSafe(other[f"__of_{k}"]) for k in keys]
+    return df.join(other, same, how).drop(*[f"__of_{k}" for k in keys])
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """Adds the rank of each value column (value: name) among the key's rows, from 1, ties sharing their mean rank; NULL for NULL.
+
+    The rows of a key are dealt to ranges of values by approximate quantiles.
+    Ranks are taken inside a range, whose offset is the number of rows in the
+    ranges below, so no window spans a key and the result is exact.
+    """
+    points = F.array(*[F.lit(i / RANK_RANGES) for i in range(1, RANK_RANGES)])
+    bounds = df.groupBy(*keys).agg(*[F.percentile_approx(v, points, F.lit(RANGE_ACCURACY)).alias(f"__bounds_{n}") for v, n in names.items()])
+    placed = _joined(df, bounds, keys)
+    for v, n in names.items():
+        below = F.size(F.filter(F.array_distinct(F.coalesce(f"__bounds_{n}", F.array())), lambda e: e < F.col(v)))
+        placed = placed.withColumn(f"__range_{n}", F.when(F.col(v).isNotNull(), below)).drop(f"__bounds_{n}")
+    out = placed
+    for v, n in names.items():
+        by = [*keys, f"__range_{n}"]
+        sizes = placed.groupBy(*by).agg(F.count(v).alias("__n"))
+        upto = Window.partitionBy(*keys).orderBy(F.col(f"__range_{n}").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(*by, F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias(f"__offset_{n}"))
+        out = _joined(small_rank(out, by, v, n), offsets, by).withColumn(n, F.col(n) + F.col(f"__offset_{n}")).drop(f"__offset_{n}")
+    return out.drop(*[f"__range_{n}" for n in names.values()])
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+    """average_ranks of one column."""
+    return average_ranks(df, keys, {value: name})
+
+
 def average_rank_by_counts(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """As average_rank, by a running count over the distinct values; for columns with many repeats and large keys."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
@@ -99,7 +138,7 @@ def box_stats(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("sym
 def regression_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", least: int = 10) -> DataFrame:
     """Pearson and Spearman correlation, mean squared and absolute error of the rows where both are set; keys with fewer rows give none."""
     both = df.filter(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull()).select(*keys, F.col(y_true).alias("__y"), F.col(y_pred).alias("__p"))
-    ranked = average_rank(average_rank(both, keys, "__y", "__ry"), keys, "__p", "__rp")
+    ranked = average_ranks(both, keys, {"__y": "__ry", "__p": "__rp"})
     gap = F.col("__y") - F.col("__p")
     return ranked.groupBy(*keys).agg(
         correlation(F.col("__y"), F.col("__p")).alias("pearson_ic"), correlation(F.col("__ry"), F.col("__rp")).alias("spearman_ic"),

@@ -153,9 +153,13 @@ def test_costs_and_drawdown(spark):
     assert plain.drawdown[1] == -1.0
 
 
-def test_folds():
-    assert splits.fold_bounds(604_797)[-1][3] - splits.fold_bounds(604_797)[-1][2] == 24_191
-    assert splits.fold_bounds(20) == [] and [f[0] for f in splits.fold_bounds(1000)] == [0, 1, 2, 3, 4]
+def test_folds(spark):
+    got = splits.fold_table(spark.createDataFrame([("A", 604_797), ("B", 20), ("C", 1000), ("D", 130)], "symbol string, n long")).orderBy("symbol", "fold").collect()
+    of = lambda s: [r for r in got if r["symbol"] == s]
+    assert of("A")[-1]["test_to"] == 604_797 and all(r["test_to"] - r["test_from"] == 24_191 for r in of("A"))
+    assert of("B") == [] and [r["fold"] for r in of("C")] == [0, 1, 2, 3, 4]
+    # short histories have spans of 20 rows; a validation part has 10 rows at least
+    assert [tuple(r)[1:] for r in of("D")] == [(0, 38, 50, 70), (1, 53, 70, 90), (2, 68, 90, 110), (3, 83, 110, 130)][-len(of("D")) :]
 
 
 def test_gram_models_equal_direct_solutions(spark):
