@@ -2,14 +2,13 @@
 
 Each stage gets the rows that the one before kept and returns the columns of
 `documents`; the last returns the shards. Between stages the rows are written as
-Parquet and read again. Rows without a doc_id can't be named as duplicates or
-leaks, so stages 2 and 3 leave them alone.
+Parquet and read again. Rows are removed by id and text, so rows that share an id
+or have none are judged one by one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bookflow.llm import decontamination, mixing, near_dups, quality, sharding
 from bookflow.llm.common import documents, stored
@@ -25,14 +24,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates (five words, similarity 0.8)."""
-    gone = near_dups.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dups.first_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
