@@ -12,6 +12,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,25 +21,33 @@ from pyspark.sql import functions as F
 from bookflow.llm.common import small_or_not, stored
 
 #: Elements whose content is never text.
-RAW = "script|style|noscript|template|textarea|iframe|svg|select|title|object|canvas|math"
+RAW = "script|style|noscript|template|textarea|iframe|svg|select|title|object|canvas"
+#: Attributes as the standard reads them: a quote inside a name or an unquoted value is a plain character.
+ATTRIBUTES = r"""(?:[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?)*+"""
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{ATTRIBUTES})>""",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 
 #: Elements that hold others and can be the main container.
-CONTAINERS = frozenset("html body main article section div td table tbody tr ul ol dl nav header footer aside form figure blockquote center fieldset details".split())
+CONTAINERS = frozenset("html body main article section div td table tbody tr ul ol dl nav header footer aside form figure blockquote center fieldset details dialog menu".split())
 #: Elements that end a block of text.
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre th caption figcaption hr address summary legend option label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
+#: Open elements that the start of another element closes: a paragraph by any block, the others by their like.
+CLOSED_BY = {**{t: ("p",) for t in BREAKS}, "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "option": ("p", "option")}
 #: Elements that are never part of the article.
-BOILERPLATE_TAGS = frozenset("nav footer aside form header button dialog menu".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside form header button dialog menu label option datalist output meter progress".split())
+#: Words that mark an element wherever they stand in its names.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
-    "pagination pager popup promo promoted recommend recommended related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert advertisement adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead modal nav navbar navigation newsletter "
+    "pagination pager popup promo promoted replies respond sharing sidebar sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that mark an element only as a name of their own, or beside a word for the page.
+BOILERPLATE_NAMES = frozenset("banner copyright header menu notice recommend recommended related share social".split())
+PAGE_WORDS = frozenset("bar bottom box buttons global icons links list main page post posts site stories top wrapper".split())
 #: A page's vote starts at the deepest container with this share of its score.
 SHARE = 0.75
 #: Elements that are parts of an article: they are voted for only where no other container below the body stands.
@@ -49,10 +58,13 @@ ARTICLES = frozenset(["article", "main"])
 #: Blocks outside these tags are text of an article from this length on.
 PROSE = HEADINGS | frozenset("p li dt dd pre th td caption figcaption blockquote".split())
 LEAST_PROSE = 40
+PARAGRAPHS = HEADINGS | frozenset("p dd pre blockquote".split())
 #: Paths with at least this share of a host's votes win.
 WINS = 0.2
-#: A block of which links are more than this share is a menu, where no article text stands on both sides.
+#: A block of which links are more than this share is a menu, where no article text stands on both sides and it is no paragraph.
 MOST_LINKS = 0.6
+#: Elements nested deeper are read as text of the element at this depth.
+DEEPEST = 255
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -70,15 +82,24 @@ class Element:
     __slots__ = ("tag", "label", "path", "dull", "hidden")
 
     def __init__(self, tag: str, attrs: str, parent: str):
-        found = {}
+        found: dict[str, str] = {}
         for m in ATTRIBUTE.finditer(attrs) if attrs.strip() else ():
-            found[m.group(1).lower()] = m.group(2) or m.group(3) or m.group(4) or ""
-        names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower()
+            found.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
         self.tag = tag
         self.label = generalised(tag, found.get("class", ""))
         self.path = f"{parent}/{self.label}"
-        self.dull = tag in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(WORDS.findall(names))
-        self.hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.dull = tag in BOILERPLATE_TAGS or any(is_boilerplate(n) for k in ("class", "id", "role") if k in found for n in found[k].lower().split())
+        style = found.get("style", "").replace(" ", "").lower()
+        self.hidden = "hidden" in found or "display:none" in style or "visibility:hidden" in style
+
+
+@lru_cache(1 << 14)
+def is_boilerplate(name: str) -> bool:
+    """Whether a class, id or role marks an element that is no part of an article."""
+    words = WORDS.findall(name)
+    if not BOILERPLATE_WORDS.isdisjoint(words):
+        return True
+    return not BOILERPLATE_NAMES.isdisjoint(words) and all(w in BOILERPLATE_NAMES or w in PAGE_WORDS for w in words)
 
 
 def generalised(tag: str, classes: str) -> str:
@@ -87,52 +108,93 @@ def generalised(tag: str, classes: str) -> str:
     return ".".join([tag, *names])
 
 
-def blocks_of(html: str) -> list[tuple[tuple[Element, ...], str, str, float]]:
-    """Blocks in page order: open containers, block tag, text and share of linked letters."""
-    out, stack, inline, links = [], [], "", 0
-    block = Block((), "")
+class Reader:
+    """Reads a page's tags into blocks. Of elements that hold no others, only marked ones are tracked, so that their text can be told."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple[tuple[Element, ...], str, str, float]] = []
+        self.stack: list[Element] = []
+        self.open: Counter = Counter()
+        self.deep: Counter = Counter()
+        self.muted = self.links = 0
+        self.inline = ""
+        self.block = Block((), "")
+
+    def text(self, piece: str) -> None:
+        if not self.muted:
+            self.block.parts.append(piece)
+            if self.links:
+                self.block.linked += len(piece)
 
-    def close() -> None:
-        nonlocal block
+    def close_block(self) -> None:
+        block = self.block
         text = SPACE.sub(" ", entities.unescape("".join(block.parts))).strip()
         if text:
-            out.append((block.at, block.tag, text, min(1.0, block.linked / len(text))))
-        block = Block(tuple(stack), inline)
+            self.out.append((block.at, block.tag, text, min(1.0, block.linked / len(text))))
+        self.block = Block(tuple(self.stack), self.inline)
+
+    def pop(self, tag: str) -> None:
+        """Close the innermost open element of a tag and all inside it."""
+        while self.open[tag]:
+            e = self.stack.pop()
+            self.open[e.tag] -= 1
+            self.muted -= e.tag not in BREAKS
+            if e.tag == tag:
+                break
+
+    def start(self, tag: str, attrs: str) -> None:
+        for other in CLOSED_BY.get(tag, ()):
+            self.pop(other)
+        if tag in VOID or (tag not in CONTAINERS and not attrs.strip() and tag not in BOILERPLATE_TAGS and not self.open[tag]):
+            return
+        if len(self.stack) >= DEEPEST:
+            self.deep[tag] += tag in CONTAINERS
+            return
+        e = Element(tag, attrs, next((x.path for x in reversed(self.stack) if x.tag in CONTAINERS), ""))
+        if tag in CONTAINERS or e.dull or e.hidden or self.open[tag]:
+            self.stack.append(e)
+            self.open[tag] += 1
+            self.muted += tag not in BREAKS
+
+    def end(self, tag: str) -> None:
+        if self.deep[tag]:
+            self.deep[tag] -= 1
+        else:
+            self.pop(tag)
+
 
-    at = 0
-    for m in TOKEN.finditer(html):
+def blocks_of(html: str) -> list[tuple[tuple[Element, ...], str, str, float]]:
+    """Blocks in page order: open elements, block tag, text and share of linked letters."""
+    reader, at, whole = Reader(), 0, html.rfind(">") + 1  # no tag ends after it, so none is tried there
+    unclosed = False
+    for m in TOKEN.finditer(html, 0, whole):
         if m.start() > at:
-            piece = html[at : m.start()]
-            block.parts.append(piece)
-            if links:
-                block.linked += len(piece)
+            reader.text(html[at : m.start()])
         at = m.end()
         tag = m.group("tag")
         if tag is None:
+            raw = m.group("raw")
+            unclosed = at == whole and bool(raw and f"</{raw}".lower() not in m.group().lower() or not raw and m.group().startswith("<!--") and not m.group().endswith("-->"))
             continue
         tag = tag.lower()
         if tag == "a":
-            links = 0 if m.group("end") else 1
+            reader.links = 0 if m.group("end") else 1
         elif tag == "br":
-            block.parts.append("\n")
-        if tag not in BREAKS:
-            continue
+            reader.text("\n")
         if m.group("end"):
-            if tag in CONTAINERS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-            inline = ""
-            links = 0
+            if reader.open[tag] or reader.deep[tag]:
+                reader.end(tag)
+            if tag in BREAKS:
+                reader.inline, reader.links = "", 0
         else:
-            if tag in CONTAINERS:
-                stack.append(Element(tag, m.group("attrs"), stack[-1].path if stack else ""))
-            inline = tag
-        close()
-    block.parts.append(html[at:])
-    close()
-    return out
+            reader.start(tag, m.group("attrs"))
+            if tag in BREAKS:
+                reader.inline = tag
+        if tag in BREAKS:
+            reader.close_block()
+    reader.text("" if unclosed else html[at:].split("<!--")[0])
+    reader.close_block()
+    return reader.out
 
 
 def vote(blocks: list) -> tuple[str, int]:
@@ -147,12 +209,13 @@ def vote(blocks: list) -> tuple[str, int]:
     chains: dict[str, tuple[Element, ...]] = {}
     total = 0.0
     for at, tag, text, linked in blocks:
-        if not at or any(e.hidden for e in at):
+        if any(e.hidden for e in at) or not any(e.tag in CONTAINERS for e in at):
             continue
         dull = any(e.dull for e in at)
         score = len(text) * (1 - linked) * (0.1 if dull else 1.0)
         total += score
         prose = not dull and linked <= MOST_LINKS and (tag in PROSE or len(text) >= LEAST_PROSE)
+        at = tuple(e for e in at if e.tag in CONTAINERS)
         for i, e in enumerate(at):
             if e.path not in chains:
                 chains[e.path] = at[: i + 1]
@@ -189,7 +252,7 @@ def main_text(blocks: list, paths: set[str]) -> str | None:
     """Text of the article's blocks under any of the paths; None if the page has none of them."""
     met, out, menus = False, [], []
     for at, tag, text, linked in blocks:
-        inside = next((i for i, e in enumerate(at) if e.path in paths), None)
+        inside = next((i for i, e in enumerate(at) if e.tag in CONTAINERS and e.path in paths), None)
         if inside is None:
             continue
         met = True
@@ -199,7 +262,7 @@ def main_text(blocks: list, paths: set[str]) -> str | None:
         dull = [e for e in below if e.dull]
         if dull and not (tag in HEADINGS and all(e.tag == "header" for e in dull)):
             continue
-        if linked > MOST_LINKS:  # part of the article only between its other blocks
+        if linked > MOST_LINKS and tag not in PARAGRAPHS:  # part of the article only between its other blocks
             menus += [text] if out else []
             continue
         out += [*menus, text]
@@ -266,5 +329,5 @@ def extract(pages: DataFrame) -> DataFrame:
     cast = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")
     )
-    joined = cast.join(small_or_not(winners, winners.count()), "host", "left").select("page_id", "url", "html", "paths")
+    joined = cast.join(small_or_not(winners), "host", "left").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, by_consensus boolean")
