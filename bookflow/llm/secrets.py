@@ -39,6 +39,10 @@ HINT = re.compile(r"[pP][aA][sS][sS]|[sS][eE][cC][rR]|[tT][oO][kK][eE]|[aA][pP][
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+WIDE_UNICODE = re.compile(r"(?:\\U[0-9A-Fa-f]{8})+")
+BYTE_ESCAPES = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+")
+#: The least content that tells raw deflate data, which has no header, from chance.
+LEAST_DEFLATED = 16
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 #: A base64 run that goes on over line ends, also written-out ones.
@@ -146,6 +150,39 @@ def _unicode(run: str) -> str:
     return binascii.unhexlify(run.replace("\\u", "")).decode("utf-16-be", "replace")
 
 
+def _wide_unicode(run: str) -> str:
+    return binascii.unhexlify(run.replace("\\U", "")).decode("utf-32-be", "replace")
+
+
+def _byte_escapes(run: str) -> str:
+    return bytes.fromhex(run.replace("\\x", "")).decode("utf-8", "replace")
+
+
+#: Escapes of text: a mark that must stand in it, their runs, the letters of one escape, decoder and name.
+ESCAPES = (
+    ("%", PERCENT, 3, _percent, "url"), ("\\u", UNICODE, 6, _unicode, "unicode"), ("\\U", WIDE_UNICODE, 10, _wide_unicode, "unicode"), ("\\x", BYTE_ESCAPES, 4, _byte_escapes, "bytes"),
+)
+
+
+def wide_texts(raw: bytes) -> Iterator[str]:
+    """Bytes read as UTF-16 in either order, where that gives letters of ASCII for the most part."""
+    if raw.count(0) * 4 < len(raw):
+        return
+    for code in ("utf-16-le", "utf-16-be"):
+        text = raw.decode(code, "replace")
+        if sum(31 < ord(c) < 127 for c in text) * 2 > len(text):
+            yield text
+
+
+def raw_deflated(raw: bytes) -> bool:
+    """Whether bytes begin with deflate data without a header: text of some length comes out before any damage."""
+    try:
+        out = zlib.decompressobj(-zlib.MAX_WBITS).decompress(raw[:STEP], 4096)
+    except zlib.error:
+        return False
+    return len(out) >= LEAST_DEFLATED and sum(31 < b < 127 or b in b"\t\r\n" for b in out) * 4 > 3 * len(out)
+
+
 def packed_at(raw: bytes) -> Iterator[int]:
     """Places where zlib or gzip data seems to begin."""
     if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 and not PACKED.match(raw):
@@ -153,13 +190,13 @@ def packed_at(raw: bytes) -> Iterator[int]:
     yield from (m.start() for m in PACKED.finditer(raw))
 
 
-def unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of zlib or gzip data, member after member, up to its end or to damage."""
-    opened, fresh = zlib.decompressobj(zlib.MAX_WBITS | 32), True
+def unpacked(chunks: Iterator[bytes], bits: int = zlib.MAX_WBITS | 32) -> Iterator[bytes]:
+    """The content of zlib or gzip data, or of deflate data alone, member after member, up to its end or to damage."""
+    opened, fresh = zlib.decompressobj(bits), True
     for chunk in chunks:
         full = False
         while chunk or full:
-            if fresh and not (chunk := bytes(chunk).lstrip(b"\0")):  # padding between members
+            if fresh and bits > 0 and not (chunk := bytes(chunk).lstrip(b"\0")):  # padding between members
                 break
             try:
                 out = opened.decompress(chunk, STEP)
@@ -168,7 +205,7 @@ def unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
             fresh, full = opened.eof, len(out) == STEP and not opened.eof
             chunk = opened.unused_data if opened.eof else opened.unconsumed_tail
             if opened.eof:
-                opened = zlib.decompressobj(zlib.MAX_WBITS | 32)
+                opened = zlib.decompressobj(bits)
             if out:
                 yield out
 
@@ -214,18 +251,21 @@ def from_base64(run: str) -> Iterator[bytes]:
 
 def inner_layers(layer: Layer) -> Iterator[Layer]:
     text = layer.text
-    if "%" in text and (new := unescaped(layer, PERCENT, 3, _percent, "url")):
-        yield new
-    if "\\u" in text and (new := unescaped(layer, UNICODE, 6, _unicode, "unicode")):
-        yield new
+    for mark, pattern, width, decode, via in ESCAPES:
+        if mark in text and (new := unescaped(layer, pattern, width, decode, via)):
+            yield new
     for pattern in (BASE64, BASE64_LINES):
         for m in pattern.finditer(text):
             for raw in from_base64(m.group()):
                 yield Layer(raw.decode("utf-8", "replace"), *layer.origin(m.start(), m.end()), f"{layer.via}>base64", raw)
     if layer.raw is not None:
-        for at in packed_at(layer.raw):
-            def chunks(at: int = at) -> Iterator[bytes]:
-                return unpacked(chain(slices(layer.raw, at), layer.rest() if layer.rest else ()))
+        for wide in wide_texts(layer.raw):
+            yield Layer(wide, layer.first, layer.last, f"{layer.via}>utf16")
+        opened = [(at, zlib.MAX_WBITS | 32) for at in packed_at(layer.raw)]
+        opened += [(0, -zlib.MAX_WBITS)] if raw_deflated(layer.raw) else []
+        for at, bits in opened:
+            def chunks(at: int = at, bits: int = bits) -> Iterator[bytes]:
+                return unpacked(chain(slices(layer.raw, at), layer.rest() if layer.rest else ()), bits)
 
             yield from pieces(chunks, (layer.first, layer.last), f"{layer.via}>deflate")
 
