@@ -3,8 +3,11 @@
 Documents are summed into cells (source, lang, topic) first; the fit works on
 cells, so its size follows the number of different triples, not of documents.
 Each round scales the mass of the cells to the target of one dimension after
-another. A cell's weight, fitted mass over observed mass, gives the probability
-with which each of its documents is kept.
+another, but never above the cell's tokens: a cell that reaches them is kept
+whole, and the other cells of the same value make up for it in later rounds. The
+fitted mass over the observed one is the probability with which each of the
+cell's documents is kept. `unmet` reports what a target still lacks, which is
+more than rounding only where the tokens don't suffice.
 """
 
 from __future__ import annotations
@@ -13,17 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bookflow.llm.common import small_or_not, stored
+from bookflow.llm.common import forget, small_or_not, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponents of the default targets: a value's target share goes with its observed share to this power.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 #: Topics by a mark in the text, tried in this order; texts without one are prose.
 TOPIC_MARKS = (("table", " | "), ("symbols", "%%%"), ("shouting", "!! "), ("license", "icense"))
-ROUNDS = 20
+ROUNDS = 40
 BLOCK = 5
 KEEP = 0.7
-SCALE_ROUNDS = 12
 #: Cells fitted in one partition without shuffles, if they are counted to be no more than this.
 ONE_TASK_CELLS = 200_000
 NONE = "(none)"
@@ -68,57 +70,51 @@ def tempered(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
     return powered.join(F.broadcast(whole)).select(dimension, (F.col("p") / F.col("whole")).alias(f"to_{dimension}"))
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Fit the cells' mass to their targets to_<dimension>, in rounds; adds `weight`.
+def rake(cells: DataFrame, keep: float = KEEP, rounds: int | None = None) -> DataFrame:
+    """Fit the cells' mass to their targets to_<dimension> of `keep` of all tokens, in rounds, none above its tokens.
 
-    Cells whose number is checked to be small stay in one partition, which every
-    window below accepts as it is; more cells are dealt out by each dimension.
+    Adds mass, weight (mass over the part `keep` of the cell's tokens) and
+    probability. Cells whose number is checked to be small stay in one partition,
+    which every window below accepts as it is; more cells are summed by each
+    dimension and joined with the sums.
     """
-    n = cells.count()
-    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 0.0
-    fitted = cells.withColumn("mass", F.col("tokens").cast("double"))
+    n, rounds = cells.count(), ROUNDS if rounds is None else rounds
+    budget = keep * (cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 0.0)
+    fitted, before = cells.withColumn("mass", F.col("tokens") * F.lit(float(keep))), None
     for done in range(0, rounds, BLOCK):
         fitted = fitted.coalesce(1) if n <= ONE_TASK_CELLS else fitted
         for _ in range(min(BLOCK, rounds - done)):
             for d in DIMENSIONS:
-                now = F.sum("mass").over(Window.partitionBy(d))
-                fitted = fitted.withColumn("mass", F.when(now > 0, F.col("mass") * F.col(f"to_{d}") * F.lit(total) / now).otherwise(F.lit(0.0)))
+                if n <= ONE_TASK_CELLS:
+                    fitted = fitted.withColumn("__now", F.sum("mass").over(Window.partitionBy(d)))
+                else:
+                    fitted = fitted.join(fitted.groupBy(d).agg(F.sum("mass").alias("__now")), d)
+                aimed = F.when(F.col("__now") > 0, F.col("mass") * F.col(f"to_{d}") * F.lit(budget) / F.col("__now")).otherwise(F.lit(0.0))
+                fitted = fitted.withColumn("mass", F.least(F.col("tokens").cast("double"), aimed)).drop("__now")
         fitted = stored(fitted, "mixing-mass")
-    return fitted.withColumn("weight", F.col("mass") / F.col("tokens"))
+        if before is not None:
+            forget(before)
+        before = fitted
+    return fitted.withColumns({"weight": F.col("mass") / (F.col("tokens") * F.lit(float(keep))), "probability": F.col("mass") / F.col("tokens")})
 
 
-def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Adds `probability`: min(1, scale * weight), with the scale at which `keep` of all tokens is expected.
+def unmet(fitted: DataFrame) -> DataFrame:
+    """dimension, value, target and share of the fitted mass for every value of raked cells."""
+    whole = fitted.agg(F.sum("mass").alias("whole"))
+    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"to_{d}").alias("target")) for d in DIMENSIONS])
+    sums = fitted.select("mass", F.inline(cells)).groupBy("dimension", "value").agg(F.max("target").alias("target"), F.sum("mass").alias("mass"))
+    return sums.join(F.broadcast(whole)).select("dimension", "value", "target", (F.col("mass") / F.col("whole")).alias("share"))
 
-    Each round reads one row of sums from the cells; the loop holds no table.
-    """
-    sums = cells.agg(F.sum("tokens").cast("double").alias("t"), F.sum("mass").alias("m")).first()
-    budget = keep * (sums["t"] or 0.0)
-    scale = budget / sums["m"] if sums["m"] else 1.0
-    for _ in range(SCALE_ROUNDS):
-        full = F.col("weight") * F.lit(scale) >= 1.0
-        part = cells.agg(
-            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)).cast("double").alias("full"),
-            F.coalesce(F.sum(F.when(~full, F.col("mass"))), F.lit(0.0)).alias("rest"),
-        ).first()
-        if not part["rest"]:
-            break
-        new = (budget - part["full"]) / part["rest"]
-        if abs(new - scale) <= 1e-12 * scale:
-            break
-        scale = new
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
-
-
-def fitted_cells(rows: DataFrame, keep: float, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, int]:
-    """The cells with weight and probability, and their number."""
+
+def fitted_cells(rows: DataFrame, keep: float, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """The raked cells with their targets, mass, weight and probability."""
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mixing-cells")
     aimed = cells
     for d in DIMENSIONS:
         given = (targets or {}).get(d)
         to = tempered(cells, d, TEMPER[d]) if given is None else given.toDF(d, f"to_{d}")
         aimed = aimed.join(to, d, "left").withColumn(f"to_{d}", F.coalesce(F.col(f"to_{d}"), F.lit(0.0)))
-    return calibrated(rake(stored(aimed, "mixing-targets")), keep).select(*DIMENSIONS, "weight", "probability"), cells.count()
+    return rake(stored(aimed, "mixing-targets"), keep)
 
 
 def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Column | None = None) -> DataFrame:
@@ -129,20 +125,21 @@ def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | Non
     topic, weight, probability and kept for every row.
 
     * null text has 1 token and is prose; null source or lang is the value "(none)"
-    * a value without a target, or a target without rows, gets no mass: its rows have probability 0
+    * a value without a target gets no mass: its rows have probability 0
+    * a target without rows, or of more tokens than there are, can't be met: all tokens of the value are kept, and `unmet` shows the gap
     * rows with a null id draw by their text; repeated rows draw alike
     * an empty table gives no rows; other columns of the input are ignored
     """
     rows = measured(docs, seed, topic)
-    table, n = fitted_cells(rows, keep, targets)
-    return rows.join(small_or_not(table, n), list(DIMENSIONS)).select(
+    table = fitted_cells(rows, keep, targets).select(*DIMENSIONS, "weight", "probability")
+    return rows.join(small_or_not(table), list(DIMENSIONS)).select(
         "doc_id", "tokens", *DIMENSIONS, F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), (F.col("draw") < F.col("probability")).alias("kept")
     )
 
 
 def sampled(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Column | None = None) -> DataFrame:
     """The rows that `mix` keeps, with all their columns."""
-    table, n = fitted_cells(measured(docs, seed, topic), keep, targets)
+    table = fitted_cells(measured(docs, seed, topic), keep, targets)
     table = table.select(*[F.col(d).alias(f"__mix_{d}") for d in DIMENSIONS], F.col("probability").alias("__mix_p"))
     label = {
         "source": F.coalesce(docs["source"].cast("string"), F.lit(NONE)),
@@ -151,7 +148,7 @@ def sampled(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] |
     }
     rows = docs.withColumns({f"__own_{d}": c for d, c in label.items()})
     same = [F.col(f"__own_{d}") == F.col(f"__mix_{d}") for d in DIMENSIONS]
-    kept = rows.join(small_or_not(table, n), same).filter(unit_interval(docs["doc_id"], docs["text"], seed) < F.col("__mix_p"))
+    kept = rows.join(small_or_not(table), same).filter(unit_interval(docs["doc_id"], docs["text"], seed) < F.col("__mix_p"))
     return kept.select(*[docs[c] for c in docs.columns])
 
 
@@ -168,20 +165,13 @@ def oracle(keep: float = KEEP, seed: int = 17) -> str:
     for d in DIMENSIONS:
         parts.append(f"p_{d} AS (SELECT {d}, pow(sum(tokens), {TEMPER[d]}::DOUBLE) AS p FROM c GROUP BY {d})")
         parts.append(f"t_{d} AS (SELECT {d}, p / (SELECT sum(p) FROM p_{d}) AS to_{d} FROM p_{d})")
-    parts.append("m0 AS MATERIALIZED (SELECT c.*, tokens AS mass, to_source, to_lang, to_topic FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
+    parts.append(f"m0 AS MATERIALIZED (SELECT c.*, tokens * {keep}::DOUBLE AS mass, to_source, to_lang, to_topic FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
     k = 0
     for _ in range(ROUNDS):
         for d in DIMENSIONS:
-            parts.append(f"m{k + 1} AS MATERIALIZED (SELECT * REPLACE (mass * to_{d} * (SELECT sum(tokens) FROM c) / sum(mass) OVER (PARTITION BY {d}) AS mass) FROM m{k})")
+            parts.append(f"m{k + 1} AS MATERIALIZED (SELECT * REPLACE (least(tokens, mass * to_{d} * (SELECT {keep}::DOUBLE * sum(tokens) FROM c) / sum(mass) OVER (PARTITION BY {d})) AS mass) FROM m{k})")
             k += 1
-    parts.append(f"w AS MATERIALIZED (SELECT *, mass / tokens AS weight FROM m{k})")
-    parts.append(f"s0 AS MATERIALIZED (SELECT {keep} * sum(tokens) / sum(mass) AS scale FROM w)")
-    for i in range(SCALE_ROUNDS):
-        parts.append(
-            f"""s{i + 1} AS MATERIALIZED (SELECT coalesce(({keep} * sum(tokens) - coalesce(sum(tokens) FILTER (weight * scale >= 1), 0))
-            / nullif(sum(mass) FILTER (NOT weight * scale >= 1), 0), any_value(scale)) AS scale FROM w, s{i})"""
-        )
-    parts.append(f"q AS (SELECT source, lang, topic, weight, least(1.0::DOUBLE, weight * scale) AS probability FROM w, s{SCALE_ROUNDS})")
+    parts.append(f"q AS (SELECT source, lang, topic, mass / (tokens * {keep}::DOUBLE) AS weight, mass / tokens AS probability FROM m{k})")
     return (
         "WITH " + ",\n".join(parts) + "\nSELECT doc_id, r.tokens, source, lang, topic, round(weight, 9) AS weight, round(probability, 9) AS probability, draw < probability AS kept FROM r JOIN q USING (source, lang, topic)"
     )

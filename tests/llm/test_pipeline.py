@@ -26,19 +26,15 @@ def mixed_plainly(rows, keep):
             sums[c[k]] = sums.get(c[k], 0) + m
         power = {v: s ** mixing.TEMPER[d] for v, s in sums.items()}
         goal.append({v: p / sum(power.values()) for v, p in power.items()})
+    mass = {c: m * keep for c, m in seen.items()}
     for _ in range(mixing.ROUNDS):
         for k in range(3):
             sums = {}
             for c, m in mass.items():
                 sums[c[k]] = sums.get(c[k], 0) + m
-            mass = {c: m * goal[k][c[k]] * total / sums[c[k]] for c, m in mass.items()}
-    low, high = 0.0, 1e6
-    for _ in range(200):
-        scale = (low + high) / 2
-        kept = sum(seen[c] * min(1, scale * mass[c] / seen[c]) for c in seen)
-        low, high = (scale, high) if kept < keep * total else (low, scale)
+            mass = {c: min(seen[c], m * goal[k][c[k]] * total * keep / sums[c[k]]) for c, m in mass.items()}
     draw = {i: int(hashlib.md5(f"{i}:17".encode()).hexdigest()[:8], 16) / 2**32 for i in cell}
-    return {i for i, c in cell.items() if draw[i] < min(1, low * mass[c] / seen[c])}
+    return {i for i, c in cell.items() if draw[i] < mass[c] / seen[c]}
 
 
 def test_pipeline_equals_plain_stages(spark, tmp_path):
