@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookflow.llm.common import parts_of, stored
 from bookflow.llm.kernels import text_bytes
 
 UNIT = 192
@@ -88,18 +89,21 @@ def wav(codec: str, payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def unwav(media: bytes) -> tuple[str, bytes]:
-    """Codec and data chunk of a WAV file, found by walking its chunks."""
-    at, codec = 12, ""
+def unwav(media: bytes) -> tuple[str, int, bytes]:
+    """Codec, bytes of a block and data chunk of a WAV file of one channel, found by walking its chunks; codec "" where the file is damaged or of another kind."""
+    at, codec, align = 12, "", 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt ":
-            tag = struct.unpack_from("<H", media, at + 8)[0]
-            codec = next(k for k, v in TAGS.items() if v == tag)
+        if name == b"fmt " and at + 24 <= len(media):
+            tag, channels, _, _, align, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            codec = next((k for k, v in TAGS.items() if v == tag and channels == 1), "")
         elif name == b"data":
-            return codec, media[at + 8 : at + 8 + size]
+            data = media[at + 8 : at + 8 + size]
+            if codec == "adpcm":  # a last block that is cut short holds no whole header and data
+                return (codec, align, data[: len(data) // align * align]) if align > 4 else ("", 1, b"")
+            return (codec, 1, data) if codec else ("", 1, b"")
         at += 8 + size + (size & 1)
-    raise ValueError("a WAV file without a data chunk")
+    return "", 1, b""
 
 
 def payload_of(text: bytes) -> bytes:
@@ -118,13 +122,15 @@ def doubled(pcm: np.ndarray) -> np.ndarray:
 
 def feature_of(codec: str, pcm: np.ndarray) -> str:
     """Length, energy, peak, zero crossings and a checksum of resampled PCM, all whole numbers."""
+    if not len(pcm):
+        return f"{codec or 'damaged'};rate={OUT_RATE};samples=0"
     x = pcm.astype(np.int64)
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     return f"{codec};rate={OUT_RATE};samples={len(x)};energy={int((x * x).sum() // len(x))};peak={int(np.abs(x).max())};crossings={crossings};crc={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts_of(batches, "text"):
         data, bounds = text_bytes(batch.column("text"))
         raw = data.tobytes()
         media = []
@@ -146,49 +152,40 @@ def decoded(media: list[bytes]) -> list[tuple[str, bytes, np.ndarray]]:
     """Codec, stored payload and PCM at RATE of each file; all ADPCM blocks of the list advance together."""
     opened = [unwav(m) for m in media]
     out: list[tuple[str, bytes, np.ndarray]] = [("", b"", np.zeros(0, np.int16))] * len(media)
-    blocks = []
-    for i, (codec, data) in enumerate(opened):
+    blocks: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, (codec, align, data) in enumerate(opened):
         raw = np.frombuffer(data, np.uint8)
         if codec == "adpcm":
-            blocks.append((i, raw.reshape(-1, BLOCK + 4)))
-        else:
+            blocks.setdefault(align, []).append((i, raw.reshape(-1, align)))
+        elif codec:
             out[i] = (codec, data, (MU_LAW if codec == "ulaw" else A_LAW)[raw])
-    if blocks:
-        samples = adpcm_samples(np.concatenate([b for _, b in blocks]))
+    for alike in blocks.values():
+        samples = adpcm_samples(np.concatenate([b for _, b in alike]))
         at = 0
-        for i, b in blocks:
+        for i, b in alike:
             out[i] = ("adpcm", b[:, 4:].tobytes(), samples[at : at + len(b)].reshape(-1))
             at += len(b)
     return out
 
 
 def _decoder(keep_pcm: bool):
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()} | ({"pcm": pa.binary()} if keep_pcm else {})
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = batch.column("media").to_pylist()
-            rows = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(("pcm",) if keep_pcm else ()))}
-            most, at = 1 << 21, 0
-            while at < len(media):
-                size, end = 0, at
-                while end < len(media) and (size == 0 or size + len(media[end]) <= most):
-                    size += len(media[end])
-                    end += 1
-                for file, (codec, payload, pcm) in zip(media[at:end], decoded(media[at:end]), strict=True):
-                    out = doubled(pcm)
-                    rows["payload_bytes"].append(len(payload))
-                    rows["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                    rows["tail_crc32"].append(zlib.crc32(payload[-16:]))
-                    rows["media_bytes"].append(len(file))
-                    rows["media_sha256"].append(hashlib.sha256(file).hexdigest())
-                    rows["feature"].append(feature_of(codec, out))
-                    if keep_pcm:
-                        rows["pcm"].append(out.astype("<i2").tobytes())
-                at = end
-            names = list(rows)
-            kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "pcm": pa.binary()}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(rows[k], kinds.get(k, pa.int64())) for k in names)], names=["doc_id", "n_bytes", *names]
-            )
+        for part in parts_of(batches, "media", 1 << 21):
+            media = part.column("media").to_pylist()
+            rows: dict[str, list] = {k: [] for k in kinds}
+            for file, (codec, payload, pcm) in zip(media, decoded(media), strict=True):
+                out = doubled(pcm)
+                rows["payload_bytes"].append(len(payload))
+                rows["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
+                rows["tail_crc32"].append(zlib.crc32(payload[-16:]))
+                rows["media_bytes"].append(len(file))
+                rows["media_sha256"].append(hashlib.sha256(file).hexdigest())
+                rows["feature"].append(feature_of(codec, out))
+                if keep_pcm:
+                    rows["pcm"].append(out.astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(rows[k], kind) for k, kind in kinds.items())], names=["doc_id", "n_bytes", *kinds])
 
     return decode
 
@@ -202,10 +199,13 @@ def read_back(media: DataFrame, keep_pcm: bool = True) -> DataFrame:
 
 
 def audio(docs: DataFrame, keep_pcm: bool = True) -> DataFrame:
-    """Store every text as telephony audio, read the stored bytes back, expand and resample them.
+    """Store every text as telephony audio in a table of the shared folder, read the stored bytes back, expand and resample them.
+
+    Returns RESULT and, with keep_pcm, the resampled PCM, 4 bytes or more for each
+    byte of text.
 
     * null text counts as empty: a payload of UNIT spaces
     * each row is handled on its own; repeated rows and ids repeat their result
     * an empty table gives no rows; other columns are ignored
     """
-    return read_back(encoded(docs), keep_pcm)
+    return read_back(stored(encoded(docs), "media"), keep_pcm)
