@@ -175,15 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Fit a model on at most `most` labelled documents that are not held out, those with the smallest hashes of their ids.
 
     Rows without a label, text or id are left out; of several labels of an id the
-    smallest counts. Without any usable rows the model is fitted on one empty
+    smallest counts, and of several texts the first in order. Without any usable rows the model is fitted on one empty
     text of each label and scores every text 0.5.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     source = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    source = source.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = source.join(F.broadcast(chosen), "doc_id").select("quality", "text")  # `most` rows at most
-    bags = rows.mapInArrow(_bags, "quality int, bag binary").limit(2 * most).collect()
+    bags = rows.mapInArrow(_bags, "quality int, bag binary").collect()
     bags = [(r["quality"], bytes(r["bag"])) for r in bags] or [(q, np.zeros(N_FEATURES, np.float32).tobytes()) for q in (0, 1)]
     bags.sort()
     parts = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, b in bags]
