@@ -8,7 +8,10 @@ number, is removed.
 Lines with one word left out are hashed variants. A replaced word at place i
 makes equal variants with the same i; an inserted word makes a variant that
 equals the other line. Only lines that share their first or second half with
-another line, which every near pair does, are cut into variants.
+another line, which every near pair does, are cut into variants. Of the lines of a
+batch that share a variant at the same place, only the earliest one travels; the
+others are near it and are paired with it at once. So a variant of very many lines
+adds one entry a batch to its bucket.
 """
 
 from __future__ import annotations
@@ -21,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.llm import keyring
-from bookflow.llm.common import small_or_not, stored
+from bookflow.llm.common import doc_key, small_or_not, stored
 from bookflow.llm.kernels import RangeHash, mix, passes, powers, text_bytes, word_ranges
 
 #: Words of the longer line of a near pair, at least.
 LEAST = 5
-#: Parts into which the lines that share a variant are dealt; plain lines are sent to all of them.
-SALTS = 8
-LAST = np.iinfo(np.int64).max
+#: Keys of documents without an id begin here.
+LAST = 1 << 62
 SIDE = mix(np.arange(1, 4, dtype=np.uint64))
 
 
@@ -151,10 +153,23 @@ def variants(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     )
 
 
-PACKED = "bucket int, h binary, doc binary, line binary, keys binary, roles binary, places binary"
+PACKED = "bucket int, h binary, doc binary, line binary, keys binary, roles binary, places binary, later binary, earlier binary"
+
+
+def heads_of(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each entry, the entry with the same key that comes first in `order`."""
+    by = np.lexsort((order, keys))
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[by][1:] != keys[by][:-1]
+    out = np.empty(len(keys), np.int64)
+    out[by] = by[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(keys) else by
+    return out
 
 
 def _variant_packer(buckets: int):
+    kinds = [pa.int32(), *[pa.binary()] * 8]
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column("words"))
@@ -163,30 +178,33 @@ def _variant_packer(buckets: int):
             for first, last in passes(bounds):
                 place, role, key = variants(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
                 ids = (h[first:last], doc[first:last], line[first:last])
-                # lines that share a left-out word are dealt over the salts, plain lines go to every salt
-                salt = mix(ids[0][place].view(np.uint64)) % np.uint64(SALTS)
-                whole = role == 2
-                parts = [(place[~whole], role[~whole], key[~whole], np.where(role[~whole] == 1, salt[~whole], 0))]
-                parts += [(place[whole], role[whole], key[whole], np.full(whole.sum(), s, np.uint64)) for s in range(SALTS)]
-                place, role, key, salt = (np.concatenate(x) for x in zip(*parts, strict=True))
-                bucket = keyring.bucket_of(mix(key + salt.astype(np.uint64)), buckets)
+                rank = np.empty(last - first, np.int64)
+                rank[np.lexsort((ids[2], ids[1]))] = np.arange(last - first)
+                cut = int((role == 0).sum())  # entries of roles 0 and 1 stand in the same order
+                head = place[heads_of(key[:cut], rank[place[:cut]])]
+                late = head != place[:cut]
+                a, b = keyring.unique_links(ids[0][place[:cut][late]], ids[0][head[late]])
+                keep = np.r_[~late, ~late, np.ones(len(place) - 2 * cut, bool)]
+                place, role, key = place[keep], role[keep], key[keep]
+                bucket = keyring.bucket_of(mix(key), buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket, place, role, key = bucket[order], place[order].astype(np.uint32), role[order], key[order]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
                 rows = []
-                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     used, at = np.unique(place[x:y], return_inverse=True)
-                    rows.append((int(bucket[x]), *(v[used].tobytes() for v in ids), key[x:y].tobytes(), role[x:y].tobytes(), at.astype(np.uint32).tobytes()))
+                    rows.append((int(bucket[x]), *(v[used].tobytes() for v in ids), key[x:y].tobytes(), role[x:y].tobytes(), at.astype(np.uint32).tobytes(), b"", b""))
+                if len(a):
+                    rows.append((int(mix(a[:1].view(np.uint64))[0] % np.uint64(buckets)), *[b""] * 6, a.tobytes(), b.tobytes()))
                 if rows:
-                    kinds = [pa.int32(), *[pa.binary()] * 6]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "h", "doc", "line", "keys", "roles", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return pack
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    """Near pairs (later line, earlier line) of a bucket: for each line and key the earliest line it meets."""
-    cols = {c: table.column(c).to_pylist() for c in ("h", "doc", "line", "keys", "roles", "places")}
+    """Near pairs (later line, earlier line) of a bucket: for each line and key the earliest line it meets, and the pairs of the batches."""
+    cols = {c: table.column(c).to_pylist() for c in ("h", "doc", "line", "keys", "roles", "places", "later", "earlier")}
     base = np.cumsum([0] + [len(x) // 8 for x in cols["h"]])[:-1]
     join = lambda c, kind: np.frombuffer(b"".join(cols[c]), kind)
     h, doc, line = join("h", np.int64), join("doc", np.int64), join("line", np.int32)
@@ -217,9 +235,9 @@ def _pairs(table: pa.Table) -> pa.Table:
             met = hk[at] == k
             later.append(p[met])
             earlier.append(hp[at][met])
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (later, earlier))
+    x, y = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (later, earlier))
     keep = (doc[y] < doc[x]) | ((doc[y] == doc[x]) & (line[y] < line[x]))
-    a, b = keyring.unique_links(h[x[keep]], h[y[keep]])
+    a, b = keyring.unique_links(np.r_[h[x[keep]], join("later", np.int64)], np.r_[h[y[keep]], join("earlier", np.int64)])
     return pa.table({"h": pa.array(a, pa.int64()), "earlier": pa.array(b, pa.int64())})
 
 
@@ -260,10 +278,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     * null and empty texts have no lines; blank lines are never removed
     * equal lines count as the earliest of them: if that one is near an earlier line, all go
     * rows that share an id are read as one document whose lines at the same place are equally early
-    * rows with a null id come last and are reported together
+    * rows with a null id come last, in the order of a hash of their texts; those with equal texts are reported together
     * an empty table gives no rows; other columns are ignored
     """
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
+    source = docs.select(doc_key(F.col("doc_id"), F.col("text").cast("string")).alias("doc"), F.col("text").cast("string").alias("text"))
     kind = "doc long, line int, n_words int, h long, k1 long, k2 long, k3 long, k4 long"
     lines = stored(source.mapInArrow(_reader, kind), "lines")
     halves = [f"k{i}" for i in range(1, 5)]
@@ -276,14 +294,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     links = keyring.shared_key_links(packed)
     alive = stored(links.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines-alive")
     n_alive = alive.count()
-    asked = able.join(small_or_not(alive, n_alive), "h").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("h"), F.col("first.line").alias("line"))).alias("asked"))
-    taken = stored(source.join(small_or_not(asked, n_alive), "doc").mapInArrow(_taker, "h long, doc long, line int, words string").dropDuplicates(["h"]), "lines-taken")
+    asked = able.join(small_or_not(alive), "h").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("h"), F.col("first.line").alias("line"))).alias("asked"))
+    asked = stored(asked, "lines-asked")
+    taken = stored(source.join(small_or_not(asked), "doc").mapInArrow(_taker, "h long, doc long, line int, words string").dropDuplicates(["h"]), "lines-taken")
     buckets = max(24, n_alive * 100 // keyring.BUCKET_KEYS)
     pairs = taken.mapInArrow(_variant_packer(buckets), PACKED).groupBy("bucket").applyInArrow(_pairs, "h long, earlier long").distinct()
     words = taken.select("h", "words")
     other = taken.select(F.col("h").alias("earlier"), F.col("words").alias("other"))
     near = stored(pairs.join(words, "h").join(other, "earlier").select("h", "words", "other").mapInArrow(_verify, "near_h long").distinct(), "lines-near")
-    known = distinct.select("h", "first").join(small_or_not(near, near.count()), F.col("h") == F.col("near_h"), "left").select("h", "first", F.col("near_h").isNotNull().alias("is_near"))
+    known = distinct.select("h", "first").join(small_or_not(near), F.col("h") == F.col("near_h"), "left").select("h", "first", F.col("near_h").isNotNull().alias("is_near"))
     every = lines.select("doc", "line", F.when(F.col("n_words") > 0, F.col("h")).alias("h")).join(known, "h", "left")
     is_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line"))
     gone = F.coalesce(F.col("is_near") | ~is_first, F.lit(False))
