@@ -1,8 +1,8 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE words. Every passage is encoded into
-shape features (letter classes, marks, repetition, word lengths) and one hidden
-layer. Gated attention, learned from document labels alone, weighs the passages;
+shape features (letter classes, marks, repetition, word lengths), its words
+hashed into HASHED signed counts of length one, and one hidden layer over both. Gated attention, learned from document labels alone, weighs the passages;
 the weighted representation gives the document's score. Training runs on a
 bounded, documented sample of labelled documents; scoring is one pass over the
 table with the model in the task.
@@ -27,6 +27,8 @@ TRAIN_DOCS = 3000
 HIDDEN, GATES = 12, 8
 STEPS, RATE = 250, 0.03
 DECAY = 1e-4
+#: Decay of the encoder's weights for hashed words, which are many and would fit single labels.
+WORD_DECAY = 0.1
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -45,7 +47,10 @@ def _tables() -> list[np.ndarray]:
 
 
 TABLES = _tables()
-N_FEATURES = len(CLASSES) + 7
+SHAPES = len(CLASSES) + 7
+#: Cells that the words of a passage are hashed into; a power of two.
+HASHED = 128
+N_FEATURES = SHAPES + HASHED
 
 
 def encode(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +107,11 @@ def _encode_pass(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     out[ids, k + 4] = np.log1p(n_words)
     out[ids, k + 5] = 1.0
     out[ids, k + 6] = np.log1p(per_doc[row[heads]].astype(np.float32))
+    cell = passage * HASHED + (words & np.uint64(HASHED - 1)).astype(np.int64)
+    sign = 1.0 - 2.0 * (words >> np.uint64(63)).astype(np.float64)
+    content = np.bincount(cell, sign, minlength=len(out) * HASHED).reshape(-1, HASHED)
+    content /= np.maximum(np.sqrt(np.einsum("ij,ij->i", content, content)), 1)[:, None]
+    out[:, SHAPES:] = content
     return out, passages
 
 
@@ -139,6 +149,8 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, seed: int = 7) -> Mode
     rng = np.random.default_rng(seed)
     shapes = [(x.shape[1], HIDDEN), (HIDDEN,), (HIDDEN, GATES), (HIDDEN, GATES), (GATES,), (HIDDEN,), (1,)]
     w = [rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 or i in (4, 5) else np.zeros(s) for i, s in enumerate(shapes)]
+    decay = np.full((x.shape[1], 1), DECAY)
+    decay[SHAPES:] = WORD_DECAY
     m, q = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
     for step in range(1, STEPS + 1):
         p, (h, t, s, a, z, of) = _forward(tuple(w), x, bounds)
@@ -152,7 +164,7 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, seed: int = 7) -> Mode
         grads = [x.T @ dh, dh.sum(axis=0), h.T @ dt, h.T @ ds, (t * s).T @ de, z.T @ d, np.array([d.sum()])]
         rate = RATE * (1 - 0.9 * step / STEPS)
         for i, grad in enumerate(grads):
-            grad = grad + DECAY * w[i]
+            grad = grad + (DECAY if i else decay) * w[i]
             m[i] = 0.9 * m[i] + 0.1 * grad
             q[i] = 0.99 * q[i] + 0.01 * grad * grad
             w[i] = w[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(q[i] / (1 - 0.99**step)) + 1e-8)

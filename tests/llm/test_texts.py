@@ -238,6 +238,21 @@ def test_quality_learns_passages():
     assert (p[:20] > 0.5).mean() > 0.9 and (p[20:] < 0.5).mean() > 0.9
 
 
+def test_quality_reads_the_words_of_passages():
+    """Texts of the same shape, with words of the same lengths, are told apart by which words they hold."""
+    rng = np.random.default_rng(4)
+    common = [f"{a}{b}{c}" for a in "bcdf" for b in "aeio" for c in "lmnr"]
+
+    def bags(n, own):
+        raw = [" ".join(rng.choice(common + own * 4, 150)).encode() for _ in range(n)]
+        return quality.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+
+    good, poor = ["tea", "sun", "map", "oak"], ["pox", "fib", "rut", "zap"]
+    (a, p), (b, q) = bags(60, good), bags(60, poor)
+    model = quality.fit(np.concatenate([a, b]).astype(float), np.r_[p, p[-1] + q[1:]], np.r_[np.ones(60), np.zeros(60)])
+    assert (model.scores(*bags(30, good)) > 0.5).mean() > 0.9 and (model.scores(*bags(30, poor)) < 0.5).mean() > 0.9
+
+
 def test_quality_scores_every_row(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(2, 20)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
