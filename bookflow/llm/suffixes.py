@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -367,9 +368,11 @@ def longest_previous(equal: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _factors(table: pa.Table) -> pa.Table:
     """Covered ranges of a bucket: of strips by their suffixes' longest previous factors, of hot suffixes by their hashes."""
     kind = np.asarray(table.column("kind"))
-    strips_of = table.filter(pa.array(kind == 0))
-    out = [np.array(strip_factors(strips_of), np.int64).reshape(-1, 3).T] if len(strips_of) else []
-    packed = [[np.frombuffer(x, np.int64).reshape(3, -1) for x in table.column("content").filter(pa.array(kind == k)).to_pylist()] for k in (1, 2)]
+    data, bounds = text_bytes(table.column("content"))
+    strips_at = np.flatnonzero(kind == 0)
+    anchor, doc, start = (np.asarray(pc.fill_null(table.column(c), 0), dtype=np.int64)[strips_at] for c in ("anchor", "doc", "start"))
+    out = strip_factors(anchor, doc, start, data, bounds[:-1][strips_at], np.diff(bounds)[strips_at])
+    packed = [[data[bounds[i] : bounds[i + 1]].view(np.int64).reshape(3, -1) for i in np.flatnonzero(kind == k)] for k in (1, 2)]
     if packed[0]:
         key, doc, at = np.concatenate(packed[0], axis=1)
         late = smaller_elsewhere(key, doc)
@@ -379,31 +382,29 @@ def _factors(table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(doc), "a": pa.array(a), "z": pa.array(z)})
 
 
-def strip_factors(table: pa.Table) -> list[tuple[int, int, int]]:
-    """Covered ranges of strips, by the longest previous factors of the suffixes of each anchor."""
-    content = table.column("content").to_pylist()
-    anchor, doc, start = (np.asarray(table.column(c), dtype=np.int64) for c in ("anchor", "doc", "start"))
-    size = np.array([len(c) for c in content])
+def strip_factors(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Covered ranges (doc, from, to) of strips, by the longest previous factors of the suffixes of each anchor.
+
+    A strip's bytes stand in `data` from `first` on and are read where they stand.
+    """
     order = np.argsort(anchor, kind="stable")
-    out: list[tuple[int, int, int]] = []
+    out: list[np.ndarray] = []
     # anchors in runs of a bounded number of bytes; an anchor with more strips makes a run of its own
-    group = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1], True])
+    group = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1], True]) if len(order) else np.zeros(1, np.int64)
     total = np.r_[0, np.cumsum(size[order])][group]
     i = 0
     while i < len(group) - 1:
         j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 21), side="right")) - 1)
         rows = order[group[i] : group[j]]
-        data = np.frombuffer(b"".join(content[r] for r in rows) + bytes(64), np.uint8)
-        base = np.r_[0, np.cumsum(size[rows])][:-1]
         n = size[rows] - LENGTH + 1
         of = np.repeat(np.arange(len(rows)), n)
         at = np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
-        pos = base[of] + at
+        pos = first[rows][of] + at
         columns = []
         for k in range(0, LENGTH, 8):
             word = np.zeros(len(pos), np.uint64)
-            for b in range(8):
-                word = word << np.uint64(8) | (data[pos + k + b].astype(np.uint64) if k + b < LENGTH else np.uint64(0))
+            for b in range(min(8, LENGTH - k)):
+                word = word << np.uint64(8) | data[pos + k + b].astype(np.uint64)
             columns.append(word)
         ranked = np.lexsort(columns[::-1])
         equal = np.zeros(len(pos), bool)
@@ -413,9 +414,9 @@ def strip_factors(table: pa.Table) -> list[tuple[int, int, int]]:
         hit = np.flatnonzero(covered)
         if len(hit):
             cut = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]]), True])
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                r = rows[of[hit[x]]]
-                out.append((int(doc[r]), int(start[r] + at[hit[x]]), int(start[r] + at[hit[y - 1]] + LENGTH)))
+            x, y = hit[cut[:-1]], hit[cut[1:] - 1]
+            r = rows[of[x]]
+            out.append(np.stack([doc[r], start[r] + at[x], start[r] + at[y] + LENGTH]))
         i = j
         release_memory()
     return out
