@@ -50,7 +50,9 @@ BUCKET_KEYS = 700_000
 BYTES_PER_KEY = 16
 PASS = 1 << 18
 #: Bytes of text whose keys one task packs at a time.
-PACK_BYTES = 1 << 24
+PACK_BYTES = 1 << 23
+#: Repeats inside a pack that travel as one row, so that no task gets very many of them.
+REPEATS = 1 << 15
 #: Bytes of text, about, whose anchors are counted to find hot ones.
 COUNTED_BYTES = 1 << 26
 #: Different strips that make an anchor hot, and the least share of all strips, which bounds the list of hot anchors by its inverse.
@@ -155,21 +157,27 @@ PACKED = "bucket int, base long, keys binary, owners binary, later binary, later
 
 
 def packed_rows(key: np.ndarray, spread: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray) -> list[tuple]:
-    """PACKED rows of the strips of a pack: each key once, in the bucket of its anchor (a hot anchor's: of the key); repeats in a row of their own."""
-    dealt = spread.astype(np.uint64)
+    """PACKED rows of the strips of a pack: each key once, in the bucket of its anchor (a hot anchor's: of the key); repeats in rows of their own, of REPEATS at most."""
+    # an anchor is the smallest hash of a window, so its own bits are not evenly spread
+    dealt = mix(spread.astype(np.uint64)) >> np.uint64(32)
     if len(hot):
         many = member(anchor_of(key, spread), hot)
         dealt[many] = mix(key[many]) >> np.uint64(32)
     bucket = (dealt * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     order = np.lexsort((doc, key, bucket))
     bucket, key, doc = bucket[order], key[order], doc[order]
+    del dealt, order
     same = np.zeros(len(key), bool)
     same[1:] = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
     later = doc != doc[np.flatnonzero(~same)[np.cumsum(~same) - 1]]
     rows = []
-    if later.any():
-        base = int(doc[later].min())
-        rows.append((int(mix(np.array([base], np.uint64))[0] % np.uint64(buckets)), base, b"", b"", key[later].tobytes(), owners(doc[later], base)))
+    late_key, late_doc = key[later], doc[later]
+    by = np.argsort(late_doc, kind="stable")
+    for x in range(0, len(by), REPEATS):
+        piece = by[x : x + REPEATS]
+        base = int(late_doc[piece[0]])
+        dealt_to = mix(np.array([base ^ x << 40], np.int64).view(np.uint64))[0] % np.uint64(buckets)
+        rows.append((int(dealt_to), base, b"", b"", late_key[piece].tobytes(), owners(late_doc[piece], base)))
     bucket, key, doc = bucket[~same], key[~same], doc[~same]
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
     for x, y in zip(cut[:-1], cut[1:], strict=True):
@@ -197,7 +205,10 @@ def _packer(buckets: int, hot: np.ndarray):
 
     def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if sum(len(x[0]) for x in held):
-            rows = packed_rows(*(np.concatenate([x[k] for x in held]) for k in range(3)), buckets, hot)
+            columns = [np.concatenate([x[k] for x in held]) for k in range(3)]
+            held.clear()
+            rows = packed_rows(*columns, buckets, hot)
+            del columns
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return pack
@@ -219,6 +230,7 @@ def _meet(table: pa.Table, hot_bits: np.ndarray) -> pa.Table:
     key, owner = np.concatenate(keys), np.concatenate(held)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
+    del keys, held, order
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(first)
