@@ -6,6 +6,14 @@ from bookflow.llm.decontamination import FUNCTION_WORDS, NAME, NEEDED, NUMBER, N
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit."""
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    bits = "list_reduce(list_concat([xor(c, b)]::BIGINT[], range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295]::BIGINT[], {codes}), lambda c, b: {bits}), 4294967295)::BIGINT"
+
+
 NEAR_DUPS = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),

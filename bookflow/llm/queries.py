@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import decontamination, html, lines, mixing, near_dups, oracles, quality, secrets, sharding, suffixes, telephony
+from bookflow.llm import chat, decontamination, html, lines, mixing, near_dups, oracles, periods, prefixes, quality, secrets, sharding, suffixes, telephony
 from bookflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,4 +75,24 @@ def op10_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_deletion_lines"] = lines.ORACLE
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+@query
+def op11_incremental_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.summary(conversations(spark, sf_dir).select("conv_id", "turn", "role", "text").unionByName(chat.hostile(spark)))
+
+
+@query
+def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.summary(periods.periodic_runs(periods.planted(documents(spark, sf_dir))))
+
+
+@query
+def op13_family_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(conversations(spark, sf_dir)).drop("node")
+
+
+ORACLES |= {"op11_incremental_rendering": chat.ORACLE, "op12_harmonic_runs": periods.oracle(), "op13_family_trie": prefixes.oracle()}
 ORACLES |= {"op2_previous_factors": oracles.SUFFIXES, "op3_tensored_minhash": oracles.NEAR_DUPS, "op4_template_leaks": oracles.LEAKS}
