@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 from bookflow.config import SCENARIOS
 from bookflow.jobs import oracles as O  # noqa: N812
 from bookflow.jobs.fixtures import BY_SYMBOL, CONFIG, LEVELS, raw_books, raw_trades
-from bookflow.operators import activity, backtest, book, clean, features, grid, models, signal, splits, stats
+from bookflow.operators import activity, backtest, book, clean, features, grid, models, ranks, signal, splits, stats
+from bookflow.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,17 +59,24 @@ def _r(expr: str, name: str, digits: int = 9) -> str:
 
 # ---- stages over the fixtures ----
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+#: Folders of the stages that this session has written, by session, folder of the tables and stage.
+_WRITTEN: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 def kept(stage: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Persist a stage that many queries start from, once for each session and folder; lost parts are computed again."""
+    """A stage that many queries start from, written once for each session and folder of tables, as a job's stages are.
+
+    Queries then plan and read a table, and a lost executor doesn't repeat the stages before.
+    """
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, stage.__name__)
-        if key not in _KEPT:
-            _KEPT[key] = stage(spark, sf_dir).persist()
-        return _KEPT[key]
+        if key not in _WRITTEN:
+            df, path = stage(spark, sf_dir), f"{shared_folder(spark)}/stage-{stage.__name__.strip('_')}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            _WRITTEN[key] = path, df.schema
+        path, schema = _WRITTEN[key]
+        return spark.read.schema(schema).parquet(path)
 
     return get
 
@@ -271,7 +280,7 @@ _RANK = "rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*)
 
 @query(f"SELECT l_orderkey, l_linenumber, ({_RANK})::DOUBLE AS rank FROM lineitem")
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.average_rank(lineitem(spark, sf_dir), ["l_returnflag"], "l_discount").select("l_orderkey", "l_linenumber", "rank")
+    return ranks.average_rank(lineitem(spark, sf_dir), ["l_returnflag"], "l_discount").select("l_orderkey", "l_linenumber", "rank")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, ({_RANK})::DOUBLE AS rank FROM lineitem")
@@ -372,16 +381,17 @@ def return_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- signal tables ----
 
-_FEATS = ["obi_1", "weighted_obi", "spread", "trade_imbalance_50min", "return_lag_10min", "large_trade_10min"]
+_FEATS = features.feature_groups(CONFIG)["all"]
 _IC = " UNION ALL ".join(
-    f"SELECT symbol, '{f}' AS feature, '{h}' AS horizon, CASE WHEN stddev_pop({f}) > 0 AND stddev_pop(y_return_{h}) > 0 THEN corr({f}, y_return_{h}) END AS pearson_ic, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS spearman_ic, count(*) AS n FROM {_ranked('features', 'symbol', f, f'y_return_{h}')} GROUP BY symbol HAVING count(*) >= 30"
+    f"SELECT symbol, '{f}' AS feature, '{h}' AS horizon, CASE WHEN stddev_pop({f}) > 0 AND stddev_pop(y_return_{h}) > 0 THEN corr({f}, y_return_{h}) END AS pearson_ic, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS spearman_ic, count(*) AS n FROM {_ranked(f'(SELECT symbol, round({f}, 9) AS {f}, y_return_{h} FROM features)', 'symbol', f, f'y_return_{h}')} GROUP BY symbol HAVING count(*) >= 30"
     for f in _FEATS
     for h in CONFIG.horizons
 )
 
 
 def _ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.ic_table(feature_table(spark, sf_dir), _FEATS, CONFIG.horizons)
+    rows = feature_table(spark, sf_dir)
+    return signal.ic_table(rows.withColumns({f: F.round(f, 9) for f in _FEATS}), _FEATS, CONFIG.horizons)  # equal values shall be ties in any engine
 
 
 @query(f"WITH {O.TO_FEATURES}, ic AS ({_IC}) SELECT symbol, feature, horizon, {_r('pearson_ic', 'pearson_ic', 7)}, {_r('spearman_ic', 'spearman_ic', 7)}, n FROM ic")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.config import SCENARIOS, Config, Cost
+from bookflow.operators.ranks import exact_quantiles, joined
 from bookflow.operators.splits import with_previous, with_row_number
 
 KEYS = ("symbol",)
@@ -16,9 +17,9 @@ KEYS = ("symbol",)
 
 def positions(df: DataFrame, long_q: float = 0.9, short_q: float = 0.1, y_pred: str = "y_pred", keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds raw_position: -1 at or below the lower quantile of predictions, 1 at or above the upper one, else 0; short wins ties."""
-    cuts = df.groupBy(*keys).agg(F.percentile(y_pred, F.array(F.lit(short_q), F.lit(long_q))).alias("__q"))
+    cuts = exact_quantiles(df, keys, y_pred, [short_q, long_q], "__q")
     p = F.col(y_pred)
-    return df.join(cuts, list(keys)).withColumn("raw_position", F.when(p <= F.col("__q")[0], -1).when(p >= F.col("__q")[1], 1).otherwise(0)).drop("__q")
+    return joined(df, cuts, keys).withColumn("raw_position", F.when(p <= F.col("__q")[0], -1).when(p >= F.col("__q")[1], 1).otherwise(0)).drop("__q")
 
 
 def non_overlapping(df: DataFrame, hold: int, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bookflow.operators.ranks import exact_quantiles, joined
+
 SESSION = ("symbol", "date")
 # Names of the steps in the reports.
 BOOK_STEPS = ("duplicate_timestamps", "missing_top_of_book", "crossed_books", "zero_negative_spread", "outlier_spreads", "invalid_prices", "negative_sizes", "book_ordering")
@@ -59,11 +61,16 @@ def drop_nonpositive_spread(df: DataFrame) -> DataFrame:
     return df.filter(F.col("ask_price_1") - F.col("bid_price_1") > 0)
 
 
+def median_of(df: DataFrame, value: str, session: Sequence[str]) -> DataFrame:
+    """One row for each session: __median, exact, from counts."""
+    return exact_quantiles(df, session, value, [0.5]).select(*session, F.col("q")[0].alias("__median"))
+
+
 def drop_wide_spreads(df: DataFrame, max_spread_multiple: float = 10.0, session: Sequence[str] = SESSION) -> DataFrame:
     """Drop spreads above a multiple of the session's median; a median of 0 or less drops nothing."""
     spread = F.col("ask_price_1") - F.col("bid_price_1")
-    middle = F.percentile(spread, F.lit(0.5)).over(Window.partitionBy(*session))
-    return df.withColumn("__median", middle).filter((F.col("__median") <= 0) | (spread <= F.col("__median") * max_spread_multiple)).drop("__median")
+    middle = median_of(df.withColumn("__spread", spread), "__spread", session)
+    return joined(df, middle, session).filter((F.col("__median") <= 0) | (spread <= F.col("__median") * max_spread_multiple)).drop("__median")
 
 
 def drop_bad_prices(df: DataFrame, levels: int) -> DataFrame:
@@ -90,7 +97,7 @@ def drop_misordered(df: DataFrame, levels: int) -> DataFrame:
 
 
 def book_failures(df: DataFrame, levels: int = 5, max_spread_multiple: float = 10.0, session: Sequence[str] = SESSION) -> DataFrame:
-    """Adds failed_step: the number of the first book step that a row fails, from 1, or NULL. One shuffle by session."""
+    """Adds failed_step: the number of the first book step that a row fails, from 1, or NULL."""
     spread = F.col("ask_price_1") - F.col("bid_price_1")
     early = (
         F.when(~F.col("__last"), 1)
@@ -99,14 +106,14 @@ def book_failures(df: DataFrame, levels: int = 5, max_spread_multiple: float = 1
         .when(~_true(spread > 0), 4)
     )
     marked = df.withColumn("__last", is_last_of_timestamp(session)).withColumn("__early", early)
-    middle = F.percentile(F.when(F.col("__early").isNull(), spread), F.lit(0.5)).over(Window.partitionBy(*session))
+    middle = median_of(marked.withColumn("__spread", F.when(F.col("__early").isNull(), spread)), "__spread", session)
     late = (
         F.when(~_true((F.col("__median") <= 0) | (spread <= F.col("__median") * max_spread_multiple)), 5)
         .when(~_true(_all([F.col(c) > 0 for c in _levels(df, "price", levels)])), 6)
         .when(~_true(_all([F.col(c) >= 0 for c in _levels(df, "size", levels)])), 7)
         .when(~_true(_ordered(df, levels)), 8)
     )
-    return marked.withColumn("__median", middle).withColumn("failed_step", F.coalesce("__early", late)).drop("__last", "__early", "__median")
+    return joined(marked, middle, session).withColumn("failed_step", F.coalesce("__early", late)).drop("__last", "__early", "__median")
 
 
 def drop_duplicate_trades(df: DataFrame, session: Sequence[str] = SESSION) -> DataFrame:

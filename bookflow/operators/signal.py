@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bookflow.config import micros
+from bookflow.config import UNITS
 from bookflow.functions.numeric import correlation
+from bookflow.operators.ranks import average_ranks, exact_quantiles, joined, masked_ranks
 from bookflow.operators.splits import with_row_number
-from bookflow.operators.stats import average_ranks, small_rank
+from bookflow.operators.stats import small_rank, unpivoted
 
 LEAST = 30
 
@@ -55,23 +56,43 @@ def _with_p_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def ic_table(df: DataFrame, features: Sequence[str], horizons: Sequence[str], keys: Sequence[str] = ("symbol",), least: int = LEAST) -> DataFrame:
-    """Pearson and Spearman IC with p-values of each feature and horizon, over the rows where both are set; needs `least` rows."""
-    cells = [F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f).cast("double").alias("x"), F.col(f"y_return_{h}").alias("y")) for h in horizons for f in features if f in df.columns]
-    long = df.select(*keys, F.inline(F.array(*cells))).filter("x is not null and y is not null")
-    by = [*keys, "feature", "horizon"]
-    ranked = average_ranks(long, by, {"x": "rx", "y": "ry"})
-    out = ranked.groupBy(*by).agg(correlation(F.col("x"), F.col("y")).alias("pearson_ic"), correlation(F.col("rx"), F.col("ry")).alias("spearman_ic"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    """Pearson and Spearman IC with p-values of each feature and horizon, over the rows where both are set; needs `least` rows.
+
+    A target is ranked once for all features that are set on every row of the key,
+    and such a feature once for all horizons, in one order with a count for each.
+    Features with gaps are ranked with each target by themselves. The table is read
+    several times, so it should be a stored one.
+    """
+    used, ys = [f for f in features if f in df.columns], [f"y_return_{h}" for h in horizons]
+    keep = df.select(*keys, *[F.col(f).cast("double").alias(f"x {f}") for f in used], *ys)
+    gaps = keep.groupBy(*keys).agg(F.array(*[F.count(F.col(f"x {f}")) == F.count(F.lit(1)) for f in used]).alias("__full"))
+    by = [*keys, "feature"]
+    at = F.posexplode(F.array(*[F.col(f"x {f}") for f in used])).alias("__at", "x")
+    name = F.get(F.array(*map(F.lit, used)), F.col("__at")).alias("feature")
+
+    ranked_y = average_ranks(keep, keys, {y: f"ry {y}" for y in ys})
+    complete = lambda rows, kept: joined(rows, gaps, keys).select(*keys, *kept, "__full", at).filter(F.get("__full", F.col("__at"))).select(*keys, name, "x", *kept)
+    full, plain = complete(ranked_y, [*ys, *[f"ry {y}" for y in ys]]), complete(keep, ys)
+    ranked = masked_ranks(full, by, "x", {f"rx {y}": F.col(y).isNotNull() for y in ys}, plain)
+    sums = [F.struct(F.lit(h).alias("horizon"), correlation(F.col("x"), F.col(y)).alias("pearson_ic"), correlation(F.col(f"rx {y}"), F.col(f"ry {y}")).alias("spearman_ic"), F.count(F.col(f"rx {y}")).alias("n")) for h, y in zip(horizons, ys, strict=True)]
+    first = ranked.groupBy(*by).agg(F.array(*sums).alias("__s")).select(*by, F.inline("__s"))
+
+    cells = F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(y).alias("y")) for h, y in zip(horizons, ys, strict=True)]))
+    partial = joined(keep, gaps, keys).select(*keys, *ys, "__full", at).filter(~F.get("__full", F.col("__at")) & F.col("x").isNotNull()).select(*keys, name, "x", cells).filter("y is not null")
+    pairs = [*by, "horizon"]
+    both = average_ranks(partial, pairs, {"x": "rx", "y": "ry"})
+    second = both.groupBy(*pairs).agg(correlation(F.col("x"), F.col("y")).alias("pearson_ic"), correlation(F.col("rx"), F.col("ry")).alias("spearman_ic"), F.count(F.lit(1)).alias("n"))
+
+    out = first.unionByName(second).filter(F.col("n") >= least)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     return out.mapInPandas(_with_p_values, head + ", pearson_pval double, spearman_pval double")
 
 
 def signal_decay(ic: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """IC by horizon in seconds, for each feature."""
-    horizons = [r["horizon"] for r in ic.select("horizon").distinct().collect()]
-    if not horizons:
-        return ic.select(*keys, "feature", F.lit(0.0).alias("seconds"), "spearman_ic")
-    seconds = F.create_map(*[F.lit(x) for h in sorted(horizons) for x in (h, micros(h) / 1e6)])
-    return ic.select(*keys, "feature", seconds[F.col("horizon")].alias("seconds"), "pearson_ic", "spearman_ic")
+    """IC by horizon in seconds, for each feature; horizons are durations such as 500ms, 30s or 10min."""
+    number, unit = F.regexp_extract("horizon", r"^(\d+)", 1).cast("double"), F.lower(F.regexp_extract("horizon", r"([A-Za-z]+)$", 1))
+    scale = F.create_map(*[F.lit(x) for u, us in UNITS.items() for x in (u, us / 1e6)])
+    return ic.select(*keys, "feature", (number * scale[unit]).alias("seconds"), "pearson_ic", "spearman_ic")
 
 
 def top_features(ic: DataFrame, horizon: str, n: int = 20, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -93,9 +114,13 @@ def regimes(df: DataFrame, volatility: str = "realized_vol_30s", keys: Sequence[
     """
     sources = {"vol_regime": volatility, "spread_regime": "spread", "liq_regime": "total_depth"}
     used = {k: c for k, c in sources.items() if c in df.columns}
-    points = F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0))
-    facts = df.groupBy(*keys).agg(*[x for k, c in used.items() for x in (F.percentile(c, points).alias(f"__e_{k}"), F.least(F.count_distinct(c), F.lit(3)).alias(f"__d_{k}"), F.count(c).alias(f"__n_{k}"))])
-    out = df.join(facts, list(keys))
+    names = {c: k for k, c in used.items()}
+    long = unpivoted(df, keys, list(names))
+    cuts = exact_quantiles(long, [*keys, "feature"], "value", [0.0, 1 / 3, 2 / 3, 1.0])
+    counts = long.groupBy(*keys, "feature").agg(F.least(F.count_distinct("value"), F.lit(3)).alias("__d"), F.count("value").alias("__n"))
+    of = lambda c, x: F.first(F.when(F.col("feature") == c, F.col(x)), ignorenulls=True)
+    facts = joined(cuts, counts, [*keys, "feature"]).groupBy(*keys).agg(*[of(c, x).alias(f"{n}{k}") for c, k in names.items() for x, n in (("q", "__e_"), ("__d", "__d_"), ("__n", "__n_"))])
+    out = joined(df, facts, keys)
     few = [k for k in used if facts.filter((F.col(f"__d_{k}") < 3) & (F.col(f"__d_{k}") > 0)).limit(1).count()]
     for k, c in used.items():
         edges, labels, x = F.col(f"__e_{k}"), REGIMES[k], F.col(c)

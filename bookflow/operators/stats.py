@@ -1,8 +1,4 @@
-"""Ranks, quantile bins, correlations, describe tables and metrics, all grouped by keys.
-
-A rank is taken from counts: rows are first summed to one row per value, so ties
-and discrete columns shrink before the ordered window.
-"""
+"""Quantile bins, correlations, describe tables and metrics, all grouped by keys; ranks and quantiles come from `ranks`."""
 
 from __future__ import annotations
 
@@ -14,10 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.functions.numeric import correlation
-
-
-#: Ranges of values that the rows of a key are dealt to for ranking, and the accuracy of their bounds (one over the relative error).
-RANK_RANGES, RANGE_ACCURACY = 64, 1000
+from bookflow.operators.ranks import average_rank, average_ranks, exact_quantiles, joined
 
 
 def small_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -27,41 +20,6 @@ def small_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank
     return df.withColumn(name, F.when(F.col(value).isNotNull(), low + (same - 1) / 2.0))
 
 
-def _joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a table on keys that may be NULL; AQE broadcasts it where it is measured to be small."""
-    other = table.withColumnsRenamed({k: f"__of_{k}" for k in keys})
-    same = [df[k].eqNullSafe(other[f"__of_{k}"]) for k in keys]
-    return df.join(other, same, how).drop(*[f"__of_{k}" for k in keys])
-
-
-def average_ranks(df: DataFrame, keys: Sequence[str], names: dict[str, str]) -> DataFrame:
-    """Adds the rank of each value column (value: name) among the key's rows, from 1, ties sharing their mean rank; NULL for NULL.
-
-    The rows of a key are dealt to ranges of values by approximate quantiles.
-    Ranks are taken inside a range, whose offset is the number of rows in the
-    ranges below, so no window spans a key and the result is exact.
-    """
-    points = F.array(*[F.lit(i / RANK_RANGES) for i in range(1, RANK_RANGES)])
-    bounds = df.groupBy(*keys).agg(*[F.percentile_approx(v, points, F.lit(RANGE_ACCURACY)).alias(f"__bounds_{n}") for v, n in names.items()])
-    placed = _joined(df, bounds, keys)
-    for v, n in names.items():
-        below = F.size(F.filter(F.array_distinct(F.coalesce(f"__bounds_{n}", F.array())), lambda e: e < F.col(v)))
-        placed = placed.withColumn(f"__range_{n}", F.when(F.col(v).isNotNull(), below)).drop(f"__bounds_{n}")
-    out = placed
-    for v, n in names.items():
-        by = [*keys, f"__range_{n}"]
-        sizes = placed.groupBy(*by).agg(F.count(v).alias("__n"))
-        upto = Window.partitionBy(*keys).orderBy(F.col(f"__range_{n}").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(*by, F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias(f"__offset_{n}"))
-        out = _joined(small_rank(out, by, v, n), offsets, by).withColumn(n, F.col(n) + F.col(f"__offset_{n}")).drop(f"__offset_{n}")
-    return out.drop(*[f"__range_{n}" for n in names.values()])
-
-
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
-    """average_ranks of one column."""
-    return average_ranks(df, keys, {value: name})
-
-
 def average_rank_by_counts(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """As average_rank, by a running count over the distinct values; for columns with many repeats and large keys."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
@@ -72,18 +30,17 @@ def average_rank_by_counts(df: DataFrame, keys: Sequence[str], value: str, name:
 
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, name: str = "bin") -> DataFrame:
     """Adds the quantile bin of `value`, from 1: right-closed, the lowest value included, equal edges merged. Not ntile: ties stay together."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile(F.col(value), points)).alias("__edges"))
+    edges = exact_quantiles(df, keys, value, [i / bins for i in range(bins + 1)]).select(*keys, F.array_distinct("q").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
     at = F.when(F.col(value).isNotNull() & (F.size("__edges") > 1), F.greatest(below, F.lit(1)))
-    return df.join(edges, list(keys)).withColumn(name, at).drop("__edges")
+    return joined(df, edges, keys).withColumn(name, at).drop("__edges")
 
 
 def decile_returns(df: DataFrame, feature: str, target: str, n_bins: int = 10, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Mean, deviation and count of the target in each quantile bin of the feature; keys with fewer than 5 rows a bin give none."""
     both = df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*keys, feature, target)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    enough = both.withColumn("__n", n).filter(F.col("__n") >= n_bins * 5).drop("__n")
+    sizes = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n_bins * 5)
+    enough = joined(both, sizes, keys).drop("__n")
     return (
         quantile_bins(enough, keys, feature, n_bins, "decile").filter("decile is not null").groupBy(*keys, "decile")
         .agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"), F.count(target).alias("count"))
@@ -100,10 +57,9 @@ def unpivoted(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str
 
 def summary_table(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column."""
-    v = F.col("value")
-    out = unpivoted(df, keys, cols).groupBy(*keys, "feature").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(v).alias("max")
-    )
+    v, long, by = F.col("value"), unpivoted(df, keys, cols), [*keys, "feature"]
+    facts = long.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = joined(facts, exact_quantiles(long, by, "value", [0.25, 0.5, 0.75]), by)
     return out.select(*keys, "feature", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
@@ -128,11 +84,10 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int, keys: Sequence[str]
 def box_stats(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Quartiles and whiskers (the furthest values within 1.5 interquartile ranges)."""
     long = unpivoted(df, keys, metrics, "metric").filter("value is not null")
-    q = long.groupBy(*keys, "metric").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_quantiles(long, [*keys, "metric"], "value", [0.25, 0.5, 0.75]).select(*keys, "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return long.join(q, [*keys, "metric"]).filter(inside).groupBy(*keys, "metric", "q1", "median", "q3").agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
+    return joined(long, q, [*keys, "metric"]).filter(inside).groupBy(*keys, "metric", "q1", "median", "q3").agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", least: int = 10) -> DataFrame:
@@ -152,7 +107,8 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_
     Predictions are cut at 0.5 if none is above 1, else at 0.
     """
     both = df.filter(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull()).select(*keys, F.col(y_true).cast("int").alias("__y"), F.col(y_pred).alias("__p"))
-    ranked = average_rank(both, keys, "__p", "__rp").withColumn("__cut", F.when(F.max("__p").over(Window.partitionBy(*keys)) <= 1.0, 0.5).otherwise(0.0))
+    cuts = both.groupBy(*keys).agg(F.when(F.max("__p") <= 1.0, 0.5).otherwise(0.0).alias("__cut"))
+    ranked = joined(average_rank(both, keys, "__p", "__rp"), cuts, keys)
     yes, hit = F.col("__p") > F.col("__cut"), F.col("__y") == 1
     count = lambda c: F.count(F.when(c, 1))
     agg = ranked.groupBy(*keys).agg(
