@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.config import SCENARIOS, Config, Cost
 from bookflow.operators.ranks import exact_quantiles, joined
-from bookflow.operators.splits import with_previous, with_row_number
+from bookflow.operators.splits import numbered_in_block, with_previous
 
 KEYS = ("symbol",)
 
@@ -22,23 +24,104 @@ def positions(df: DataFrame, long_q: float = 0.9, short_q: float = 0.1, y_pred:
     return joined(df, cuts, keys).withColumn("raw_position", F.when(p <= F.col("__q")[0], -1).when(p >= F.col("__q")[1], 1).otherwise(0)).drop("__q")
 
 
-def non_overlapping(df: DataFrame, hold: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def _day_signals(frame: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(frame["at"].iloc[k], np.int64), np.asarray(frame["side"].iloc[k], np.int64)
+
+
+def _next_entries(at: np.ndarray, hold: int) -> np.ndarray:
+    """For each signal of a day the number of the first one that may enter after it; len(at) for none."""
+    return np.searchsorted(at, at + hold)
+
+
+def _transfers(hold: int):
+    """A day as a function: rows still held at its start -> rows held on and side at its end."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held_out, side_out = [], []
+            for k in range(len(frame)):
+                (at, side), n = _day_signals(frame, k), int(frame["n"].iloc[k])
+                after = _next_entries(at, hold)
+                last = np.append(np.where(after < len(at), after, np.arange(len(at))), len(at))
+                while (last != last[last]).any():  # the last entry of the chain from each signal, by doubling the pointers
+                    last = last[last]
+                held = np.arange(hold)  # rows still held at the start: 0 if free
+                first = np.searchsorted(at, held)
+                entered = first < len(at)
+                final = last[np.minimum(first, len(at))]
+                ends = np.append(at, 0)[final] + hold
+                out = np.where(entered, ends - n, held - n)
+                held_out.append(np.maximum(out, 0))
+                # 0: free, 2: what was held goes on
+                side_out.append(np.where(out <= 0, 0, np.where(entered, np.append(side, 0)[final], 2)))
+            yield frame.drop(columns=["at", "side", "n"]).assign(held_out=held_out, side_out=side_out)
+
+    return of
+
+
+def _starts(keys: Sequence[str]):
+    """Rows still held, and the side, at the start of each day: days of a key come in order, and only the state of the last one is kept."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, held, side = None, 0, 0
+        for frame in frames:
+            starts = []
+            for *key, held_out, side_out in zip(*(frame[k] for k in keys), frame["held_out"], frame["side_out"], strict=True):
+                if key != before:
+                    before, held, side = key, 0, 0
+                starts.append((held, side))
+                side = side if side_out[held] == 2 else int(side_out[held])
+                held = int(held_out[held])
+            yield frame.drop(columns=["held_out", "side_out"]).assign(held=[h for h, _ in starts], held_side=[s for _, s in starts])
+
+    return of
+
+
+def _positions(hold: int):
+    """The position of every row of a day, from what is held at its start."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for k in range(len(frame)):
+                (at, side), n, held = _day_signals(frame, k), int(frame["n"].iloc[k]), int(frame["held"].iloc[k])
+                after, entries, i = _next_entries(at, hold), [], int(np.searchsorted(at, held))
+                while i < len(at):
+                    entries.append(i)
+                    i = int(after[i])
+                change = np.zeros(n + 1, np.int64)
+                stops = np.minimum(at[entries] + hold, n)
+                np.add.at(change, at[entries], side[entries])
+                np.add.at(change, stops, -side[entries])
+                out = np.cumsum(change[:-1])
+                out[:held] = frame["held_side"].iloc[k]
+                made.append(out.astype(np.int8))
+            yield frame.drop(columns=["at", "side", "n", "held", "held_side"]).assign(positions=made)
+
+    return of
+
+
+def non_overlapping(df: DataFrame, hold: int, keys: Sequence[str] = KEYS, block: str = "1d") -> DataFrame:
     """Adds position: each signal is held for `hold` rows, signals inside a hold are ignored.
 
-    A signal `hold` or more rows after the signal before it is always an entry,
-    so signals fall into islands that are folded on their own. Only signals are
-    grouped; their holds are joined back by row number.
+    Time is cut into blocks, a day unless given. A block is a function of the rows
+    still held at its start, found by doubling pointers from each signal to the next
+    that may enter; the functions of a key's blocks are applied in order, by a scan
+    that keeps one state; then every block's positions follow by themselves. No
+    window and no array spans more than a block of a key, and rows cross the network once.
     """
-    numbered = with_row_number(df, keys).drop("n_rows")
-    signals = numbered.filter("raw_position <> 0").select(*keys, "rn", "raw_position")
-    w = Window.partitionBy(*keys).orderBy("rn")
-    before = F.lag("rn").over(w)
-    island = F.sum(F.when(before.isNull() | (F.col("rn") - before >= hold), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    grouped = signals.withColumn("__island", island).groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(F.struct("rn", F.col("raw_position").alias("side")))).alias("s"))
-    nothing = F.slice("s", 1, 0)
-    entries = F.aggregate("s", nothing, lambda held, x: F.when((F.size(held) == 0) | (x["rn"] >= F.element_at(held, -1)["rn"] + hold), F.concat(held, F.array(x))).otherwise(held))
-    held = grouped.select(*keys, F.explode(entries).alias("e")).select(*keys, F.explode(F.sequence(F.col("e.rn"), F.col("e.rn") + (hold - 1))).alias("rn"), F.col("e.side").alias("position"))
-    return numbered.join(held, [*keys, "rn"], "left").withColumn("position", F.coalesce("position", F.lit(0)))
+    names = list(keys)
+    in_block = numbered_in_block(df, keys, block=block)
+    signal = F.col("raw_position") != 0
+    days = in_block.groupBy(*names, "__block").agg(F.sort_array(F.collect_list(F.when(signal, F.struct(F.col("__in").cast("int").alias("at"), F.col("raw_position").cast("int").alias("side"))))).alias("s"), F.count(F.lit(1)).alias("n"))
+    days = days.select(*names, "__block", "n", F.col("s.at").alias("at"), F.col("s.side").alias("side"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in days.select(*names, "__block").schema.fields)
+    functions = days.mapInPandas(_transfers(hold), head + ", held_out array<long>, side_out array<long>")
+    ordered = functions.repartition(*names).sortWithinPartitions(*names, "__block")
+    starts = ordered.mapInPandas(_starts(names), head + ", held long, held_side long")
+    placed = days.join(starts, [*names, "__block"]).mapInPandas(_positions(hold), head + ", positions array<byte>")
+    out = in_block.join(placed, [*names, "__block"]).withColumn("position", F.get("positions", F.col("__in")).cast("int"))
+    return out.drop("__block", "__in", "positions")
 
 
 def with_traded(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

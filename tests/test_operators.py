@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from bookflow.config import SCENARIOS, Config, micros
@@ -140,7 +141,37 @@ def test_holds_match_a_plain_scan(spark):
             else:
                 k += 1
         df = spark.createDataFrame([("A", T0 + dt.timedelta(minutes=30 * i), v) for i, v in enumerate(raw)], "symbol string, timestamp timestamp, raw_position int")
-        assert [r["position"] for r in backtest.non_overlapping(df, hold).orderBy("timestamp").collect()] == want
+        for block in ("1d", "1h", "3h"):  # a hold may span whole blocks
+            assert [r["position"] for r in backtest.non_overlapping(df, hold, block=block).orderBy("timestamp").collect()] == want
+
+
+def test_holds_of_persistent_signals_pass_blocks_as_functions():
+    """Blocks of a million signals each: every state at the start has its state at the end, as a plain walk finds it."""
+    n, hold = 1_000_000, 7
+    day = pd.DataFrame({"symbol": ["A"], "n": [n], "at": [np.arange(n)], "side": [np.where(np.arange(n) % 3, 1, -1)]})
+    (got,) = backtest._transfers(hold)(iter([day]))
+    for held in range(hold):
+        last = held + (n - 1 - held) // hold * hold
+        assert got.held_out[0][held] == last + hold - n and got.side_out[0][held] == (0 if last + hold == n else 1 if last % 3 else -1)
+    (made,) = backtest._positions(hold)(iter([day.assign(held=3, held_side=-1)]))
+    assert made.positions[0][:4].tolist() == [-1, -1, -1, -1] and len(made.positions[0]) == n and set(np.unique(made.positions[0])) == {-1, 1}
+
+
+def test_folds_by_time_match_a_plain_version(spark):
+    rng = np.random.default_rng(1)
+    at = sorted(rng.choice(20_000, 3000, replace=False).tolist())
+    df = spark.createDataFrame([("A", T0 + dt.timedelta(seconds=k)) for k in at], "symbol string, timestamp timestamp")
+    for train, val, test, step in ((3000, 500, 500, None), (3000, 700, 400, 150), (2000, 500, 500, 5000)):
+        spans, start, fold, want = train + val + test, at[0], 0, []
+        while start + spans <= at[-1]:
+            roles = [(k, "train" if k < start + train else "validation" if k < start + train + val else "test") for k in at if start <= k < start + spans]
+            count = {r: sum(x == r for _, x in roles) for r in ("train", "validation", "test")}
+            if count["train"] > 50 and count["validation"] > 10 and count["test"] > 10:
+                want += [(fold, k, r) for k, r in roles]
+                fold += 1
+            start += step or test
+        got = [(r["fold"], int((r["timestamp"] - T0).total_seconds()), r["role"]) for r in splits.walk_forward_time(df, train, val, test, step).collect()]
+        assert sorted(got) == sorted(want) and want
 
 
 def test_costs_and_drawdown(spark):
