@@ -33,7 +33,8 @@ class Config:
     """Grid, levels, windows, horizons and sessions.
 
     Row-offset operations run inside a session; ranks, splits, quantiles and
-    backtests run per `asset`.
+    backtests run per `asset`. Windows hold `block_rows` rows of a session and what
+    they look back and ahead.
     """
 
     frequency: str = "1s"
@@ -45,6 +46,7 @@ class Config:
     horizons: tuple[str, ...] = ("1s", "5s", "10s", "30s")
     lookback: int = 300
     min_periods: int = 10
+    block_rows: int = 16_384
     session: tuple[str, ...] = ("symbol", "date")
     asset: tuple[str, ...] = ("symbol",)
     scenarios: dict[str, Cost] = field(default_factory=lambda: dict(SCENARIOS))

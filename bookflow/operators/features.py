@@ -1,12 +1,13 @@
 """Trade-flow, return, volatility, z-score and time features, and forward targets.
 
-Every window has the same partitioning and order (a session in time), so a
-feature table needs one shuffle and one sort.
+Every window has the same partitioning and order (a block of a session in time),
+so a feature table needs one shuffle and one sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from bookflow.config import Config, micros
 from bookflow.operators.book import book_features
+from bookflow.operators.splits import in_blocks
 
 SESSION = ("symbol", "date")
 
@@ -126,15 +128,23 @@ def targets(df: DataFrame, horizons: Sequence[str], freq: str, session: Sequence
     return half_spread_targets(direction_targets(future_returns(df, horizons, freq, session), horizons), horizons)
 
 
+def reach(cfg: Config) -> tuple[int, int]:
+    """Rows that the features of a row look back and ahead at most; z-scores look back over lagged returns."""
+    steps = [_steps(d, cfg.frequency) for d in (*cfg.return_lags, *cfg.volatility_windows)]
+    return cfg.lookback + max(steps) + 1, max(_steps(h, cfg.frequency) for h in cfg.horizons)
+
+
 def build_features(aligned: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """The feature table: book, trade flow, returns, volatility, z-scores, time, targets."""
+    """The feature table: book, trade flow, returns, volatility, z-scores, time, targets. Windows hold a block of a session and its halo."""
     cfg = cfg or Config()
-    out = book_features(aligned, cfg.imbalance_levels, cfg.levels)
-    out = trade_features(out, cfg)
-    out = realized_vol(lagged_returns(out, cfg.return_lags, cfg.frequency, cfg.session), cfg.volatility_windows, cfg.frequency, cfg.session)
+    before, after = reach(cfg)
+    blocks = replace(cfg, session=(*cfg.session, "__block"))
+    out = book_features(in_blocks(aligned, cfg.session, cfg.block_rows, before, after), cfg.imbalance_levels, cfg.levels)
+    out = trade_features(out, blocks)
+    out = realized_vol(lagged_returns(out, cfg.return_lags, cfg.frequency, blocks.session), cfg.volatility_windows, cfg.frequency, blocks.session)
     scored = [c for c in (f"return_lag_{cfg.return_lags[0]}", "spread", f"total_volume_{cfg.trade_windows[0]}", "obi_1") if c in out.columns]
-    out = rolling_zscores(out, scored, cfg.lookback, cfg.min_periods, cfg.session)
-    return targets(time_features(out), cfg.horizons, cfg.frequency, cfg.session)
+    out = rolling_zscores(out, scored, cfg.lookback, cfg.min_periods, blocks.session)
+    return targets(time_features(out), cfg.horizons, cfg.frequency, blocks.session).filter("__own").drop("__block", "__own")
 
 
 def feature_groups(cfg: Config | None = None) -> dict[str, list[str]]:

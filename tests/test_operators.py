@@ -96,6 +96,25 @@ def test_targets_end_with_the_session_and_nothing_looks_ahead(spark):
     assert np.allclose(out.realized_vol_10s[:30].to_numpy(float), cut.realized_vol_10s.to_numpy(float), equal_nan=True)
 
 
+def test_blocks_do_not_change_features(spark):
+    """A table built in blocks of 7 and of 50 rows equals one of whole sessions, for books with gaps and a session without trades."""
+    rng = np.random.default_rng(6)
+    rows = [book_row(k, t, bid=100.0 + float(rng.integers(0, 3)), size=float(rng.integers(1, 9)), date=DAY if t < 400 else DAY + dt.timedelta(days=1)) for k, t in enumerate(sorted(rng.choice(700, 260, replace=False).tolist()))]
+    rows = [r | ({"bid_price_1": None} if k % 41 == 7 else {}) for k, r in enumerate(rows)]
+    b = books(spark, rows)
+    t = spark.createDataFrame([("A", DAY, k, T0 + dt.timedelta(seconds=float(rng.random() * 400)), k, 10.0, float(rng.integers(1, 5)), bool(k % 2)) for k in range(150)],
+                              "symbol string, date date, seq long, timestamp timestamp, trade_id long, price double, quantity double, is_buyer_maker boolean")
+    out = []
+    for block_rows in (16_384, 50, 7):
+        cfg = Config(levels=3, imbalance_levels=(1, 3), lookback=40, trade_windows=("1s", "5s", "13s"), block_rows=block_rows)
+        out.append(features.build_features(grid.resample_and_align(b, t, cfg), cfg).orderBy("date", "timestamp").toPandas())
+    assert len(out[0]) > 600 and list(out[0].columns) == list(out[1].columns)
+    for other in out[1:]:
+        pd.testing.assert_frame_equal(out[0], other, check_exact=False, rtol=1e-12)
+    plan = features.build_features(grid.resample_and_align(b, t, cfg), cfg)._jdf.queryExecution().executedPlan().toString()
+    assert "__block" in plan and features.in_blocks(b, ["symbol", "date"], 7, 0).select("date", "__block").distinct().count() > 30
+
+
 def test_hours(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, h),) for h in (0, 4, 5, 8, 9, 12, 13, 16, 17, 20, 21, 23)], "timestamp timestamp")
     got = [r["session"] for r in features.time_features(df).orderBy("timestamp").collect()]
