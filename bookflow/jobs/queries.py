@@ -630,7 +630,7 @@ def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {O.FX} SELECT symbol, epoch_us(ts) // 1000 * 1000 AS us, trade_id, price, quantity, is_buyer_maker FROM fx_trades WHERE price IS NOT NULL"
+    f"WITH {O.FX} SELECT symbol, epoch_us(ts) // 1000 * 1000 AS us, trade_id, price, quantity, is_buyer_maker FROM fx_trades"
 )
 def parsed_trade_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bookflow.streaming.capture import parse_stream
@@ -639,7 +639,7 @@ def parsed_trade_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_messages(trades: DataFrame) -> DataFrame:
-    """Trades as live JSON messages; a row without a price makes no message."""
+    """Trades as live JSON messages; a row without a price makes a message without one."""
     data = F.struct(F.unix_millis("timestamp").alias("T"), F.col("price").cast("string").alias("p"), F.col("quantity").cast("string").alias("q"), F.col("is_buyer_maker").alias("m"), F.col("trade_id").alias("t"))
     message = F.to_json(F.struct(F.concat(F.lower("symbol"), F.lit("@trade")).alias("stream"), data.alias("data")))
-    return trades.filter("price is not null").select(message.alias("value"), F.col("timestamp").alias("received"))
+    return trades.select(message.alias("value"), F.col("timestamp").alias("received"))

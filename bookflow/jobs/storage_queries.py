@@ -88,18 +88,18 @@ def union_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- vendor and archive files ----
 
 
-def named_files(df: DataFrame, path: str, stem: str, header: bool) -> None:
-    """CSV files named <stem>_<date>_<symbol>.csv with the other columns; Spark writes them, the driver renames one file for each symbol and day."""
+def named_files(df: DataFrame, path: str, stem: str, header: bool, gzip: bool = False) -> None:
+    """CSV files named <stem>_<date>_<symbol>.csv, or .csv.gz, with the other columns; Spark writes them, the driver renames one file for each symbol and day."""
     spark = df.sparkSession
-    df.repartition("symbol", "date").sortWithinPartitions("symbol", "date").write.partitionBy("symbol", "date").csv(f"{path}-{stem}", header=header)
+    df.repartition("symbol", "date").sortWithinPartitions("symbol", "date").write.partitionBy("symbol", "date").csv(f"{path}-{stem}", header=header, compression="gzip" if gzip else "none")
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)
     fs.mkdirs(target)
-    for day in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}-{stem}/symbol=*/date=*/*.csv")) or []:
+    for day in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}-{stem}/symbol=*/date=*/*.csv*")) or []:
         file = day.getPath()
         date, symbol = (p.getName().split("=")[1] for p in (file.getParent(), file.getParent().getParent()))
-        fs.rename(file, jvm.org.apache.hadoop.fs.Path(f"{path}/{stem}_{date}_{symbol}.csv"))
+        fs.rename(file, jvm.org.apache.hadoop.fs.Path(f"{path}/{stem}_{date}_{symbol}.csv{'.gz' if gzip else ''}"))
 
 
 def vendor_books(books: DataFrame) -> DataFrame:
@@ -115,14 +115,14 @@ def vendor_trades(trades: DataFrame) -> DataFrame:
 @query(f"WITH {O.FX} SELECT symbol, date::VARCHAR AS day, epoch_us(ts) AS us, {', '.join(_COLS)} FROM fx_books")
 def import_book_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "vendor")
-    named_files(vendor_books(raw_books(spark, sf_dir)), path, "exchange_book_snapshot_2", True)
+    named_files(vendor_books(raw_books(spark, sf_dir)), path, "exchange_book_snapshot_2", True, gzip=True)
     return shown(dated(imports.import_book_csv(spark, f"{path}/*book_snapshot*.csv*", DEPTH, None)).select("symbol", "day", "timestamp", *_COLS))
 
 
 @query(f"WITH {O.FX} SELECT symbol, date::VARCHAR AS day, epoch_us(ts) AS us, trade_id, price, quantity, is_buyer_maker, price * quantity AS quote_quantity FROM fx_trades")
 def import_trades_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "vendor")
-    named_files(vendor_trades(raw_trades(spark, sf_dir)), path, "exchange_trades", True)
+    named_files(vendor_trades(raw_trades(spark, sf_dir)), path, "exchange_trades", True, gzip=True)
     return shown(dated(imports.import_trades_csv(spark, f"{path}/*_trades_*.csv*")).drop("seq"))
 
 
@@ -131,8 +131,8 @@ def import_trades_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def import_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "vendor")
-    named_files(vendor_books(raw_books(spark, sf_dir)), path, "exchange_book_snapshot_2", True)
-    named_files(vendor_trades(raw_trades(spark, sf_dir)), path, "exchange_trades", True)
+    named_files(vendor_books(raw_books(spark, sf_dir)), path, "exchange_book_snapshot_2", True, gzip=True)
+    named_files(vendor_trades(raw_trades(spark, sf_dir)), path, "exchange_trades", True, gzip=True)
     books, trades = imports.import_directory(spark, path, ["S0", "S1", "S2"], DEPTH)
     return dated(imports.import_summary(books, trades)).select("symbol", "day", "book_rows", "trade_rows")
 
@@ -158,10 +158,13 @@ def import_archive_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.FX} SELECT symbol, date::VARCHAR AS day, {_MS}, {', '.join(_COLS)} FROM fx_books")
 def import_archive_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark, "depth")
-    sides = [F.coalesce(F.col(f"{s}_{k}_{i}").cast("string"), F.lit("none")).alias(f"{s}_{k}_{i}") for s in ("bid", "ask") for i in range(1, DEPTH + 1) for k in ("price", "size")]
-    named_files(raw_books(spark, sf_dir).select("symbol", "date", F.unix_millis("timestamp").alias("ms"), F.col("seq").alias("update"), *sides), path, "depth", False)
-    return shown(dated(imports.import_archive_depth(spark, f"{path}/*.csv", DEPTH)).select("symbol", "day", "timestamp", *_COLS))
+    """Files of four layouts in one folder: three ways to begin a row, and one with more levels than are asked for."""
+    path, ms, seq = folder(spark, "depth"), F.unix_millis("timestamp").alias("ms"), F.col("seq").alias("update")
+    leading = {"S0": [F.col("symbol").alias("name"), ms, seq, F.col("seq").alias("last")], "S1": [ms, seq], "S2": [ms], "S3": [ms, seq]}
+    for symbol, first in leading.items():
+        sides = [F.coalesce(F.col(f"{s}_{k}_{i}").cast("string"), F.lit("none")).alias(f"{s}_{k}_{i}") for s in ("bid", "ask") for i in range(1, (LEVELS if symbol == "S3" else DEPTH) + 1) for k in ("price", "size")]
+        named_files(raw_books(spark, sf_dir).filter(F.col("symbol") == symbol).select("symbol", "date", *first, *sides), path, f"depth_{symbol}", False, gzip=symbol == "S1")
+    return shown(dated(imports.import_archive_depth(spark, f"{path}/*.csv*", DEPTH)).select("symbol", "day", "timestamp", *_COLS))
 
 
 # ---- live messages ----
@@ -186,7 +189,7 @@ def parsed_depth_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(capture.parse_stream(depth_messages(raw_books(spark, sf_dir)), LEVELS)[0])
 
 
-@query(f"WITH {O.FX} SELECT DISTINCT symbol, trade_id, price FROM fx_trades WHERE price IS NOT NULL")
+@query(f"WITH {O.FX} SELECT DISTINCT symbol, trade_id, price FROM fx_trades")
 def captured_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of messages, repeats dropped, appended to files by symbol and date; the run takes what is there and stops."""
     _, trades = capture.parse_stream(message_stream(spark, trade_messages(raw_trades(spark, sf_dir))))
@@ -207,7 +210,7 @@ _HOUR = 3_600_000_000
 
 
 @query(
-    f"""WITH {O.FX}, s AS (SELECT symbol, unnest([epoch_us(ts) // {_HOUR} * {_HOUR}, epoch_us(ts) // {_HOUR} * {_HOUR} - {_HOUR}]) AS us, price, quantity AS q, is_buyer_maker AS m FROM fx_trades WHERE price IS NOT NULL)
+    f"""WITH {O.FX}, s AS (SELECT symbol, unnest([epoch_us(ts) // {_HOUR} * {_HOUR}, epoch_us(ts) // {_HOUR} * {_HOUR} - {_HOUR}]) AS us, price, quantity AS q, is_buyer_maker AS m FROM fx_trades)
     SELECT symbol, us AS start, us + {2 * _HOUR} AS end, sum(q) AS total_volume, sum(CASE WHEN NOT m THEN q ELSE 0 END) AS buy_volume, sum(CASE WHEN m THEN q ELSE 0 END) AS sell_volume, count(q) AS num_trades, sum(price * q) AS dollar_volume FROM s GROUP BY ALL"""
 )
 def streamed_trade_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bookflow.operators.grid import downsample_books
+from bookflow.operators.ranks import joined
 
 NAME = r"_(\d{4}-\d{2}-\d{2})_([^_/.]+)\.csv(?:\.gz)?$"
 
@@ -72,28 +72,36 @@ def import_archive_trades(spark: SparkSession, path: str, market: str) -> DataFr
     )
 
 
-def depth_columns(first: str | None, n_columns: int, levels: int) -> list[str]:
-    """Names of an archive depth file's columns, from its first value and its number of columns."""
-    plain = first is not None and first.replace(".", "").replace("-", "").isdigit()
-    if first is not None and not plain:
-        meta = ["symbol_text", "timestamp_ms", "first_update_id", "last_update_id"]
-    else:
-        meta = ["timestamp_ms", "update_id"] if n_columns - 4 * levels == 2 else ["timestamp_ms"]
-    if len(meta) + 4 * levels != n_columns:
-        meta, levels = ["timestamp_ms"], (n_columns - 1) // 4
-    sides = [f"{s}_{k}_{i}" for s in ("bid", "ask") for i in range(1, levels + 1) for k in ("price", "size")]
-    return (meta + sides)[:n_columns] + [f"unused_{i}" for i in range(n_columns - len(meta) - 4 * levels)]
+#: Columns before the levels, by what is left of a row's number of columns after whole levels of four: a time; a time and an update id; a symbol, a time and two update ids.
+LEADING = {1: 1, 2: 2, 0: 4}
+
+
+def _depth_layouts(lines: DataFrame) -> DataFrame:
+    """For each file its usual number of columns, the columns before the levels, and which of the first two columns is a time in milliseconds."""
+    count = F.size("v")
+    is_time = lambda i: F.count(F.get("v", F.lit(i)).try_cast("long"))
+    facts = lines.groupBy("file").agg(F.mode(count).alias("width"), (is_time(1) > is_time(0)).cast("int").alias("time_at"))
+    leading = F.coalesce(F.create_map(*[F.lit(x) for pair in LEADING.items() for x in pair])[F.col("width") % 4], F.lit(1))
+    # a first column that is no time is a symbol, with four columns before the levels; a row that starts with its time has no four
+    first_level = F.when(F.col("time_at") == 1, 4).when(leading == 4, 1).otherwise(leading)
+    return facts.select("file", "time_at", first_level.alias("lead"), F.floor((F.col("width") - first_level) / 4).alias("file_levels"))
 
 
 def import_archive_depth(spark: SparkSession, path: str, levels: int) -> DataFrame:
-    """Exchange archive depth: positional columns, bids then asks; what is no number becomes NULL."""
-    raw = spark.read.csv(path)
-    first = raw.limit(1).collect()
-    names = depth_columns(first[0][0] if first else None, len(raw.columns), levels)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = _from_name(spark.read.schema(schema).csv(path))
-    kept = [f"{s}_{k}_{i}" for i in range(1, levels + 1) for s in ("bid", "ask") for k in ("price", "size") if f"{s}_{k}_{i}" in names]
-    return rows.select("symbol", "date", "seq", F.timestamp_millis(F.col("timestamp_ms").try_cast("long")).alias("timestamp"), *[_number(F.col(c)).alias(c) for c in kept])
+    """Exchange archive depth, CSV without a header: bids by level, then asks; what is no number becomes NULL.
+
+    The layout is told for each file from its own rows, in the same job, so files of
+    a folder may differ: in the columns before the levels, and in their number of
+    levels. Levels that a file doesn't have are NULL, further ones are left out.
+    """
+    text = _from_name(spark.read.text(path).select("*", "_metadata", F.col("_metadata.file_path").alias("file")))
+    lines = text.filter(F.trim("value") != "").withColumn("v", F.split("value", ","))
+    rows = joined(lines, _depth_layouts(lines), ["file"])
+    cell = lambda at: F.get("v", at.cast("int"))
+    at = lambda side, i, k: F.col("lead") + 2 * (F.lit(i - 1) + (F.col("file_levels") if side == "ask" else 0)) + k
+    value = lambda side, i, k: F.when(F.col("file_levels") >= i, _number(F.trim(cell(at(side, i, k)))))
+    cells = [value(side, i, k).alias(f"{side}_{name}_{i}") for i in range(1, levels + 1) for side in ("bid", "ask") for k, name in enumerate(("price", "size"))]
+    return rows.select("symbol", "date", "seq", F.timestamp_millis(F.trim(cell(F.col("time_at"))).try_cast("long")).alias("timestamp"), *cells)
 
 
 def import_directory(spark: SparkSession, path: str, symbols: Sequence[str], levels: int = 10, sample_interval: str | None = "1s") -> tuple[DataFrame, DataFrame]:

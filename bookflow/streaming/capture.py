@@ -7,11 +7,13 @@ gives equal rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Field names differ in case only (T is the time, t the id), so the data is read as a map.
 MESSAGE = "stream string, data map<string, string>"
@@ -41,9 +43,47 @@ def parse_stream(raw: DataFrame, levels: int = 10) -> tuple[DataFrame, DataFrame
     return books, trades
 
 
-def dedup_trades(trades: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Each trade id of a symbol once; ids are remembered for the watermark."""
-    return trades.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["symbol", "trade_id"])
+#: Ids that are remembered of a symbol at most, how many stay when they are cut, and the parts that a symbol's ids are dealt to.
+MOST_IDS, KEPT_IDS, ID_PARTS = 100_000, 50_000, 16
+NO_ID = -(1 << 63)
+
+
+def new_ids(seen: list[int], ids: Sequence[int], most: int, kept: int) -> tuple[list[bool], list[int]]:
+    """Which ids are new after `seen`, and what is remembered then: the last `kept` of them once they are more than `most`."""
+    known, out, remembered = set(seen), [], list(seen)
+    for i in ids:
+        out.append(i not in known)
+        if out[-1]:
+            known.add(i)
+            remembered.append(i)
+    return out, remembered[-kept:] if len(remembered) > most else remembered
+
+
+def _only_new(most: int, kept: int):
+    def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = list(state.get[0]) if state.exists else []
+        for frame in frames:
+            new, seen = new_ids(seen, frame["__id"].tolist(), most, kept)
+            yield frame[new]
+        state.update((seen,))
+
+    return of
+
+
+def dedup_trades(trades: DataFrame, most: int = MOST_IDS, kept: int = KEPT_IDS, parts: int = ID_PARTS) -> DataFrame:
+    """Each trade id of a symbol once, in order of arrival, however late it comes again.
+
+    A symbol's ids are dealt to `parts` states, so a busy symbol has as many tasks.
+    A state remembers its last ids: more than most / parts are cut to kept / parts,
+    so its size is bounded whatever the length of the stream. An id that comes
+    again after so many others is new again. Rows without an id share one.
+    """
+    others = [c for c in trades.columns if c not in {"timestamp", "trade_id"}]
+    dealt = trades.select(*others, F.unix_micros("timestamp").alias("__us"), F.coalesce("trade_id", F.lit(NO_ID)).alias("__id")).withColumn("__part", F.pmod("__id", F.lit(parts)))
+    rule = _only_new(max(1, most // parts), max(1, kept // parts))
+    out = dealt.groupBy("symbol", "__part").applyInPandasWithState(rule, dealt.schema, "ids array<long>", "append", GroupStateTimeout.NoTimeout)
+    restored = out.withColumn("timestamp", F.timestamp_micros("__us")).withColumn("trade_id", F.when(F.col("__id") != NO_ID, F.col("__id")))
+    return restored.select(*trades.columns)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, trigger: str | None = "60 seconds") -> StreamingQuery:

@@ -242,7 +242,16 @@ def test_imports(spark, tmp_path):
     (tmp_path / "d_2024-01-01_ETH.csv").write_text("1704067200000,9,100,1,101,2\n1704067201000,10,oops,1,101,2\n")
     depth = imports.import_archive_depth(spark, str(tmp_path / "d_2024-01-01_ETH.csv"), 1).orderBy("timestamp").collect()
     assert depth[0]["bid_price_1"] == 100 and depth[1]["bid_price_1"] is None and depth[0]["ask_size_1"] == 2
-    assert imports.depth_columns("ETH", 8, 1)[:4] == ["symbol_text", "timestamp_ms", "first_update_id", "last_update_id"] and imports.depth_columns("1", 9, 5)[0] == "timestamp_ms"
+    (tmp_path / "d_2024-01-02_ETH.csv").write_text("ETH,1704067200000,9,9,100,1,99,5,101,2,102,6\n\nETH,1704067201000,10,10,100,1,99,5,101\n")
+    (tmp_path / "d_2024-01-03_ETH.csv").write_text("1704067200000,100,1,101,2\n")
+    every = {(r["date"].day, r["timestamp"].second): r for r in imports.import_archive_depth(spark, str(tmp_path / "d_*.csv"), 2).collect()}
+    assert len(every) == 5 and every[1, 0]["bid_price_2"] is None and every[3, 0]["ask_size_1"] == 2
+    assert [every[2, 0][f"{s}_price_{i}"] for s in ("bid", "ask") for i in (1, 2)] == [100, 99, 101, 102] and every[2, 1]["ask_price_1"] == 101 and every[2, 1]["ask_size_2"] is None
+    import gzip
+
+    with gzip.open(tmp_path / "x_trades_2024-01-05_BTC.csv.gz", "wt") as f:
+        f.write("timestamp,id,side,price,amount\n1704412800000000,7,sell,100,2\n")
+    assert imports.import_trades_csv(spark, str(tmp_path / "*_trades_*.csv.gz")).first()["date"] == dt.date(2024, 1, 5)
 
 
 def test_tables_round_trip(spark, tmp_path):
@@ -276,3 +285,25 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["end"]: r["total_volume"] for r in spark.table("bars2").collect()}
     assert sum(got.values()) == 2 * 22 and len(got) == 5
+
+
+def test_late_repeats_are_dropped_and_state_is_bounded(spark, tmp_path):
+    """Ids come again in a later batch, a day behind the newest trade; the state holds no more than it may."""
+    fields = "symbol string, timestamp timestamp, trade_id long, price double, is_buyer_maker boolean"
+    batches = [[(k, 0) for k in range(40)], [(k, 100_000) for k in range(40, 60)] + [(k, 0) for k in range(5)] + [(None, 0), (None, 0)], [(k, 0) for k in range(60)] + [(1 << 60, 1), (1 + (1 << 60), 1)]]
+    (tmp_path / "in").mkdir()
+    out = []
+    for n, batch in enumerate(batches):
+        rows = [("A", T0 + dt.timedelta(seconds=s), k, 1.0, None) for k, s in batch]
+        spark.createDataFrame(rows, fields).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+        stream = spark.readStream.schema(fields).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        write = lambda df, _: out.extend(r["trade_id"] for r in df.collect())
+        q = capture.dedup_trades(stream, 1000, 500, 4).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(x for x in out if x is not None) == [*range(60), 1 << 60, 1 + (1 << 60)] and out.count(None) == 1
+    seen, most = [], 0
+    for k in range(0, 5000, 50):
+        new, seen = capture.new_ids(seen, range(k, k + 50), 100, 50)
+        most = max(most, len(seen))
+        assert all(new)
+    assert most <= 100 and seen[-1] == 4999 and capture.new_ids(seen, [4999, 0], 100, 50)[0] == [False, True]
