@@ -288,7 +288,7 @@ def average_rank_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.average_rank_by_counts(lineitem(spark, sf_dir), ["l_returnflag"], "l_discount").select("l_orderkey", "l_linenumber", "rank")
 
 
-_SUMMARY = ["spread", "obi_1", "total_depth", "total_volume_10min", "return_lag_50min", "realized_vol_300min", Y]
+_SUMMARY = [*_ALL, *[f"y_return_{h}" for h in CONFIG.horizons]]
 
 
 @query(
@@ -302,7 +302,11 @@ def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(stats.summary_table(feature_table(spark, sf_dir), _SUMMARY))
 
 
-_CORR = ["obi_1", "weighted_obi", "spread", "total_depth", "return_lag_10min", Y]
+# Columns of the correlation overview, with the steps of this grid.
+_CORR = [
+    "obi_1", "obi_3", "obi_5", "weighted_obi", "microprice_deviation", "spread", "relative_spread", "bid_depth_total", "ask_depth_total", "trade_imbalance_10min", "signed_volume_10min", "total_volume_10min",
+    "return_lag_10min", "realized_vol_100min", "y_return_10min", "y_return_50min", "y_return_100min",
+]
 
 
 @query(f"WITH {O.TO_FEATURES} " + " UNION ALL ".join(f"SELECT symbol, '{a}' AS a, '{b}' AS b, {_r(f'corr({a}, {b})', 'corr', 7)} FROM features GROUP BY symbol" for a in _CORR for b in _CORR))
@@ -523,29 +527,72 @@ def ols_by_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "l_returnflag string, intercept double, slope double, n double")
 
 
-_MODEL_SETS = {"orderbook": ["obi_1", "weighted_obi", "microprice_deviation", "spread", "total_depth"], "return_vol": ["return_lag_10min", "return_lag_50min", "realized_vol_100min"]}
+_MODEL_SETS = features.feature_groups(CONFIG)
+
+
+def _complete(cols: Sequence[str]) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in cols)
 
 
 @query()
 def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = splits.chronological_split(feature_table(spark, sf_dir))
-    return shown(models.model_grid(parts.filter("split = 'train'"), parts.filter("split = 'test'"), [H], _MODEL_SETS), 6)
+    return shown(models.model_grid(parts.filter("split = 'train'"), parts.filter("split = 'test'"), CONFIG.horizons, _MODEL_SETS), 6)
+
+
+_TRAIN_ROWS = f"{_RN}, tr AS MATERIALIZED (SELECT * FROM rn WHERE rn < floor(n_rows * 0.6::DOUBLE))"
+
+
+@query(
+    f"WITH {O.TO_FEATURES}, {_TRAIN_ROWS}, c AS ("
+    + " UNION ALL ".join(f"SELECT symbol, '{h}' AS horizon, '{s}' AS feature_set, count(*) AS train_size FROM tr WHERE {_complete(cols)} AND y_return_{h} IS NOT NULL GROUP BY symbol" for s, cols in _MODEL_SETS.items() for h in CONFIG.horizons)
+    + ") SELECT symbol, horizon, feature_set, model, train_size, train_size AS n, 0.0::DOUBLE AS violation FROM c, (VALUES ('linear'), ('ridge'), ('lasso')) m(model) WHERE train_size >= 30"
+)
+def model_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model of the grid meets its conditions of optimality on its train rows."""
+    parts = splits.chronological_split(feature_table(spark, sf_dir))
+    return shown(models.optimality(parts.filter("split = 'train'"), CONFIG.horizons, _MODEL_SETS), 6)
 
 
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(models.walk_forward(feature_table(spark, sf_dir), [H], _MODEL_SETS), 6)
+    return shown(models.walk_forward(feature_table(spark, sf_dir), CONFIG.horizons, _MODEL_SETS), 6)
 
 
 @query()
 def logistic_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each symbol, fitted in the same jobs; metrics of its probabilities."""
     parts = splits.chronological_split(feature_table(spark, sf_dir))
-    target = f"y_direction_{H}"
-    model = models.fit_logistic(parts.filter("split = 'train'"), target, _MODEL_SETS["return_vol"])
-    scored = models.predict(parts.filter("split = 'test'"), model)
+    target, cols = f"y_direction_{H}", _MODEL_SETS["return_vol"]
+    scored = models.with_probabilities(parts.filter("split = 'test'"), models.logistic_models(parts.filter("split = 'train'"), target, cols), cols)
     return shown(stats.classification_metrics(scored, ["symbol"], target), 4)
 
 
+#: One feature and an intercept, by Newton's method in SQL; the feature is standardised.
+_NEWTON = f"""{_TRAIN_ROWS}, lx AS (SELECT symbol, obi_1::DOUBLE AS x, y_direction_{H}::DOUBLE AS y FROM tr WHERE obi_1 IS NOT NULL AND y_direction_{H} IS NOT NULL),
+lm AS (SELECT symbol, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM lx GROUP BY symbol), lz AS MATERIALIZED (SELECT symbol, (x - m) / s AS z, y FROM lx JOIN lm USING (symbol)),
+it AS (SELECT symbol, 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM lm UNION ALL
+  SELECT symbol, i + 1, w - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (SELECT symbol, i, w, b, sum((p - y) * z) + w AS g1, sum(p - y) AS g2, sum(p * (1 - p) * z * z) + 1 AS h11, sum(p * (1 - p) * z) AS h12, sum(p * (1 - p)) AS h22
+    FROM (SELECT it.symbol, i, w, b, z, y, 1 / (1 + exp(-(w * z + b))) AS p FROM it JOIN lz ON it.symbol = lz.symbol WHERE i < 12) GROUP BY symbol, i, w, b)),
+lw AS (SELECT symbol, n, w / s AS weight, b - w / s * m AS intercept, w AS scaled FROM it JOIN lm USING (symbol) WHERE i = 12)"""
+
+
+@query(f"WITH RECURSIVE {O.TO_FEATURES}, {_NEWTON} SELECT symbol, n, {_r('intercept', 'intercept', 6)}, {_r('weight', 'weight', 6)}, {_r('scaled', 'scaled', 6)}, 0.0::DOUBLE AS gradient FROM lw")
+def logistic_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = splits.chronological_split(feature_table(spark, sf_dir)).filter("split = 'train'")
+    found = models.logistic_models(train, f"y_direction_{H}", ["obi_1"])
+    return shown(found.select("symbol", "n", "intercept", F.col("weights")[0].alias("weight"), F.col("scaled")[0].alias("scaled"), "gradient"), 6)
+
+
+@query(
+    f"WITH RECURSIVE {O.TO_FEATURES}, {_NEWTON} SELECT symbol, us, {_r('1 / (1 + exp(-(intercept + weight * obi_1)))', 'y_pred', 6)} FROM rn JOIN lw USING (symbol) WHERE rn >= floor(n_rows * (0.6::DOUBLE + 0.2::DOUBLE)) AND obi_1 IS NOT NULL"
+)
+def logistic_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = splits.chronological_split(feature_table(spark, sf_dir))
+    found = models.logistic_models(parts.filter("split = 'train'"), f"y_direction_{H}", ["obi_1"])
+    return shown(models.with_probabilities(parts.filter("split = 'test'"), found, ["obi_1"]).select("symbol", "timestamp", "y_pred"), 6)
+
+
 # ---- backtest ----
 
 _POS = f"""{_RN}, q AS (SELECT symbol, quantile_cont(obi_1, 0.1) AS lo, quantile_cont(obi_1, 0.9) AS hi FROM features GROUP BY symbol),

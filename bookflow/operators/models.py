@@ -1,16 +1,17 @@
 """Linear models from Gram matrices.
 
-One pass over the rows gives sums of products of features and target for each
-block (an asset, a target, a run of rows between fold bounds). Blocks are
-additive: an expanding train set is a prefix sum, a feature set is a sub-matrix,
-and scaling comes from the same sums. The matrices are tiny; they are solved on
-the driver, and predictions are plain column expressions.
+One pass over the rows gives sums of products for all targets and feature sets of
+each asset and fold, over the rows where a set and a target are complete. The
+sums are additive: an expanding train set is a prefix sum, and scaling comes from
+the same sums. The matrices are tiny; grids solve them in tasks, and predictions
+are plain column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions.numeric import correlation
+from bookflow.operators.ranks import joined
 from bookflow.operators.splits import fold_table, with_row_number
 from bookflow.operators.stats import decile_spread, ic_ir, ic_tstat, regression_metrics
+from bookflow.operators.sums import centred, summed_vectors, typed
 
 RIDGE, LASSO, LASSO_STEPS = 1.0, 0.01, 5000
 MODELS = ("linear", "ridge", "lasso")
@@ -50,28 +53,35 @@ class Gram:
         return mean + self.centre, self.products / self.n - np.outer(mean, mean)
 
 
-def _partials(features: Sequence[str], keys: Sequence[str], centre: np.ndarray):
-    columns = [*features, "__y"]
+def masked_grams(df: DataFrame, targets: dict[str, str], sets: dict[str, Sequence[str]], keys: Sequence[str], features: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """One scan for all targets and feature sets: keys, within, horizon, feature_set, vec (n, sums, products about the key's centre) and centre, over the rows where the set and the target are set."""
+    at = {s: [features.index(f) for f in fs] for s, fs in sets.items()}
 
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for key, part in pdf.groupby(list(keys), sort=False):
-                x = part[columns].to_numpy(float) - centre
-                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key if isinstance(key, tuple) else (key,), strict=True)}, "n": [float(len(x))], "sums": [x.sum(axis=0)], "products": [(x.T @ x).ravel()]})
+    def part(x: np.ndarray) -> dict[tuple, np.ndarray]:
+        out = {}
+        for s, cols in at.items():
+            whole = x[~np.isnan(x[:, cols]).any(axis=1)]
+            for j, h in enumerate(targets):
+                y = len(features) + j
+                a = whole[~np.isnan(whole[:, y])][:, [*cols, y]]
+                out[h, s] = np.concatenate([[float(len(a))], a.sum(axis=0), (a.T @ a).ravel()])
+        return out
 
-    return add
+    columns = [*features, *targets.values()]
+    rows, centres = centred(df, columns, keys, within)
+    return joined(summed_vectors(rows, columns, [*keys, *within], part, ("horizon", "feature_set")), centres, keys)
+
+
+def as_gram(vec: Sequence[float], centre: np.ndarray) -> Gram:
+    k = len(centre)
+    v = np.asarray(vec, float)
+    return Gram(float(v[0]), v[1 : k + 1], v[k + 1 :].reshape(k, k), centre)
 
 
 def grams(rows: DataFrame, features: Sequence[str], keys: Sequence[str]) -> dict[tuple, Gram]:
-    """The Gram of each key of `design` rows. Each Arrow batch sends one matrix; the sums reach the driver as one row a key."""
-    centre_row = rows.agg(*[F.avg(c).alias(c) for c in (*features, "__y")]).first()
-    centre = np.array([centre_row[c] or 0.0 for c in (*features, "__y")])
-    size = len(centre)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    parts = rows.mapInPandas(_partials(features, keys, centre), head + ", n double, sums array<double>, products array<double>")
-    added = lambda name, m: F.array(*[F.sum(F.col(name)[i]) for i in range(m)]).alias(name)
-    found = parts.groupBy(*keys).agg(F.sum("n").alias("n"), added("sums", size), added("products", size * size)).collect()
-    return {tuple(r[k] for k in keys): Gram(r["n"], np.array(r["sums"]), np.array(r["products"]).reshape(size, size), centre) for r in found}
+    """The Gram of each key of `design` rows, at the driver, for models that are asked for one by one."""
+    found = masked_grams(rows, {"y": "__y"}, {"x": list(features)}, keys, list(features)).collect()
+    return {tuple(r[k] for k in keys): as_gram(r["vec"], np.array(r["centre"])) for r in found if r["vec"][0] > 0}
 
 
 @dataclass(frozen=True)
@@ -136,21 +146,86 @@ def _fit_one(df: DataFrame, target: str, features: Sequence[str], name: str) ->
     return solve(grams(rows, features, ["__all"])[(1,)], features, features, name)
 
 
+def logistic_models(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str] = ("symbol",), c: float = 1.0, steps: int = 50, near: float = 1e-9) -> DataFrame:
+    """L2 logistic regressions on standardised features, one for each key, all in the same jobs.
+
+    Newton's method: a step adds up gradients and weighted Gram matrices of all keys
+    in one scan; a step that makes a key's loss worse is halved. The driver holds
+    the weights of each key. Returns keys, n, intercept, weights (of raw features),
+    scaled and gradient, the largest part of the gradient over n at the end.
+    """
+    names, k = list(features), len(features)
+    rows = design(df, target, names, keys)
+    spread = grams(rows, names, keys)
+    moments = {}
+    for key, g in spread.items():
+        mean, cov = g.moments()
+        sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
+        moments[key] = mean[:-1], np.where(sd > 1e-12 * np.maximum(np.abs(mean[:-1]), 1e-300), sd, 1.0)
+    weights = {key: np.zeros(k + 1) for key in spread}
+    accepted: dict[tuple, tuple[float, np.ndarray]] = {}  # loss and weights that the last step started from
+    open_keys, result = set(spread), {}
+    for _ in range(steps):
+        now = {key: weights[key] for key in open_keys}
+        found = {tuple(r[x] for x in keys): np.asarray(r["vec"]) for r in _newton_sums(rows, names, keys, now, moments).collect()}
+        for key in list(open_keys):
+            v, w = found[key], weights[key]
+            penalty = np.append(w[:-1], 0.0) / c
+            loss, grad, hess = v[0] + w[:-1] @ w[:-1] / (2 * c), v[1 : k + 2] + penalty, v[k + 2 :].reshape(k + 1, k + 1) + np.diag(np.append(np.ones(k), 1e-12)) / c
+            if key in accepted and loss > accepted[key][0] + 1e-12 * abs(loss):
+                weights[key] = (w + accepted[key][1]) / 2
+                continue
+            accepted[key] = loss, w
+            result[key] = w, float(np.abs(grad).max() / spread[key].n)
+            if result[key][1] < near:
+                open_keys.discard(key)
+            else:
+                weights[key] = w - np.linalg.solve(hess, grad)
+        if not open_keys:
+            break
+    table = []
+    for key, (w, gradient) in result.items():
+        mean, sd = moments[key]
+        raw = w[:-1] / sd
+        table.append((*key, int(spread[key].n), float(w[-1] - raw @ mean), raw.tolist(), w[:-1].tolist(), gradient))
+    return df.sparkSession.createDataFrame(table, typed(rows, keys) + ", n long, intercept double, weights array<double>, scaled array<double>, gradient double")
+
+
+def _newton_sums(rows: DataFrame, features: Sequence[str], keys: Sequence[str], weights: dict[tuple, np.ndarray], moments: dict[tuple, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Loss, gradient and weighted Gram matrix of each key whose weights are given, as one vector."""
+    numbered = {key: i for i, key in enumerate(weights)}
+    spark = rows.sparkSession
+    known = spark.createDataFrame([(*key, i) for key, i in numbered.items()], typed(rows, keys) + ", __no int")
+    at = list(weights.values())
+    scale = [moments[key] for key in numbered]
+
+    def part(x: np.ndarray) -> dict[tuple, np.ndarray]:
+        if not len(x):
+            return {}
+        no = int(x[0, -1])
+        mean, sd = scale[no]
+        z, y = np.column_stack([(x[:, : len(features)] - mean) / sd, np.ones(len(x))]), x[:, len(features)]
+        score = z @ at[no]
+        p = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
+        loss = np.logaddexp(0, score) - y * score
+        return {("sums",): np.concatenate([[loss.sum()], z.T @ (p - y), (z.T @ (z * (p * (1 - p))[:, None])).ravel()])}
+
+    return summed_vectors(joined(rows, known, keys), [*features, "__y", "__no"], keys, part, ("kind",))
+
+
 def fit_logistic(df: DataFrame, target: str, features: Sequence[str], c: float = 1.0) -> Linear:
-    """L2 logistic regression on standardised features, by the library's own distributed optimiser."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = design(df, target, features)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
-    mean = [facts[f"m{i}"] for i in range(len(features))]
-    sd = [facts[f"s{i}"] or 1.0 for i in range(len(features))]
-    scaled = rows.select("__y", *[((F.col(f) - m) / s).alias(f"x{i}") for i, (f, m, s) in enumerate(zip(features, mean, sd, strict=True))])
-    ready = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="x").transform(scaled)
-    model = LogisticRegression(featuresCol="x", labelCol="__y", regParam=1.0 / (c * facts["n"]), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10).fit(ready)
-    w = np.array(model.coefficients.toArray())
-    raw = w / np.array(sd)
-    return Linear("logistic", tuple(features), float(model.intercept - raw @ np.array(mean)), tuple(raw.tolist()), tuple(w.tolist()))
+    """logistic_models of one key."""
+    found = logistic_models(df.withColumn("__all", F.lit(1)), target, features, ["__all"], c).first()
+    return Linear("logistic", tuple(features), found["intercept"], tuple(found["weights"]), tuple(found["scaled"]))
+
+
+def with_probabilities(df: DataFrame, found: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",), name: str = "y_pred") -> DataFrame:
+    """Adds the probability that the key's model of logistic_models gives; rows without a feature or a model are left out."""
+    value = F.col("__b")
+    for i, f in enumerate(features):
+        value = value + F.col(f).cast("double") * F.col("__w")[i]
+    known = found.select(*keys, F.col("intercept").alias("__b"), F.col("weights").alias("__w"))
+    return joined(df, known, keys).withColumn(name, 1 / (1 + F.exp(-value))).filter(F.col(name).isNotNull()).drop("__b", "__w")
 
 
 def score(model: Linear) -> Column:
@@ -188,66 +263,127 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, target: str, features:
     return model, evaluated(scored.withColumn("model", F.lit(name)), target, ["model"]), scored
 
 
-def model_grid(train: DataFrame, test: DataFrame, horizons: Sequence[str], feature_sets: dict[str, Sequence[str]], names: Sequence[str] = MODELS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Metrics for every asset, horizon, feature set and model. One Gram pass for each horizon and set serves all models."""
-    out = None
-    for h in horizons:
-        for set_name, features in feature_sets.items():
-            target = f"y_return_{h}"
-            fitted = grams(design(train, target, features, keys), features, keys)
-            models = {k: {m: solve(g, features, features, m) for m in names} for k, g in fitted.items() if g.n >= LEAST_TRAIN}
-            rows = design(test, target, features, keys)
-            scored = _scored_by_key(rows, models, keys, names).withColumnRenamed("__y", target)
-            one = evaluated(scored, target, [*keys, "model"]).select(*keys, F.lit(h).alias("horizon"), F.lit(set_name).alias("feature_set"), "model", "n", "pearson_ic", "spearman_ic", "mse", "mae", "decile_spread")
-            out = one if out is None else out.unionByName(one)
-    return out
+def _solver(features: Sequence[str], sets: dict[str, Sequence[str]], names: Sequence[str], order: Sequence[str], keys: Sequence[str]):
+    """Solves every model of a gram row, or of the running sums over folds where rows have a fold. Weights are in the order of all features."""
+    ends = len(features)
+
+    def models_of(h_no: int, s: str, vec: np.ndarray, centre: np.ndarray) -> Iterator[tuple[str, Linear, np.ndarray]]:
+        cols = [features.index(f) for f in sets[s]]
+        gram = as_gram(vec, centre[[*cols, ends + h_no]])
+        if gram.n >= LEAST_TRAIN:
+            for name in names:
+                m = solve(gram, list(sets[s]), list(sets[s]), name)
+                wide = np.zeros(ends)
+                wide[cols] = m.weights
+                yield name, m, wide
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        total = None
+        for r in frame.sort_values("fold").to_dict("records") if "fold" in frame else frame.to_dict("records"):
+            total = np.asarray(r["vec"]) if total is None or "fold" not in r else total + np.asarray(r["vec"])
+            for name, m, wide in models_of(order.index(r["horizon"]), r["feature_set"], total, np.asarray(r["centre"])):
+                kept = {k: r[k] for k in (*keys, "horizon", "feature_set", *(["fold"] if "fold" in r else []))}
+                out.append({**kept, "model": name, "train_size": int(total[0]), "__b": m.intercept, "__w": wide.tolist()})
+        names_ = [*keys, "horizon", "feature_set", *(["fold"] if "fold" in frame else []), "model", "train_size", "__b", "__w"]
+        return pd.DataFrame(out, columns=names_)
+
+    return of
+
+
+COEFS = "horizon string, feature_set string, {fold}model string, train_size long, __b double, __w array<double>"
+
 
+def fitted_grid(train: DataFrame, targets: dict[str, str], sets: dict[str, Sequence[str]], names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Every model of every key, target and feature set: keys, horizon, feature_set, model, train_size, __b and __w. One scan; matrices are solved in tasks."""
+    features = list(dict.fromkeys(f for fs in sets.values() for f in fs))
+    found, of = masked_grams(train, targets, sets, keys, features), _solver(features, sets, names, list(targets), keys)
 
-def _scored_by_key(rows: DataFrame, models: dict[tuple, dict[str, Linear]], keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Predictions of every model: coefficients are a small table joined by key, the product an expression."""
-    table = [(*k, m, v.intercept, list(v.weights)) for k, by in models.items() for m, v in by.items()]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    coefs = rows.sparkSession.createDataFrame(table, head + ", model string, __b double, __w array<double>")
-    features = next(iter(next(iter(models.values())).values())).features if models else ()
+    def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield of(frame)
+
+    return found.mapInPandas(solved, typed(train, keys) + ", " + COEFS.format(fold=""))
+
+
+def scored_grid(rows: DataFrame, coefs: DataFrame, targets: dict[str, str], sets: dict[str, Sequence[str]], on: Sequence[str]) -> DataFrame:
+    """Each row with each target and model whose features it has: on, horizon, feature_set, model, train_size, y_true, y_pred and the features.
+
+    The product is an expression over all features, with weight 0 outside a set.
+    """
+    features = list(dict.fromkeys(f for fs in sets.values() for f in fs))
+    cols = [F.col(f).cast("double").alias(f) for f in features]
+    cells = F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(y).cast("double").alias("y_true")) for h, y in targets.items()]))
+    complete = F.array(*[reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fs]) for fs in sets.values()]).alias("__complete")
+    long = rows.select(*on, *cols, complete, cells).filter("y_true is not null")
+    place = F.array_position(F.array(*map(F.lit, sets)), F.col("feature_set")).cast("int") - 1
     value = F.col("__b")
     for i, f in enumerate(features):
-        value = value + F.col(f) * F.col("__w")[i]
-    return rows.join(coefs, list(keys)).withColumn("y_pred", value).drop("__b", "__w")
+        value = value + F.coalesce(F.col(f), F.lit(0.0)) * F.col("__w")[i]
+    both = joined(long, coefs, [*on, "horizon"]).filter(F.get("__complete", place))
+    return both.withColumn("y_pred", value).drop("__b", "__complete")
 
 
-def fold_metrics(df: DataFrame, target: str, features: Sequence[str], names: Sequence[str] = MODELS, n_folds: int = 5, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Walk-forward metrics of each fold and model.
+_METRICS = ("n", "pearson_ic", "spearman_ic", "mse", "mae", "decile_spread")
+
+
+def model_grid(train: DataFrame, test: DataFrame, horizons: Sequence[str], feature_sets: dict[str, Sequence[str]], names: Sequence[str] = MODELS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Metrics for every asset, horizon, feature set and model: one scan of the train rows for all Gram matrices, one of the test rows for all predictions."""
+    targets = {h: f"y_return_{h}" for h in horizons}
+    scored = scored_grid(test, fitted_grid(train, targets, feature_sets, names, keys), targets, feature_sets, keys)
+    by = [*keys, "horizon", "feature_set", "model"]
+    rows = scored.select(*by, "y_true", "y_pred")
+    return joined(regression_metrics(rows, by), decile_spread(rows, by), by, "left").select(*by, *_METRICS)
+
 
-    Rows are cut into blocks at all fold bounds; each fold's train set is the sum
-    of the blocks before its bound.
+def optimality(train: DataFrame, horizons: Sequence[str], feature_sets: dict[str, Sequence[str]], names: Sequence[str] = MODELS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """How far the fitted models are from their conditions of optimality, from the rows themselves: train_size and violation, in deviations of the target, for each model.
+
+    With standardised features the mean product of feature and residual is 0 for
+    linear, weight * RIDGE / n for ridge, and for lasso LASSO with the weight's sign, or within LASSO for weight 0.
+    """
+    targets = {h: f"y_return_{h}" for h in horizons}
+    scored = scored_grid(train, fitted_grid(train, targets, feature_sets, names, keys), targets, feature_sets, keys)
+    features = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    by, e = [*keys, "horizon", "feature_set", "model"], F.col("y_true") - F.col("y_pred")
+    sums = scored.groupBy(*by).agg(F.max("train_size").alias("train_size"), F.count(F.lit(1)).alias("n"), F.avg(e).alias("e"), F.first("__w").alias("w"), F.stddev_pop("y_true").alias("sy"),
+                                   *[x for i, f in enumerate(features) for x in (F.covar_pop(F.col(f), e).alias(f"c{i}"), F.stddev_pop(f).alias(f"s{i}"))])
+    parts = [F.abs("e")]
+    for i, f in enumerate(features):
+        inside = reduce(lambda a, b: a | b, [F.col("feature_set") == s for s, fs in feature_sets.items() if f in fs])
+        w, g = F.col("w")[i] * F.col(f"s{i}"), F.col(f"c{i}") / F.col(f"s{i}")
+        lasso = F.when(w == 0, F.greatest(F.abs(g) - LASSO, F.lit(0.0))).otherwise(F.abs(g - LASSO * F.signum(w)))
+        gap = F.when(F.col("model") == "linear", F.abs(g)).when(F.col("model") == "ridge", F.abs(g - w * RIDGE / F.col("n"))).otherwise(lasso)
+        parts.append(F.when(inside & (F.col(f"s{i}") > 1e-12), gap).otherwise(0.0))
+    return sums.select(*by, "train_size", "n", (F.greatest(*parts) / F.col("sy")).alias("violation"))
+
+
+def fold_grid(df: DataFrame, targets: dict[str, str], feature_sets: dict[str, Sequence[str]], names: Sequence[str] = MODELS, n_folds: int = 5, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Walk-forward metrics of each fold, target, feature set and model.
+
+    Train sets expand, so a row is counted once, with the first fold that trains on
+    it, and a fold's Gram matrix is the sum over the folds up to it. Fold bounds are arrays of columns.
     """
     numbered = with_row_number(df, keys)
-    found = fold_table(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), n_folds, keys=keys).orderBy(*keys, "fold").collect()  # one row for each model
-    folds: dict[tuple, list[tuple[int, int, int, int]]] = {}
-    for r in found:
-        folds.setdefault(tuple(r[k] for k in keys), []).append((r["fold"], r["train_to"], r["test_from"], r["test_to"]))
-    cuts = {k: sorted({x for f in fs for x in f[1:]}) for k, fs in folds.items()}
-    spark, head = df.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    table = spark.createDataFrame([(*k, c) for k, c in cuts.items()], head + ", __cuts array<long>")
-    blocks = numbered.join(table, list(keys)).withColumn("__block", F.size(F.filter("__cuts", lambda c: c <= F.col("rn"))))
-    rows = design(blocks, target, features, [*keys, "__block", "rn"])
-    parts = grams(rows, features, [*keys, "__block"])
-    models, sizes, spans = {}, {}, []
-    for k, fs in folds.items():
-        for fold, train_to, test_from, test_to in fs:
-            upto = [g for (*kk, block), g in parts.items() if tuple(kk) == k and block <= cuts[k].index(train_to)]
-            total = upto[0] if upto else None
-            for g in upto[1:]:
-                total = total + g
-            if total is not None and total.n >= LEAST_TRAIN:
-                models[(*k, fold)] = {m: solve(total, features, features, m) for m in names}
-                sizes[(*k, fold)] = int(total.n)
-                spans.append((*k, fold, test_from, test_to, int(total.n)))
-    spans_df = spark.createDataFrame(spans, head + ", fold int, __from long, __to long, train_size long")
-    test = rows.join(spans_df, list(keys)).filter((F.col("rn") >= F.col("__from")) & (F.col("rn") < F.col("__to")))
-    scored = _scored_by_key(test, models, [*keys, "fold"], names).withColumnRenamed("__y", target)
-    by = [*keys, "fold", "model", "train_size"]
-    return evaluated(scored, target, by).withColumnRenamed("n", "test_size")
+    folds = fold_table(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), n_folds, keys=keys)
+    bounds = folds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fold", "train_to", "test_from", "test_to"))).alias("__f"))
+    rows = joined(numbered, bounds, keys)
+    rn = F.col("rn")
+    train = rows.withColumn("fold", F.size(F.filter("__f", lambda f: f["train_to"] <= rn))).filter(F.col("fold") < F.size("__f"))
+    features = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    found, of = masked_grams(train, targets, feature_sets, keys, features, ["fold"]), _solver(features, feature_sets, names, list(targets), keys)
+    coefs = found.groupBy(*keys, "horizon", "feature_set").applyInPandas(of, typed(df, keys) + ", " + COEFS.format(fold="fold int, "))
+    at = F.size(F.filter("__f", lambda f: f["test_from"] <= rn)) - 1
+    test = rows.withColumn("fold", at).filter((at >= 0) & (rn < F.get("__f", at)["test_to"]))
+    scored = scored_grid(test, coefs, targets, feature_sets, [*keys, "fold"])
+    by = [*keys, "fold", "horizon", "feature_set", "model", "train_size"]
+    out = scored.select(*by, "y_true", "y_pred")
+    return joined(regression_metrics(out, by), decile_spread(out, by), by, "left").select(*by, *_METRICS).withColumnRenamed("n", "test_size")
+
+
+def fold_metrics(df: DataFrame, target: str, features: Sequence[str], names: Sequence[str] = MODELS, n_folds: int = 5, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """fold_grid of one target and feature set."""
+    return fold_grid(df, {"y": target}, {"x": features}, names, n_folds, keys).drop("horizon", "feature_set")
 
 
 def fold_summary(metrics: DataFrame, keys: Sequence[str] = ("symbol", "model")) -> DataFrame:
@@ -258,13 +394,8 @@ def fold_summary(metrics: DataFrame, keys: Sequence[str] = ("symbol", "model"))
 
 def walk_forward(df: DataFrame, horizons: Sequence[str], feature_sets: dict[str, Sequence[str]], names: Sequence[str] = MODELS, n_folds: int = 5, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """fold_summary for every horizon, feature set and model."""
-    out = None
-    for h in horizons:
-        for set_name, features in feature_sets.items():
-            one = fold_summary(fold_metrics(df, f"y_return_{h}", features, names, n_folds, keys), [*keys, "model"])
-            one = one.select(F.lit(h).alias("horizon"), F.lit(set_name).alias("feature_set"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out
+    by = [*keys, "horizon", "feature_set", "model"]
+    return fold_summary(fold_grid(df, {h: f"y_return_{h}" for h in horizons}, feature_sets, names, n_folds, keys), by)
 
 
 def attach_predictions(df: DataFrame, preds: DataFrame, on: Sequence[str] = ("symbol", "timestamp")) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.functions.numeric import correlation
 from bookflow.operators.ranks import average_rank, average_ranks, exact_quantiles, joined
+from bookflow.operators.sums import centred, summed_vectors, typed
 
 
 def small_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -64,12 +66,30 @@ def summary_table(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("sy
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """(a, b, corr) of all ordered pairs over the rows where both are set, from one aggregation."""
-    pairs = list(combinations(cols, 2))
-    one = df.groupBy(*keys).agg(*[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)], *[correlation(F.col(a), F.col(a)).alias(f"d{i}") for i, a in enumerate(cols)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (x, y) in enumerate(pairs) for a, b in ((x, y), (y, x))]
-    cells += [F.struct(F.lit(a).alias("a"), F.lit(a).alias("b"), F.col(f"d{i}").alias("corr")) for i, a in enumerate(cols)]
-    return one.select(*keys, F.inline(F.array(*cells)))
+    """(a, b, corr) of all ordered pairs over the rows where both are set; NULL where one of them is constant there.
+
+    From one scan: counts, sums, squares and products of all pairs are matrices that tasks add up.
+    """
+    names, k = list(cols), len(cols)
+
+    def part(x: np.ndarray) -> dict[tuple, np.ndarray]:
+        known = ~np.isnan(x)
+        v, x = known.astype(float), np.where(known, x, 0.0)
+        return {("pairs",): np.concatenate([(v.T @ v).ravel(), (x.T @ v).ravel(), ((x * x).T @ v).ravel(), (x.T @ x).ravel()])}
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                n, s, q, p = np.asarray(r["vec"]).reshape(4, k, k)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    var = q / n - (s / n) ** 2
+                    var = np.where(var > 1e-14 * q / n, var, np.nan)
+                    corr = (p / n - s * s.T / n**2) / np.sqrt(var * var.T)
+                yield pd.DataFrame({**{c: [r[c]] * (k * k) for c in keys}, "a": np.repeat(names, k), "b": names * k, "corr": corr.ravel()})
+
+    sums = summed_vectors(centred(df, names, keys)[0], names, keys, part, ("kind",))
+    out = sums.mapInPandas(cells, typed(df, keys) + ", a string, b string, corr double")
+    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
