@@ -39,15 +39,21 @@ VOID = frozenset("br hr img input meta link wbr area base col embed source track
 #: Open elements that the start of another element closes: a paragraph by any block, the others by their like.
 CLOSED_BY = {**{t: ("p",) for t in BREAKS}, "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "option": ("p", "option")}
 #: Elements that are never part of the article.
-BOILERPLATE_TAGS = frozenset("nav footer aside form header button dialog menu label option datalist output meter progress".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside form header button dialog menu label option datalist output meter progress audio video canvas object".split())
 #: Words that mark an element wherever they stand in its names.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead modal nav navbar navigation newsletter "
-    "pagination pager popup promo promoted replies respond sharing sidebar sponsor sponsored subscribe toolbar widget".split()
+    "addthis adsbygoogle advert advertisement adverts breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr masthead modal nav navbar navigation newsletter "
+    "pagination pager popup promo promoted replies respond sharethis sharing sidebar signup sponsor sponsored subscribe toolbar widget".split()
 )
 #: Words that mark an element only as a name of their own, or beside a word for the page.
-BOILERPLATE_NAMES = frozenset("banner copyright header menu notice recommend recommended related share social".split())
-PAGE_WORDS = frozenset("bar bottom box buttons global icons links list main page post posts site stories top wrapper".split())
+BOILERPLATE_NAMES = frozenset("alert banner copyright header menu notice recommend recommended related share social".split())
+PAGE_WORDS = frozenset("bar bottom box buttons global icons links list main media page post posts site stories top wrapper".split())
+#: Words that mark an advert as a name of their own, or beside words for a place or a size.
+AD_NAMES = frozenset("ad ads adv".split())
+AD_WORDS = PAGE_WORDS | BOILERPLATE_NAMES | frozenset(
+    "area block center column container content desktop footer frame google group header holder inline inner inside item label large leaderboard left middle mobile module outer panel placement position "
+    "rectangle region right row script section side single size skyscraper slot small space spot text title unit wide wrap x zone".split()
+)
 #: A page's vote starts at the deepest container with this share of its score.
 SHARE = 0.75
 #: Elements that are parts of an article: they are voted for only where no other container below the body stands.
@@ -90,7 +96,7 @@ class Element:
         self.path = f"{parent}/{self.label}"
         self.dull = tag in BOILERPLATE_TAGS or any(is_boilerplate(n) for k in ("class", "id", "role") if k in found for n in found[k].lower().split())
         style = found.get("style", "").replace(" ", "").lower()
-        self.hidden = "hidden" in found or "display:none" in style or "visibility:hidden" in style
+        self.hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
 @lru_cache(1 << 14)
@@ -99,6 +105,8 @@ def is_boilerplate(name: str) -> bool:
     words = WORDS.findall(name)
     if not BOILERPLATE_WORDS.isdisjoint(words):
         return True
+    if not AD_NAMES.isdisjoint(words) and all(w in AD_NAMES or w in AD_WORDS for w in words):
+        return True
     return not BOILERPLATE_NAMES.isdisjoint(words) and all(w in BOILERPLATE_NAMES or w in PAGE_WORDS for w in words)
 
 
@@ -248,18 +256,26 @@ def climbed(best: str, chain: tuple[Element, ...], article: dict[str, float]) ->
     return best
 
 
-def main_text(blocks: list, paths: set[str]) -> str | None:
-    """Text of the article's blocks under any of the paths; None if the page has none of them."""
-    met, out, menus = False, [], []
+def chosen_path(blocks: list, winners: dict[str, int], own: str) -> str:
+    """The path to read a page under: of its own vote, if that won, and the winners below it the one with most votes.
+
+    Without a vote that won it is the deepest winner around the vote, else the deepest one that the page has.
+    """
+    present = {e.path for at, _, _, _ in blocks for e in at if e.tag in CONTAINERS and e.path in winners}
+    if own in present:
+        return max((p for p in present if p == own or p.startswith(own + "/")), key=lambda p: (winners[p], p.count("/"), p))
+    around = [p for p in present if own.startswith(p + "/")]
+    return max(around or present, key=lambda p: (p.count("/"), winners[p], p), default="")
+
+
+def main_text(blocks: list, path: str) -> str:
+    """Text of the article's blocks under a path."""
+    out, menus = [], []
     for at, tag, text, linked in blocks:
-        inside = next((i for i, e in enumerate(at) if e.tag in CONTAINERS and e.path in paths), None)
-        if inside is None:
-            continue
-        met = True
-        below = at[inside + 1 :]
-        if any(e.hidden for e in at):
+        inside = next((i for i, e in enumerate(at) if e.tag in CONTAINERS and e.path == path), None)
+        if inside is None or any(e.hidden for e in at):
             continue
-        dull = [e for e in below if e.dull]
+        dull = [e for e in at[inside + 1 :] if e.dull]
         if dull and not (tag in HEADINGS and all(e.tag == "header" for e in dull)):
             continue
         if linked > MOST_LINKS and tag not in PARAGRAPHS:  # part of the article only between its other blocks
@@ -267,7 +283,7 @@ def main_text(blocks: list, paths: set[str]) -> str | None:
             continue
         out += [*menus, text]
         menus = []
-    return "\n".join(out) if met else None
+    return "\n".join(out)
 
 
 def host_of(url: Column) -> Column:
@@ -297,7 +313,7 @@ def consensus(pages: DataFrame) -> DataFrame:
     votes = cast.mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     votes = stored(votes, "path-votes")
     whole = votes.groupBy("host").agg(F.sum("votes").alias("all"))
-    return votes.join(whole, "host").filter(F.col("votes") >= WINS * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return votes.join(whole, "host").filter(F.col("votes") >= WINS * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "votes"))).alias("paths"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +321,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, used = [], []
         for html, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True):
             blocks = blocks_of(html.as_py() or "")
-            text = main_text(blocks, set(paths or ()))
-            used.append(text is not None)
-            if text is None:
-                own, _ = vote(blocks)
-                text = main_text(blocks, {own}) if own else "\n".join(b[2] for b in blocks if b[3] <= MOST_LINKS)
-            texts.append(text or "")
+            own, _ = vote(blocks)
+            path = chosen_path(blocks, {p["path"]: p["votes"] for p in paths or ()}, own)
+            used.append(path != "")
+            path = path or own
+            texts.append(main_text(blocks, path) if path else "\n".join(b[2] for b in blocks if b[3] <= MOST_LINKS))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.bool_())],
             names=["page_id", "url", "text", "n_chars", "by_consensus"],

@@ -1,6 +1,7 @@
 """Main text against a plain reading of the page tree, marks on any element, and broken or very deep pages."""
 
 import os
+import re
 import time
 from html.parser import HTMLParser
 
@@ -70,7 +71,7 @@ def test_pages_equal_a_plain_reading(spark):
 
 def main(page):
     blocks = html.blocks_of(page)
-    return html.main_text(blocks, {html.vote(blocks)[0]})
+    return html.main_text(blocks, html.vote(blocks)[0])
 
 
 PROSE = "<p>" + "Some words of the article that go on for a while. " * 5 + "</p>"
@@ -105,3 +106,21 @@ def test_deep_and_broken_pages_take_linear_time(page):
     blocks = html.blocks_of(page)
     html.vote(blocks)
     assert time.time() - began < 15
+
+
+def test_mixed_hosts_and_marks(spark):
+    """Pages with an article keep to it though flat pages make the body win as well; class paths alone, without article elements, are told too."""
+    para = lambda k: f"<p>Paragraph {k} of the text that is long enough to be the main part of a page about its subject.</p>"
+    body = "".join(map(para, range(4)))
+    side = "<div class='tips'><p>Tip: try the other pages of this site as well, they are good.</p></div>"
+    mixed = [(k, "http://mixed.example/a", f"<html><body><article>{body}</article>{side}</body></html>") for k in range(3)] + [(3, "http://mixed.example/flat", f"<html><body>{body}</body></html>")]
+    by_class = [(10 + k, "http://classes.example/x", f"<html><body><div class='top'><p>Welcome to our site.</p></div><div class='story s{k}'><h1>Title {k}</h1>{body}</div>{side}</body></html>") for k in range(6)]
+    marked = "<div class='ad-hoc-networks'><p>Ad hoc networks are kept.</p></div>" + "".join(f"<div {m}><p>Boilerplate {i} here.</p></div>" for i, m in enumerate(
+        ("class='ad'", "class='ad-slot'", "class='ads top'", "role='alert'", "aria-hidden='true'", "class='adsbygoogle'", "class='social-media'", "class='sharethis'", "class='signup'", "class='commentlist'")))
+    marked += "<video><p>No video here.</p></video>"
+    pages = [*mixed, *by_class, (20, "http://marks.example/", f"<html><body><article>{body}{marked}</article></body></html>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    plain = "\n".join(re.sub("<[^>]+>", "", para(k)) for k in range(4))
+    assert [got[k] for k in range(4)] == [plain] * 4
+    assert [got[10 + k] for k in range(6)] == [f"Title {k}\n{plain}" for k in range(6)]
+    assert got[20] == plain + "\nAd hoc networks are kept."

@@ -379,11 +379,11 @@ def test_html_keeps_the_whole_article():
     chrome = "<nav><a href=/>Home</a></nav><div class=top>Hi</div>"
     for page in (f"<body>{chrome}<article>{inner}</article></body>", f"<body>{chrome}<div class=page>{inner}</div><div class=end>Bye</div></body>", f"<body>{chrome}<main><div class=w><div>{inner}</div></div></main></body>"):
         blocks = html.blocks_of(page)
-        assert html.main_text(blocks, {html.vote(blocks)[0]}) == want
+        assert html.main_text(blocks, html.vote(blocks)[0]) == want
     for part in (f"<table><tr><td>{row}</td></tr></table>", f"<ul><li>{row}</li></ul>", f"<blockquote>{row}</blockquote>"):
         for outer in ("body", "div"):
             blocks = html.blocks_of(f"<html><{outer}><h1>Title</h1><p>Before it.</p>{part}<p>After it.</p></{outer}></html>")
-            assert html.main_text(blocks, {html.vote(blocks)[0]}) == f"Title\nBefore it.\n{row}\nAfter it."
+            assert html.main_text(blocks, html.vote(blocks)[0]) == f"Title\nBefore it.\n{row}\nAfter it."
 
 
 def test_other_operators_on_empty_tables(empty):
