@@ -32,7 +32,7 @@ WORD_DECAY = 0.1
 THRESHOLD = 0.3
 FOLDS = 5
 
-#: Classes of bytes that are counted: three fields of 21 bits in each table.
+#: Classes of bytes that are counted: three fields of 21 bits in each table; passages of more bytes are counted byte by byte.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "|", "!?", "%#$*&@^~", ".,;:", "<>{}[]()=/\\_\"'", "")
 FIELD = 21
 
@@ -89,6 +89,11 @@ def _encode_pass(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         packed = sums[z] - sums[a]
         for j in range(3):
             out[ids, 3 * k + j] = (packed >> np.uint64(FIELD * j) & np.uint64((1 << FIELD) - 1)).astype(np.float32) / size
+    for i in np.flatnonzero(z - a >= 1 << FIELD):
+        seen = np.bincount(data[a[i] : z[i]], minlength=256)
+        for k in range(len(CLASSES)):
+            counted = TABLES[k // 3] == np.uint64(1 << (FIELD * (k % 3)))
+            out[ids[i], k] = seen[counted].sum() / size[i]
     low = LOWER[data]
     words = RangeHash(low).of(start, end)
     same = np.zeros(len(row), np.float32)
