@@ -38,7 +38,7 @@ def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.audio(documents(spark, sf_dir), keep_pcm=False)
+    return telephony.audio(documents(spark, sf_dir))
 
 
 @query
