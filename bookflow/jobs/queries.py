@@ -91,6 +91,7 @@ def good_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_trades(raw_trades(spark, sf_dir), good_books(spark, sf_dir), BY_SYMBOL)
 
 
+@kept
 def aligned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.resample_and_align(good_books(spark, sf_dir), good_trades(spark, sf_dir), CONFIG)
 

@@ -161,11 +161,11 @@ def by_scenario(bt: DataFrame, scenarios: Sequence[str], keys: Sequence[str] = K
     return bt.select(*keys, "timestamp", "position", "traded", F.inline(F.array(*cells)))
 
 
-def equity_curve(returns: DataFrame, keys: Sequence[str] = (*KEYS, "cost_scenario"), by_day: bool = False) -> DataFrame:
+def equity_curve(returns: DataFrame, keys: Sequence[str] = (*KEYS, "cost_scenario"), by_day: bool = True) -> DataFrame:
     """Adds cum: the running sum of returns, NULL as 0.
 
-    by_day, for long histories: days are summed first; a window then holds one
-    day of one key, and the sums of the days before are added.
+    Days are summed first; a window then holds one day of one key, and the sums of
+    the days before are added. Without by_day one window holds a key.
     """
     if not by_day:
         w = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
@@ -178,7 +178,7 @@ def equity_curve(returns: DataFrame, keys: Sequence[str] = (*KEYS, "cost_scenari
     return dated.withColumn("__in", inside).join(carried, [*keys, "__day"]).withColumn("cum", F.col("__before") + F.col("__in")).drop("__day", "__r", "__in", "__before")
 
 
-def drawdown(curve: DataFrame, mode: str = "backtest", keys: Sequence[str] = (*KEYS, "cost_scenario"), by_day: bool = False) -> DataFrame:
+def drawdown(curve: DataFrame, mode: str = "backtest", keys: Sequence[str] = (*KEYS, "cost_scenario"), by_day: bool = True) -> DataFrame:
     """Adds peak and drawdown of cum. "backtest" divides by the peak's size and gives 0 at peak 0; "metric" divides by the signed peak, by 1 at peak 0.
 
     by_day as in equity_curve; the maxima of the days before are carried in.
@@ -198,7 +198,7 @@ def drawdown(curve: DataFrame, mode: str = "backtest", keys: Sequence[str] = (*K
     return out.withColumn("drawdown", value)
 
 
-def backtest_summary(bt: DataFrame, scenarios: Sequence[str] = tuple(SCENARIOS), keys: Sequence[str] = KEYS, by_day: bool = False) -> DataFrame:
+def backtest_summary(bt: DataFrame, scenarios: Sequence[str] = tuple(SCENARIOS), keys: Sequence[str] = KEYS, by_day: bool = True) -> DataFrame:
     """Profit, mean active return, Sharpe ratio, hit rate, drawdown, trades and active rows of each scenario."""
     by = [*keys, "cost_scenario"]
     curve = drawdown(equity_curve(by_scenario(bt, scenarios, keys), by, by_day), "backtest", by, by_day)

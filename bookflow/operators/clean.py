@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bookflow.operators.ranks import exact_quantiles, joined
+from bookflow.operators.ranks import any_larger, exact_quantiles, joined
 
 SESSION = ("symbol", "date")
 # Names of the steps in the reports.
@@ -61,9 +61,9 @@ def drop_nonpositive_spread(df: DataFrame) -> DataFrame:
     return df.filter(F.col("ask_price_1") - F.col("bid_price_1") > 0)
 
 
-def median_of(df: DataFrame, value: str, session: Sequence[str]) -> DataFrame:
+def median_of(df: DataFrame, value: str, session: Sequence[str], large: bool | None = None) -> DataFrame:
     """One row for each session: __median, exact, from counts."""
-    return exact_quantiles(df, session, value, [0.5]).select(*session, F.col("q")[0].alias("__median"))
+    return exact_quantiles(df, session, value, [0.5], large=large).select(*session, F.col("q")[0].alias("__median"))
 
 
 def drop_wide_spreads(df: DataFrame, max_spread_multiple: float = 10.0, session: Sequence[str] = SESSION) -> DataFrame:
@@ -106,7 +106,7 @@ def book_failures(df: DataFrame, levels: int = 5, max_spread_multiple: float = 1
         .when(~_true(spread > 0), 4)
     )
     marked = df.withColumn("__last", is_last_of_timestamp(session)).withColumn("__early", early)
-    middle = median_of(marked.withColumn("__spread", F.when(F.col("__early").isNull(), spread)), "__spread", session)
+    middle = median_of(marked.withColumn("__spread", F.when(F.col("__early").isNull(), spread)), "__spread", session, any_larger(df, session))
     late = (
         F.when(~_true((F.col("__median") <= 0) | (spread <= F.col("__median") * max_spread_multiple)), 5)
         .when(~_true(_all([F.col(c) > 0 for c in _levels(df, "price", levels)])), 6)

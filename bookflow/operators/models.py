@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions.numeric import correlation
-from bookflow.operators.ranks import joined
+from bookflow.operators.ranks import any_larger, joined
 from bookflow.operators.splits import fold_table, with_row_number
 from bookflow.operators.stats import decile_spread, ic_ir, ic_tstat, regression_metrics
 from bookflow.operators.sums import centred, summed_vectors, typed
@@ -251,7 +251,8 @@ def ranked_coefficients(df: DataFrame, model: Linear) -> DataFrame:
 def evaluated(scored: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
     """Regression metrics and decile spread of predictions, by keys."""
     rows = scored.withColumn("y_true", F.col(target))
-    return regression_metrics(rows, keys).join(decile_spread(rows, keys), list(keys), "left")
+    large = any_larger(rows, keys)
+    return joined(regression_metrics(rows, keys, large=large), decile_spread(rows, keys, large=large), keys, "left")
 
 
 def train_and_evaluate(train: DataFrame, test: DataFrame, target: str, features: Sequence[str], name: str = "ridge") -> tuple[Linear, DataFrame, DataFrame] | None:
@@ -333,7 +334,8 @@ def model_grid(train: DataFrame, test: DataFrame, horizons: Sequence[str], featu
     scored = scored_grid(test, fitted_grid(train, targets, feature_sets, names, keys), targets, feature_sets, keys)
     by = [*keys, "horizon", "feature_set", "model"]
     rows = scored.select(*by, "y_true", "y_pred")
-    return joined(regression_metrics(rows, by), decile_spread(rows, by), by, "left").select(*by, *_METRICS)
+    large = any_larger(test, keys)
+    return joined(regression_metrics(rows, by, large=large), decile_spread(rows, by, large=large), by, "left").select(*by, *_METRICS)
 
 
 def optimality(train: DataFrame, horizons: Sequence[str], feature_sets: dict[str, Sequence[str]], names: Sequence[str] = MODELS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -378,7 +380,8 @@ def fold_grid(df: DataFrame, targets: dict[str, str], feature_sets: dict[str, Se
     scored = scored_grid(test, coefs, targets, feature_sets, [*keys, "fold"])
     by = [*keys, "fold", "horizon", "feature_set", "model", "train_size"]
     out = scored.select(*by, "y_true", "y_pred")
-    return joined(regression_metrics(out, by), decile_spread(out, by), by, "left").select(*by, *_METRICS).withColumnRenamed("n", "test_size")
+    large = any_larger(df, keys)  # more than a fold has
+    return joined(regression_metrics(out, by, large=large), decile_spread(out, by, large=large), by, "left").select(*by, *_METRICS).withColumnRenamed("n", "test_size")
 
 
 def fold_metrics(df: DataFrame, target: str, features: Sequence[str], names: Sequence[str] = MODELS, n_folds: int = 5, keys: Sequence[str] = ("symbol",)) -> DataFrame:

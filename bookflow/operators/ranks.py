@@ -36,13 +36,14 @@ def range_bounds(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> D
     """One row for each key: for the i-th value, __b{i} (ordered bounds of its ranges, none for a key with few rows) and __e{i} (ends of runs of bounds)."""
     points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     facts = df.groupBy(*keys).agg(*[x for i, v in enumerate(values) for x in (F.percentile_approx(v, points, F.lit(10 * RANGES)).alias(f"__p{i}"), F.count(v).alias(f"__n{i}"))])
+    cut, runs = {}, {}
     for i in range(len(values)):
         wanted = F.least(F.lit(RANGES), F.ceil(F.col(f"__n{i}") / ROWS_PER_RANGE))
         every = F.greatest(F.lit(1), F.floor(RANGES / F.greatest(wanted, F.lit(1)))).cast("int")
         chosen = F.when(wanted > 1, F.array_distinct(F.filter(f"__p{i}", lambda _, k: (k + 1) % every == 0)))  # noqa: B023
-        facts = facts.withColumn(f"__b{i}", F.coalesce(chosen, F.array().cast("array<double>")))
-        facts = facts.withColumn(f"__e{i}", F.filter(f"__b{i}", lambda _, k: (k + 1) % RUN == 0))
-    return facts.select(*keys, *[f"__{c}{i}" for i in range(len(values)) for c in "be"])
+        cut[f"__b{i}"] = F.coalesce(chosen, F.array().cast("array<double>"))
+        runs[f"__e{i}"] = F.filter(f"__b{i}", lambda _, k: (k + 1) % RUN == 0)
+    return facts.select(*keys, *[c.alias(n) for n, c in cut.items()]).withColumns(runs)
 
 
 def _code(value: Column, i: int) -> Column:
@@ -104,46 +105,71 @@ def _ranked(coded: DataFrame, keys: Sequence[str], i: int, value: str, flags: di
     return counted.select(*given, *[rank(k).alias(name) for k, name in enumerate(flags)])
 
 
-def _with_ranks(df: DataFrame, source: DataFrame, keys: Sequence[str], values: dict[str, dict[str, Column]]) -> DataFrame:
+def any_larger(df: DataFrame, keys: Sequence[str], most: int | None = None) -> bool:
+    """Whether a key has more than `most` rows (ROWS_PER_RANGE unless given): one count, of which one row reaches the driver."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return not sizes.filter(F.col("__n") > (ROWS_PER_RANGE if most is None else most)).isEmpty()
+
+
+def _whole_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, dict[str, Column]]) -> DataFrame:
+    """Ranks of keys that are a range each: one exchange for all values."""
+    out = df
+    for v, flags in values.items():
+        upto, peers, n = Window.partitionBy(*keys).orderBy(F.col(v).asc_nulls_last()), Window.partitionBy(*keys, v), range(len(flags))
+        counted = out.withColumns({f"__f{k}": f for k, f in enumerate(flags.values())})
+        counted = counted.withColumns({f"__le{k}": F.sum(f"__f{k}").over(upto) for k in n} | {f"__eq{k}": F.sum(f"__f{k}").over(peers) for k in n})
+        rank = lambda k: F.when(F.col(f"__f{k}") == 1, F.col(f"__le{k}") - (F.col(f"__eq{k}") - 1) / 2.0)
+        out = counted.select(*out.columns, *[rank(k).alias(name) for k, name in enumerate(flags)])
+    return out
+
+
+def _with_ranks(df: DataFrame, source: DataFrame, keys: Sequence[str], values: dict[str, dict[str, Column]], large: bool | None) -> DataFrame:
+    if not (any_larger(source, keys) if large is None else large):
+        return _whole_ranks(df, keys, values)
     out = _coded(df, rank_facts(source, keys, values), keys, values)
     for i, (v, flags) in enumerate(values.items()):
         out = _ranked(out, keys, i, v, flags)
     return out.drop(*[f"__{c}{i}" for i in range(len(values)) for c in ("code", "at", "first")])
 
 
-def masked_ranks(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, Column | None], source: DataFrame | None = None) -> DataFrame:
+def masked_ranks(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, Column | None], source: DataFrame | None = None, large: bool | None = None) -> DataFrame:
     """Adds ranks of one value: for each name, among the key's rows that meet its condition (None: all rows).
 
     Ranks count from 1, ties share their mean rank; rows without the value or against
     the condition get NULL. `source` may give the same rows without columns that are
-    costly and not needed for counting.
+    costly and not needed for counting. `large` as in average_ranks.
     """
-    return _with_ranks(df, df if source is None else source, keys, {value: {n: _flag(value, c) for n, c in names.items()}})
+    return _with_ranks(df, df if source is None else source, keys, {value: {n: _flag(value, c) for n, c in names.items()}}, large)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], names: dict[str, str]) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], names: dict[str, str], large: bool | None = None) -> DataFrame:
     """Adds the rank of each value column (value: name) among the key's rows, from 1, ties sharing their mean rank; NULL for NULL.
 
     Values are dealt to ranges between approximate quantiles. A value that very
     many rows share is a bound; its rows are ranked by counts alone. Other rows
     are ranked inside their range, after the counts of the ranges below. Bounds
-    and counts of all columns take one pass each.
+    and counts of all columns take one pass each. `large` tells whether a key has
+    more than ROWS_PER_RANGE rows; if no key has, each is one range. Unless given, rows are counted.
     """
-    return _with_ranks(df, df, keys, {v: {n: _flag(v)} for v, n in names.items()})
+    return _with_ranks(df, df, keys, {v: {n: _flag(v)} for v, n in names.items()}, large)
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", large: bool | None = None) -> DataFrame:
     """average_ranks of one column."""
-    return average_ranks(df, keys, {value: name})
+    return average_ranks(df, keys, {value: name}, large)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q", large: bool | None = None) -> DataFrame:
     """One row for each key: `name`, the quantiles of the value by linear interpolation; NULL without values.
 
     Selection by counts: approximate quantiles bracket every rank that is asked
     for. Values outside the brackets are only counted; those inside are counted by
-    value, and running counts find the value that holds the rank.
+    value, and running counts find the value that holds the rank. `large` tells
+    whether a key has more than SMALL rows; if none has, a key's values are few
+    enough for one buffer. Unless given, rows are counted.
     """
+    if not (any_larger(df, keys, SMALL) if large is None else large):
+        return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(name))
     v, margin, n_probs = F.col(value).cast("double"), 3 / ACCURACY, len(probs)
     order = sorted(range(n_probs), key=lambda i: probs[i])
     ends = [x for i in order for x in (max(probs[i] - margin, 0.0), min(probs[i] + margin, 1.0))]

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from bookflow.config import UNITS
 from bookflow.functions.numeric import correlation
-from bookflow.operators.ranks import average_ranks, exact_quantiles, joined, masked_ranks
+from bookflow.operators.ranks import any_larger, average_ranks, exact_quantiles, joined, masked_ranks
 from bookflow.operators.splits import with_row_number
 from bookflow.operators.stats import small_rank, unpivoted
 
@@ -66,21 +66,21 @@ def ic_table(df: DataFrame, features: Sequence[str], horizons: Sequence[str], ke
     used, ys = [f for f in features if f in df.columns], [f"y_return_{h}" for h in horizons]
     keep = df.select(*keys, *[F.col(f).cast("double").alias(f"x {f}") for f in used], *ys)
     gaps = keep.groupBy(*keys).agg(F.array(*[F.count(F.col(f"x {f}")) == F.count(F.lit(1)) for f in used]).alias("__full"))
-    by = [*keys, "feature"]
+    by, large = [*keys, "feature"], any_larger(keep, keys)
     at = F.posexplode(F.array(*[F.col(f"x {f}") for f in used])).alias("__at", "x")
     name = F.get(F.array(*map(F.lit, used)), F.col("__at")).alias("feature")
 
-    ranked_y = average_ranks(keep, keys, {y: f"ry {y}" for y in ys})
+    ranked_y = average_ranks(keep, keys, {y: f"ry {y}" for y in ys}, large)
     complete = lambda rows, kept: joined(rows, gaps, keys).select(*keys, *kept, "__full", at).filter(F.get("__full", F.col("__at"))).select(*keys, name, "x", *kept)
     full, plain = complete(ranked_y, [*ys, *[f"ry {y}" for y in ys]]), complete(keep, ys)
-    ranked = masked_ranks(full, by, "x", {f"rx {y}": F.col(y).isNotNull() for y in ys}, plain)
+    ranked = masked_ranks(full, by, "x", {f"rx {y}": F.col(y).isNotNull() for y in ys}, plain, large)
     sums = [F.struct(F.lit(h).alias("horizon"), correlation(F.col("x"), F.col(y)).alias("pearson_ic"), correlation(F.col(f"rx {y}"), F.col(f"ry {y}")).alias("spearman_ic"), F.count(F.col(f"rx {y}")).alias("n")) for h, y in zip(horizons, ys, strict=True)]
     first = ranked.groupBy(*by).agg(F.array(*sums).alias("__s")).select(*by, F.inline("__s"))
 
     cells = F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(y).alias("y")) for h, y in zip(horizons, ys, strict=True)]))
     partial = joined(keep, gaps, keys).select(*keys, *ys, "__full", at).filter(~F.get("__full", F.col("__at")) & F.col("x").isNotNull()).select(*keys, name, "x", cells).filter("y is not null")
     pairs = [*by, "horizon"]
-    both = average_ranks(partial, pairs, {"x": "rx", "y": "ry"})
+    both = average_ranks(partial, pairs, {"x": "rx", "y": "ry"}, large)
     second = both.groupBy(*pairs).agg(correlation(F.col("x"), F.col("y")).alias("pearson_ic"), correlation(F.col("rx"), F.col("ry")).alias("spearman_ic"), F.count(F.lit(1)).alias("n"))
 
     out = first.unionByName(second).filter(F.col("n") >= least)
@@ -105,7 +105,7 @@ def top_features(ic: DataFrame, horizon: str, n: int = 20, keys: Sequence[str] =
 REGIMES = {"vol_regime": ("low_vol", "mid_vol", "high_vol"), "spread_regime": ("tight", "mid", "wide"), "liq_regime": ("thin", "mid", "deep")}
 
 
-def regimes(df: DataFrame, volatility: str = "realized_vol_30s", keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def regimes(df: DataFrame, volatility: str = "realized_vol_30s", keys: Sequence[str] = ("symbol",), large: bool | None = None) -> DataFrame:
     """Adds tercile labels of volatility, spread and depth, where these columns exist.
 
     Terciles are right-closed quantile bins. Where edges coincide there are no
@@ -116,7 +116,7 @@ def regimes(df: DataFrame, volatility: str = "realized_vol_30s", keys: Sequence[
     used = {k: c for k, c in sources.items() if c in df.columns}
     names = {c: k for k, c in used.items()}
     long = unpivoted(df, keys, list(names))
-    cuts = exact_quantiles(long, [*keys, "feature"], "value", [0.0, 1 / 3, 2 / 3, 1.0])
+    cuts = exact_quantiles(long, [*keys, "feature"], "value", [0.0, 1 / 3, 2 / 3, 1.0], large=any_larger(df, keys) if large is None else large)
     counts = long.groupBy(*keys, "feature").agg(F.least(F.count_distinct("value"), F.lit(3)).alias("__d"), F.count("value").alias("__n"))
     of = lambda c, x: F.first(F.when(F.col("feature") == c, F.col(x)), ignorenulls=True)
     facts = joined(cuts, counts, [*keys, "feature"]).groupBy(*keys).agg(*[of(c, x).alias(f"{n}{k}") for c, k in names.items() for x, n in (("q", "__e_"), ("__d", "__d_"), ("__n", "__n_"))])
@@ -127,20 +127,24 @@ def regimes(df: DataFrame, volatility: str = "realized_vol_30s", keys: Sequence[
         label = F.when(x <= edges[1], labels[0]).when(x <= edges[2], labels[1]).when(x.isNotNull(), labels[2])
         value = F.when(F.size(F.array_distinct(edges)) == 4, label)
         if k in few:
-            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(x.asc_nulls_last(), "timestamp"))
+            # the place in order of value and time: rows of lower values, and the number in time among the rows of this one
+            sizes = out.groupBy(*keys, c).agg(F.count(x).alias("__size"))
+            before = Window.partitionBy(*keys).orderBy(x.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+            lower = sizes.select(*keys, c, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__lower"))
+            out = joined(with_row_number(out, [*keys, c], rn="__rn", n_rows="__rows"), lower, [*keys, c])
             m, n = F.col(f"__d_{k}"), F.col(f"__n_{k}")
-            at = F.least(m - 1, F.greatest(F.lit(0), F.ceil((rank - 1) * m / F.greatest(n - 1, F.lit(1))) - 1))
+            at = F.least(m - 1, F.greatest(F.lit(0), F.ceil((F.col("__lower") + F.col("__rn")) * m / F.greatest(n - 1, F.lit(1))) - 1))
             value = F.when(m < 3, F.when(x.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in labels]), (at + 1).cast("int")))).otherwise(value)
-        out = out.withColumn(k, value)
+        out = out.withColumn(k, value).drop("__lower", "__rn", "__rows")
     return out.drop(*[f"__{p}_{k}" for k in used for p in "edn"])
 
 
-def regime_ic(df: DataFrame, target: str, regime_cols: Sequence[str], y_pred: str = "y_pred", keys: Sequence[str] = ("symbol",), least: int = LEAST) -> DataFrame:
+def regime_ic(df: DataFrame, target: str, regime_cols: Sequence[str], y_pred: str = "y_pred", keys: Sequence[str] = ("symbol",), least: int = LEAST, large: bool | None = None) -> DataFrame:
     """n, ICs, mean and population deviation of the target in each regime of each column; ranks are taken inside the regime."""
     cells = F.array(*[F.struct(F.lit(c).alias("regime_type"), F.col(c).cast("string").alias("regime")) for c in regime_cols])
     long = df.filter(F.col(target).isNotNull() & F.col(y_pred).isNotNull()).select(*keys, F.col(target).alias("y"), F.col(y_pred).alias("p"), F.inline(cells)).filter("regime is not null")
     by = [*keys, "regime_type", "regime"]
-    ranked = average_ranks(long, by, {"y": "ry", "p": "rp"})
+    ranked = average_ranks(long, by, {"y": "ry", "p": "rp"}, any_larger(df, keys) if large is None else large)
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), correlation(F.col("y"), F.col("p")).alias("pearson_ic"), correlation(F.col("ry"), F.col("rp")).alias("spearman_ic"), F.avg("y").alias("mean_return"), F.stddev_pop("y").alias("std_return")
     ).filter(F.col("n") >= least)
@@ -148,8 +152,9 @@ def regime_ic(df: DataFrame, target: str, regime_cols: Sequence[str], y_pred: st
 
 def robustness(df: DataFrame, target: str, y_pred: str = "y_pred", volatility: str = "realized_vol_30s", keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """regime_ic over volatility, spread, liquidity and hour, in one job."""
-    named = regimes(df, volatility, keys)
-    return regime_ic(named, target, [c for c in (*REGIMES, "hour") if c in named.columns], y_pred, keys)
+    large = any_larger(df, keys)
+    named = regimes(df, volatility, keys, large)
+    return regime_ic(named, target, [c for c in (*REGIMES, "hour") if c in named.columns], y_pred, keys, large=large)
 
 
 def rolling_ic(df: DataFrame, feature: str, target: str, window: int = 300, step: int = 60, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.functions.numeric import correlation
-from bookflow.operators.ranks import average_rank, average_ranks, exact_quantiles, joined
+from bookflow.operators.ranks import any_larger, average_rank, average_ranks, exact_quantiles, joined
 from bookflow.operators.sums import centred, summed_vectors, typed
 
 
@@ -30,9 +30,9 @@ def average_rank_by_counts(df: DataFrame, keys: Sequence[str], value: str, name:
     return df.join(ranks, [*keys, value], "left")
 
 
-def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, name: str = "bin") -> DataFrame:
+def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, name: str = "bin", large: bool | None = None) -> DataFrame:
     """Adds the quantile bin of `value`, from 1: right-closed, the lowest value included, equal edges merged. Not ntile: ties stay together."""
-    edges = exact_quantiles(df, keys, value, [i / bins for i in range(bins + 1)]).select(*keys, F.array_distinct("q").alias("__edges"))
+    edges = exact_quantiles(df, keys, value, [i / bins for i in range(bins + 1)], large=large).select(*keys, F.array_distinct("q").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
     at = F.when(F.col(value).isNotNull() & (F.size("__edges") > 1), F.greatest(below, F.lit(1)))
     return joined(df, edges, keys).withColumn(name, at).drop("__edges")
@@ -42,9 +42,9 @@ def decile_returns(df: DataFrame, feature: str, target: str, n_bins: int = 10, k
     """Mean, deviation and count of the target in each quantile bin of the feature; keys with fewer than 5 rows a bin give none."""
     both = df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*keys, feature, target)
     sizes = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n_bins * 5)
-    enough = joined(both, sizes, keys).drop("__n")
+    enough, large = joined(both, sizes, keys).drop("__n"), any_larger(both, keys)
     return (
-        quantile_bins(enough, keys, feature, n_bins, "decile").filter("decile is not null").groupBy(*keys, "decile")
+        quantile_bins(enough, keys, feature, n_bins, "decile", large).filter("decile is not null").groupBy(*keys, "decile")
         .agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"), F.count(target).alias("count"))
     )
 
@@ -61,7 +61,7 @@ def summary_table(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("sy
     """count, mean, std, min, quartiles and max of each column."""
     v, long, by = F.col("value"), unpivoted(df, keys, cols), [*keys, "feature"]
     facts = long.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    out = joined(facts, exact_quantiles(long, by, "value", [0.25, 0.5, 0.75]), by)
+    out = joined(facts, exact_quantiles(long, by, "value", [0.25, 0.5, 0.75], large=any_larger(df, keys)), by)
     return out.select(*keys, "feature", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
@@ -104,16 +104,16 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int, keys: Sequence[str]
 def box_stats(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Quartiles and whiskers (the furthest values within 1.5 interquartile ranges)."""
     long = unpivoted(df, keys, metrics, "metric").filter("value is not null")
-    q = exact_quantiles(long, [*keys, "metric"], "value", [0.25, 0.5, 0.75]).select(*keys, "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_quantiles(long, [*keys, "metric"], "value", [0.25, 0.5, 0.75], large=any_larger(df, keys)).select(*keys, "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined(long, q, [*keys, "metric"]).filter(inside).groupBy(*keys, "metric", "q1", "median", "q3").agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
 
 
-def regression_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", least: int = 10) -> DataFrame:
+def regression_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", least: int = 10, large: bool | None = None) -> DataFrame:
     """Pearson and Spearman correlation, mean squared and absolute error of the rows where both are set; keys with fewer rows give none."""
     both = df.filter(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull()).select(*keys, F.col(y_true).alias("__y"), F.col(y_pred).alias("__p"))
-    ranked = average_ranks(both, keys, {"__y": "__ry", "__p": "__rp"})
+    ranked = average_ranks(both, keys, {"__y": "__ry", "__p": "__rp"}, large)
     gap = F.col("__y") - F.col("__p")
     return ranked.groupBy(*keys).agg(
         correlation(F.col("__y"), F.col("__p")).alias("pearson_ic"), correlation(F.col("__ry"), F.col("__rp")).alias("spearman_ic"),
@@ -143,10 +143,10 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_
     )
 
 
-def decile_spread(df: DataFrame, keys: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", n_bins: int = 10) -> DataFrame:
+def decile_spread(df: DataFrame, keys: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", n_bins: int = 10, large: bool | None = None) -> DataFrame:
     """Mean target of the top prediction bin minus that of the bottom one; NULL below 3 rows a bin or two bins."""
     both = df.filter(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull())
-    binned = quantile_bins(both, keys, y_pred, n_bins, "__bin")
+    binned = quantile_bins(both, keys, y_pred, n_bins, "__bin", large)
     per_bin = binned.groupBy(*keys, "__bin").agg(F.avg(y_true).alias("__m"), F.count(F.lit(1)).alias("__n"))
     spread = F.max_by("__m", "__bin") - F.min_by("__m", "__bin")
     return per_bin.groupBy(*keys).agg(F.when((F.sum("__n") >= 3 * n_bins) & (F.count("__bin") >= 2), spread).alias("decile_spread"))
