@@ -145,6 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED) -> DataFr
     * an item of fewer than WINDOW words, a single word included, is held where all its words stand in a row
     * rows that share an id are each judged by their own text; rows equal in id and text are one document; a null id is reported as null
     * repeated items are each reported under their own item_id
+    * ties: of values that an item's value meets equally often on a diagonal, the first in order stands; a very long text is cut into windows where it is read
     * an empty table on either side gives no rows; other columns are ignored
     """
     keys = stored(item_windows(benchmark), "template-windows")

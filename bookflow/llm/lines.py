@@ -279,6 +279,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     * equal lines count as the earliest of them: if that one is near an earlier line, all go
     * rows that share an id are read as one document whose lines at the same place are equally early
     * rows with a null id come last, in the order of a hash of their texts; those with equal texts are reported together
+    * ties: lines of one document are ordered by their number, so no two lines are equally early but those of rows that share an id
+    * a very long text is cut into lines in the task that reads it; lines of any length are compared by hashed variants and confirmed word by word
     * an empty table gives no rows; other columns are ignored
     """
     source = docs.select(doc_key(F.col("doc_id"), F.col("text").cast("string")).alias("doc"), F.col("text").cast("string").alias("text"))

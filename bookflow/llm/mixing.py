@@ -128,6 +128,8 @@ def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | Non
     * a value without a target gets no mass: its rows have probability 0
     * a target without rows, or of more tokens than there are, can't be met: all tokens of the value are kept, and `unmet` shows the gap
     * rows with a null id draw by their text; repeated rows draw alike
+    * ties: a row is kept if its draw is below its share, so rows with equal draws in one cell go together
+    * very long texts count by their words and are held whole by the task that reads them
     * an empty table gives no rows; other columns of the input are ignored
     """
     rows = measured(docs, seed, topic)

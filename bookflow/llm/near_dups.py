@@ -268,6 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     * documents with equal sets are linked, however many; only one of them is compared
     * rows that share an id are each judged by their own text
     * a row with a null id names no component: it gets the component of its text's other documents, or null, and is kept only then
+    * ties: a pair exactly at the threshold is linked; a very long text is one row of shingle hashes in the task that compares it
     * an empty table gives no rows; other columns are ignored
     """
     rows = band_rows(percent)

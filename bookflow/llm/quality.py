@@ -223,6 +223,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     * null and empty texts are one empty passage and get that passage's score
     * a score depends on the text alone, so repeated rows and equal texts score alike
+    * ties in score keep no order; a very long text is encoded whole, in passages, by the task that reads it
     * an empty table gives no rows; other columns are ignored
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))

@@ -497,6 +497,7 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     * matches are judged on the input and never cross documents; bytes may be cut inside a character
     * rows that share an id are one document to each other: neither is earlier
     * a row with a null id comes after all others; of these, the order is that of a hash of the text, and equal texts are one document
+    * ties between equal strings are those of their documents; a very long text is hashed whole in one task, its strips are dealt out like all others
     * an empty table gives no rows; other columns are ignored
     """
     text = F.col("text").cast("string")

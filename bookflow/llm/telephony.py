@@ -206,6 +206,7 @@ def audio(docs: DataFrame, keep_pcm: bool = True) -> DataFrame:
 
     * null text counts as empty: a payload of UNIT spaces
     * each row is handled on its own; repeated rows and ids repeat their result
+    * nothing is ordered, so there are no ties; a very long text is one file, coded and expanded in one task
     * an empty table gives no rows; other columns are ignored
     """
     return read_back(stored(encoded(docs), "media"), keep_pcm)
