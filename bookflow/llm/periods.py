@@ -210,7 +210,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     * null and empty texts have no runs and collapse to the empty text
     * a null doc_id stays null; rows that repeat or share an id are judged one by one
     * runs may overlap, and share a start with different periods (ties)
-    * a very long text is searched whole, in the memory of one task (about 60 bytes a word)
+    * a very long text is searched whole, in the memory of one task (about 100 bytes a word)
     * an empty table gives no rows; other columns are ignored, whatever their names
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
