@@ -14,6 +14,7 @@ import pyarrow as pa
 
 # Odd multipliers of the polynomial hash and of its finaliser.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SECOND_BASE = np.uint64(0xD6E8FEB86659FD93)
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 MASK64 = (1 << 64) - 1
@@ -33,36 +34,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A 64-bit value for each byte, from a rule.
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+SECOND_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * SECOND_BASE)
 #: Bytes with A-Z in lower case.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: Space and the control characters from tab to carriage return.
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)], dtype=bool)
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
+def powers(n: int, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse modulo 2**64."""
+    held = _powers.setdefault(int(base), [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(held[0]) < n:
         size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for k, base in enumerate((BASE, inverse)):
-            seq = np.full(size, base, np.uint64)
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        for k, factor in enumerate((base, inverse)):
+            seq = np.full(size, factor, np.uint64)
             seq[0] = 1
-            _powers[k] = np.cumprod(seq, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            held[k] = np.cumprod(seq, dtype=np.uint64)
+    return held[0][:n], held[1][:n]
 
 
 class RangeHash:
     """Hashes of byte ranges of one buffer, each in constant time.
 
-    Equal byte ranges have equal hashes wherever they stand.
+    Equal byte ranges have equal hashes wherever they stand. A second hash, with
+    another base and other values of bytes, is independent of the first.
     """
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, second: bool = False):
+        self.second = second
+        power, self.inverse = powers(len(data) + 1, SECOND_BASE if second else BASE)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * power[:-1], dtype=np.uint64, out=self.prefix[1:])
+        np.cumsum((SECOND_VALUE if second else BYTE_VALUE)[data] * power[:-1], dtype=np.uint64, out=self.prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         value = (self.prefix[end] - self.prefix[start]) * self.inverse[start]

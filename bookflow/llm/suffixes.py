@@ -6,8 +6,9 @@ hash of a KMER-byte string in each LENGTH-byte window (the leftmost on ties). It
 depends on the window's bytes alone, so equal windows have equal anchors. The
 windows of one anchor make a strip of text.
 
-1. Each strip sends a packed key: bits of its anchor's hash and of its own.
-   Strips with equal keys are equal strings: all but those in the smallest
+1. Each strip sends a packed key: 28 bits of its anchor's hash, 36 of its own and
+   64 of a second, independent hash. Strips with equal keys are equal strings (100
+   bits of the strip tell those of one anchor apart): all but those in the smallest
    document repeat an earlier suffix over their full length. Each pack of
    documents sends a key once, with 4 bytes for its owner; repeats inside a pack
    need no meeting and travel evenly dealt.
@@ -16,12 +17,12 @@ windows of one anchor make a strip of text.
    suffixes are sorted; previous and next smaller documents in suffix order give
    the longest previous factor of each suffix.
    An anchor with very many different strips (the edge of a passage that a great
-   part of all documents share) is dealt by its suffixes' LENGTH-byte hashes
-   instead: equal hashes have the smallest document as previous factor. Each pack
-   sends a hash once. Which anchors are hot is a matter of the plan alone.
+   part of all documents share) is dealt by its suffixes' LENGTH-byte hashes of
+   128 bits instead: equal hashes have the smallest document as previous factor.
+   Each pack sends a hash once.
 3. Covered ranges of all kinds meet at their document, whose bytes are cut.
 
-Keys are 64 bits and the text's bytes travel twice at most, so the disk needed
+A key takes 20 bytes and the text's bytes travel twice at most, so the disk needed
 stays in proportion to the input.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.llm.common import bounded_batches, doc_key, parts_of, release_memory, stored
-from bookflow.llm.kernels import RangeHash, mix, passes, text_bytes
+from bookflow.llm.kernels import BASE, RangeHash, mix, passes, text_bytes
 
 LENGTH = 50
 KMER = 20
@@ -63,21 +64,36 @@ GATHERED = 1 << 19
 
 @dataclass
 class Strips:
-    """Strips of a run of texts: text number, bounds of the strip in its text, key and bucket hash."""
+    """Strips of a run of texts: text number, bounds of the strip in its text, both halves of the key, and bucket hash."""
 
     row: np.ndarray
     start: np.ndarray
     end: np.ndarray
     key: np.ndarray
+    check: np.ndarray
     spread: np.ndarray
 
+    @property
+    def ident(self) -> np.ndarray:
+        return ident(self.key, self.check)
+
+
+def ident(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """64 bits of both halves of a key, by which a document finds its own strips in a reply."""
+    return mix(key ^ mix(check + BASE))
+
+
+def strip_key(mark: np.ndarray, strip: np.ndarray) -> np.ndarray:
+    """The first half of a key: bits of the anchor's hash above bits of the strip's."""
+    return (mark << np.uint64(STRIP_BITS)) | (strip >> np.uint64(64 - STRIP_BITS))
+
 
 def strips(data: np.ndarray, bounds: np.ndarray) -> Strips:
     """All strips of the texts of one pass."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
-        return Strips(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
+        return Strips(*[empty] * 3, *[empty.astype(np.uint64)] * 3)
     ranges = RangeHash(data)
     at = np.arange(n - KMER + 1)
     kmers = ranges.of(at, at + KMER)
@@ -94,7 +110,7 @@ def strips(data: np.ndarray, bounds: np.ndarray) -> Strips:
         valid[max(edge - LENGTH + 1, 0) : edge] = False
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return Strips(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
+        return Strips(*[empty] * 3, *[empty.astype(np.uint64)] * 3)
     own = anchor[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -102,9 +118,9 @@ def strips(data: np.ndarray, bounds: np.ndarray) -> Strips:
     tail = np.r_[head[1:], len(starts)] - 1
     a, z = starts[head], starts[tail] + LENGTH
     mark, strip = kmers[own[head]], ranges.of(a, z)
-    key = (mark << np.uint64(STRIP_BITS)) | (strip >> np.uint64(64 - STRIP_BITS))
+    del kmers, low, ranges
     row = np.searchsorted(bounds, a, side="right") - 1
-    return Strips(row, a - bounds[row], z - bounds[row], key, mark >> np.uint64(32))
+    return Strips(row, a - bounds[row], z - bounds[row], strip_key(mark, strip), RangeHash(data, second=True).of(a, z), mark >> np.uint64(32))
 
 
 def batch_strips(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, Strips]]:
@@ -153,10 +169,11 @@ def owned(packed: bytes, n: int, base: int) -> np.ndarray:
     return np.frombuffer(packed, np.uint32 if len(packed) == 4 * n else np.int64).astype(np.int64) + base
 
 
+#: `keys` holds the first halves of all keys of a row, then the second halves; `later` the idents of repeats.
 PACKED = "bucket int, base long, keys binary, owners binary, later binary, later_owners binary"
 
 
-def packed_rows(key: np.ndarray, spread: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray) -> list[tuple]:
+def packed_rows(key: np.ndarray, check: np.ndarray, spread: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray) -> list[tuple]:
     """PACKED rows of the strips of a pack: each key once, in the bucket of its anchor (a hot anchor's: of the key); repeats in rows of their own, of REPEATS at most."""
     # an anchor is the smallest hash of a window, so its own bits are not evenly spread
     dealt = mix(spread.astype(np.uint64)) >> np.uint64(32)
@@ -164,25 +181,25 @@ def packed_rows(key: np.ndarray, spread: np.ndarray, doc: np.ndarray, buckets: i
         many = member(anchor_of(key, spread), hot)
         dealt[many] = mix(key[many]) >> np.uint64(32)
     bucket = (dealt * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    order = np.lexsort((doc, key, bucket))
-    bucket, key, doc = bucket[order], key[order], doc[order]
+    order = np.lexsort((doc, check, key, bucket))
+    bucket, key, check, doc = bucket[order], key[order], check[order], doc[order]
     del dealt, order
     same = np.zeros(len(key), bool)
-    same[1:] = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
+    same[1:] = (key[1:] == key[:-1]) & (check[1:] == check[:-1]) & (bucket[1:] == bucket[:-1])
     later = doc != doc[np.flatnonzero(~same)[np.cumsum(~same) - 1]]
     rows = []
-    late_key, late_doc = key[later], doc[later]
+    late_key, late_doc = ident(key[later], check[later]), doc[later]
     by = np.argsort(late_doc, kind="stable")
     for x in range(0, len(by), REPEATS):
         piece = by[x : x + REPEATS]
         base = int(late_doc[piece[0]])
         dealt_to = mix(np.array([base ^ x << 40], np.int64).view(np.uint64))[0] % np.uint64(buckets)
         rows.append((int(dealt_to), base, b"", b"", late_key[piece].tobytes(), owners(late_doc[piece], base)))
-    bucket, key, doc = bucket[~same], key[~same], doc[~same]
+    bucket, key, check, doc = bucket[~same], key[~same], check[~same], doc[~same]
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
     for x, y in zip(cut[:-1], cut[1:], strict=True):
         base = int(doc[x:y].min())
-        rows.append((int(bucket[x]), base, key[x:y].tobytes(), owners(doc[x:y], base), b"", b""))
+        rows.append((int(bucket[x]), base, key[x:y].tobytes() + check[x:y].tobytes(), owners(doc[x:y], base), b"", b""))
     return rows
 
 
@@ -195,7 +212,7 @@ def _packer(buckets: int, hot: np.ndarray):
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
             ids = np.array(batch.column("doc"), dtype=np.int64)
-            held += [(s.key, s.spread.astype(np.uint32), ids[first + s.row]) for first, s in batch_strips(data, bounds)]
+            held += [(s.key, s.check, s.spread.astype(np.uint32), ids[first + s.row]) for first, s in batch_strips(data, bounds)]
             size += len(data)
             if size >= PACK_BYTES:
                 yield from packed(held)
@@ -205,7 +222,7 @@ def _packer(buckets: int, hot: np.ndarray):
 
     def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if sum(len(x[0]) for x in held):
-            columns = [np.concatenate([x[k] for x in held]) for k in range(3)]
+            columns = [np.concatenate([x[k] for x in held]) for k in range(4)]
             held.clear()
             rows = packed_rows(*columns, buckets, hot)
             del columns
@@ -220,22 +237,24 @@ def _meeting(hot: np.ndarray):
 
 
 def _meet(table: pa.Table, hot_bits: np.ndarray) -> pa.Table:
-    """What each document of a bucket has to know: keys of strips that an earlier document has, keys of strips to send."""
-    keys, held, later, later_held = [], [], [], []
+    """What each document of a bucket has to know: idents of strips that an earlier document has, idents of strips to send."""
+    keys, checks, held, later, later_held = [], [], [], [], []
     for base, k, o, lk, lo in zip(*(table.column(c).to_pylist() for c in ("base", "keys", "owners", "later", "later_owners")), strict=True):
-        keys.append(np.frombuffer(k, np.uint64))
+        both = np.frombuffer(k, np.uint64)
+        keys.append(both[: len(both) // 2])
+        checks.append(both[len(both) // 2 :])
         held.append(owned(o, len(keys[-1]), base))
         later.append(np.frombuffer(lk, np.uint64))
         later_held.append(owned(lo, len(later[-1]), base))
-    key, owner = np.concatenate(keys), np.concatenate(held)
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    del keys, held, order
+    key, check, owner = np.concatenate(keys), np.concatenate(checks), np.concatenate(held)
+    order = np.lexsort((owner, check, key))
+    key, check, owner = key[order], check[order], owner[order]
+    del keys, checks, held, order
     first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
+    first[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     at = np.flatnonzero(first)
     repeated = owner != owner[at[np.cumsum(first) - 1]] if len(key) else np.zeros(0, bool)
-    full_key = np.concatenate([key[repeated], *later])
+    full_key = np.concatenate([ident(key[repeated], check[repeated]), *later])
     full_doc = np.concatenate([owner[repeated], *later_held])
     # of the strips of one anchor: are there different ones, in different documents?
     anchor, own = key[at] >> np.uint64(STRIP_BITS), owner[at]
@@ -245,7 +264,7 @@ def _meet(table: pa.Table, hot_bits: np.ndarray) -> pa.Table:
     cut = np.flatnonzero(group)
     mixed = (np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)) if len(cut) else np.zeros(0, bool)
     send = mixed[np.cumsum(group) - 1] | many if len(cut) else np.zeros(0, bool)
-    full, part = _by_doc(full_doc, full_key), _by_doc(own[send], key[at][send])
+    full, part = _by_doc(full_doc, full_key), _by_doc(own[send], ident(key[at][send], check[at][send]))
     docs = sorted(full.keys() | part.keys())
     release_memory()
     return pa.table({"doc": pa.array(docs, pa.int64()), "full": pa.array([full.get(d) for d in docs], pa.binary()), "part": pa.array([part.get(d) for d in docs], pa.binary())})
@@ -269,16 +288,16 @@ def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
 
 
-#: Kinds of rows: 0 a strip of an anchor; 1 hashes, documents and places of suffixes; 2 documents and ends of covered ranges.
+#: Kinds of rows: 0 a strip of an anchor; 1 both hashes, documents and places of suffixes; 2 documents and ends of covered ranges.
 SENT = "bucket int, kind int, anchor long, doc long, start long, content binary"
 
 
-def smaller_elsewhere(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which entries have the key of an entry of a smaller document."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
+def smaller_elsewhere(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have both hashes of an entry of a smaller document."""
+    order = np.lexsort((doc, check, key))
+    k, c, d = key[order], check[order], doc[order]
     first = np.ones(len(k), bool)
-    first[1:] = k[1:] != k[:-1]
+    first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     out = np.zeros(len(k), bool)
     if len(k):
         out[order] = d != d[np.flatnonzero(first)[np.cumsum(first) - 1]]
@@ -303,17 +322,17 @@ def _sender(buckets: int, hot: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def gathered(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, doc, at = (np.concatenate([x[k] for x in parts]) for k in range(3))
-        late = smaller_elsewhere(key, doc)
+        key, check, doc, at = (np.concatenate([x[k] for x in parts]) for k in range(4))
+        late = smaller_elsewhere(key, check, doc)
         covered = suffix_runs(doc[late], at[late])
         rows = [(int(mix(doc[:1].view(np.uint64))[0] % np.uint64(buckets)), 2, None, None, None, np.concatenate(covered).tobytes())]
-        key, doc, at = key[~late], doc[~late], at[~late]
+        key, check, doc, at = key[~late], check[~late], doc[~late], at[~late]
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        bucket, key, doc, at = bucket[order], key[order], doc[order], at[order]
+        bucket, key, check, doc, at = bucket[order], key[order], check[order], doc[order], at[order]
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
         for x, y in zip(cut[:-1], cut[1:], strict=True):
-            rows.append((int(bucket[x]), 1, None, None, None, np.concatenate([key[x:y].view(np.int64), doc[x:y], at[x:y]]).tobytes()))
+            rows.append((int(bucket[x]), 1, None, None, None, np.concatenate([key[x:y].view(np.int64), check[x:y].view(np.int64), doc[x:y], at[x:y]]).tobytes()))
         return table(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +347,8 @@ def _sender(buckets: int, hot: np.ndarray):
                 dealt = (mix(anchor) % np.uint64(buckets)).astype(np.int64)
                 many = member(anchor, hot)
                 cut = np.searchsorted(s.row, np.arange(s.row[-1] + 2)) if len(s.row) else [0]
-                asked = [x + np.flatnonzero(member(s.key[x:y], wanted[first + i])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+                own = s.ident
+                asked = [x + np.flatnonzero(member(own[x:y], wanted[first + i])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
                 asked = np.concatenate(asked) if asked else np.zeros(0, np.int64)
                 for j in asked[~many[asked]]:
                     base = bounds[first + s.row[j]]
@@ -340,8 +360,9 @@ def _sender(buckets: int, hot: np.ndarray):
                     at = s.start[of] + np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
                     begin = bounds[first]
                     place = bounds[first + s.row[of]] - begin + at
-                    ranges = RangeHash(data[begin : bounds[min(first + s.row[-1] + 1, len(bounds) - 1)]])
-                    parts.append((ranges.of(place, place + LENGTH), ids[first + s.row[of]], at))
+                    near = data[begin : bounds[min(first + s.row[-1] + 1, len(bounds) - 1)]]
+                    key, check = (RangeHash(near, second).of(place, place + LENGTH) for second in (False, True))
+                    parts.append((key, check, ids[first + s.row[of]], at))
                     n_parts += len(of)
             yield table(rows)
             if n_parts >= GATHERED:
@@ -384,10 +405,10 @@ def _factors(table: pa.Table) -> pa.Table:
     strips_at = np.flatnonzero(kind == 0)
     anchor, doc, start = (np.asarray(pc.fill_null(table.column(c), 0), dtype=np.int64)[strips_at] for c in ("anchor", "doc", "start"))
     out = strip_factors(anchor, doc, start, data, bounds[:-1][strips_at], np.diff(bounds)[strips_at])
-    packed = [[data[bounds[i] : bounds[i + 1]].view(np.int64).reshape(3, -1) for i in np.flatnonzero(kind == k)] for k in (1, 2)]
+    packed = [[data[bounds[i] : bounds[i + 1]].view(np.int64).reshape(n, -1) for i in np.flatnonzero(kind == k)] for k, n in ((1, 4), (2, 3))]
     if packed[0]:
-        key, doc, at = np.concatenate(packed[0], axis=1)
-        late = smaller_elsewhere(key, doc)
+        key, check, doc, at = np.concatenate(packed[0], axis=1)
+        late = smaller_elsewhere(key, check, doc)
         out.append(np.stack(suffix_runs(doc[late], at[late])))
     doc, a, z = np.concatenate([*out, *packed[1]], axis=1) if out or packed[1] else np.zeros((3, 0), np.int64)
     release_memory()
@@ -456,7 +477,7 @@ def _cutter(keep_text: bool):
                 keys = known(full[i])
                 one = data[bounds[i] : bounds[i + 1]]
                 s = strips(one, np.array([0, len(one)]))
-                hit = member(s.key, keys)
+                hit = member(s.ident, keys)
                 removed[i] += list(zip(s.start[hit].tolist(), s.end[hit].tolist(), strict=True))
             rows = {k: [] for k in ("n_removed", "n_spans", "kept_sha256", "kept", "removed")}
             for i, ranges in enumerate(removed):
