@@ -15,17 +15,21 @@ item) must agree about their slots: each value of the item stands for one value
 of the document, the one it meets most often there. Windows against that are left
 out, the other windows of the diagonal stay.
 
-A first pass counts an item's windows in each document, from distinct keys and at
-every word; a word pair that starts no item window is skipped by a bit table of a
-fixed size. Only documents with enough windows are aligned.
+A first pass looks for an item's probes in each document, from distinct keys and
+at every word; a word pair that starts no probe is skipped by a bit table of a
+fixed size. The probes are an item's windows but for the NEEDED - 1 that most other
+items share, so who holds the item holds a probe; a window of very many items is a
+probe of few, and its documents don't meet them all. Then the windows of the pairs
+found are counted, and those of the pairs with enough are aligned.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from bookflow.llm.common import small_or_not, stored, weight
+from bookflow.llm.common import forget, small_or_not, stored, weight
 
 WINDOW = 8
 #: Windows of an item that must be met in a document: a run of 13 words, or all of a shorter item.
@@ -133,6 +137,19 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return cut.select("item_id", "length", F.col("n_windows").cast("long").alias("n_windows"), "item_at", key.alias("key"), F.col("k.kind").alias("kind"), place.cast("int").alias("entry"), F.when(F.col("k.kind") == "t", F.col("slots")).alias("slots"))
 
 
+def with_probes(keys: DataFrame, needed: int) -> DataFrame:
+    """Adds `probe` to item windows: false at the `needed` - 1 places of an item (all but one, if it has fewer) whose keys most items have.
+
+    Whoever meets `needed` places of an item meets one with a probe. Ranks are those of one item's places.
+    """
+    shared = keys.groupBy("key").agg(F.count_distinct(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
+    places = keys.join(shared, "key").groupBy("item_id", "item_at").agg(F.max("items").alias("items"), F.min("n_windows").alias("n"))
+    item = Window.partitionBy("item_id")
+    ranked = places.withColumns({"rank": F.row_number().over(item.orderBy(F.desc("items"), "item_at")), "least": F.least(F.lit(needed), F.min("n").over(item))})
+    marked_places = ranked.select(F.col("item_id").alias("p_item"), F.col("item_at").alias("p_at"), (F.col("rank") >= F.col("least")).alias("probe"))
+    return keys.join(marked_places, keys["item_id"].eqNullSafe(F.col("p_item")) & (keys["item_at"] == F.col("p_at"))).select(*keys.columns, "probe")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
@@ -148,13 +165,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED) -> DataFr
     * ties: of values that an item's value meets equally often on a diagonal, the first in order stands; a very long text is cut into windows where it is read
     * an empty table on either side gives no rows; other columns are ignored
     """
-    keys = stored(item_windows(benchmark), "template-windows")
+    cut_items = stored(item_windows(benchmark), "template-items")
+    keys = stored(with_probes(cut_items, needed), "template-windows")
+    forget(cut_items)
     lengths = [r["length"] for r in keys.select("length").distinct().collect()]  # WINDOW at most
     if not lengths:
         return docs.sparkSession.createDataFrame([], RESULT)
-    size = weight(keys)
+    probes = keys.filter("probe")
     bits = ["0"] * TABLE
-    for r in keys.select("entry").distinct().collect():  # TABLE at most
+    for r in probes.select("entry").distinct().collect():  # TABLE at most
         bits[r["entry"]] = "1"
     table = F.split(F.lit(",".join(bits)), ",").cast("array<boolean>")  # a constant of the plan
 
@@ -162,38 +181,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).filter(F.length("text") > 0)
     words = marked(texts.select("doc_id", "text_hash", split_words(F.col("text")).alias("words")))
     hashes = words.select("doc_id", "text_hash", hashed(F.col("low")).alias("v"), hashed(F.col("marks")).alias("t"))
-    # each key once a text: the rows of a pair are windows of the item
+    # each key once a text
     found = [keys_at(F.col(c), met_starts(F.col(c), n, table), n) for n in lengths for c in ("v", "t")[: 1 + (n == WINDOW)]]
     cut = hashes.select("doc_id", "text_hash", F.explode(F.array_distinct(F.concat(*found))).alias("key"))
-    hit = cut.join(small_or_not(keys.select("key", "item_id", "item_at", "n_windows"), size), "key")
-    windows = hit.groupBy("doc_id", "text_hash", "item_id", "item_at").agg(F.max("n_windows").alias("n_windows"))
-    pairs = windows.groupBy("doc_id", "text_hash", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_windows").alias("n_windows"))
-    met = stored(pairs.filter(F.col("n") >= F.least(F.lit(needed), F.col("n_windows"))).select(F.col("doc_id").alias("m_doc"), F.col("text_hash").alias("m_hash")).distinct(), "template-met")
+    sought = probes.select("key", "item_id").distinct()
+    hit = cut.join(small_or_not(sought, weight(sought)), "key")
+    met = stored(hit.select(F.col("doc_id").alias("m_doc"), F.col("text_hash").alias("m_hash"), F.col("item_id").alias("m_item")).distinct(), "template-met")
 
+    held = met.select("m_doc", "m_hash").distinct()
     same = texts["doc_id"].eqNullSafe(F.col("m_doc")) & (texts["text_hash"] == F.col("m_hash"))
-    close = texts.join(small_or_not(met), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    close = texts.join(small_or_not(held, 32 * met.count()), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     close = stored(close.select("doc_id", "text_hash", split_words(F.col("text")).alias("words")), "template-close")
     words = marked(close)
-    return accepted(verbatim(words, keys, lengths, size).unionByName(by_template(words, keys, size)), needed)
+    # the windows to look for in each document: those of the items that it may hold
+    wanted = met.join(small_or_not(keys.drop("length", "entry", "probe"), weight(keys)), F.col("m_item").eqNullSafe(F.col("item_id"))).drop("m_item")
+    return accepted(verbatim(words, wanted, lengths).unionByName(by_template(words, wanted)), needed)
+
+
+def asked(cut: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Windows of documents (doc_id, text_hash, key and others) that are wanted there."""
+    same = cut["doc_id"].eqNullSafe(wanted["m_doc"]) & (cut["text_hash"] == wanted["m_hash"]) & (cut["key"] == wanted["key"])
+    return cut.join(wanted, same).drop("m_doc", "m_hash", "key")
 
 
-def verbatim(words: DataFrame, keys: DataFrame, lengths: list[int], size: int) -> DataFrame:
+def verbatim(words: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
     """Item windows whose words stand in a document."""
     v = words.select("doc_id", "text_hash", hashed(F.col("low")).alias("v"))
     found = [keys_at(F.col("v"), starts(F.col("v"), n), n) for n in lengths]
     cut = v.select("doc_id", "text_hash", F.explode(F.array_distinct(F.concat(*found))).alias("key"))
-    hit = cut.join(small_or_not(keys.filter("kind = 'v'").select("key", "item_id", "item_at", "n_windows"), size), "key")
+    hit = asked(cut, wanted.filter("kind = 'v'"))
     return hit.select("doc_id", "text_hash", "item_id", "item_at", "n_windows", F.lit(None).cast("array<struct<i:string,d:string>>").alias("pairs"))
 
 
-def by_template(words: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+def by_template(words: DataFrame, wanted: DataFrame) -> DataFrame:
     """Item windows whose template stands in a document, with slot values that agree along their diagonal."""
     t = words.select("doc_id", "text_hash", "low", hashed(F.col("marks")).alias("t"))
-    cut = t.select("doc_id", "text_hash", "low", F.explode(F.transform(starts(F.col("t"), WINDOW), lambda i: F.struct(i.alias("at"), key_at(F.col("t"), i, WINDOW).alias("key")))).alias("w"))
-    hit = cut.join(small_or_not(keys.filter("kind = 't'").select("key", "item_id", "item_at", "n_windows", "slots"), size), F.col("w.key") == F.col("key"))
-    pairs = F.filter(F.zip_with("slots", F.slice("low", F.col("w.at"), WINDOW), lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"].isNotNull())
+    cut = t.select("doc_id", "text_hash", F.explode(F.transform(starts(F.col("t"), WINDOW), lambda i: F.struct(i.alias("at"), key_at(F.col("t"), i, WINDOW).alias("key"), F.slice("low", i, WINDOW).alias("values")))).alias("w"))
+    hit = asked(cut.select("doc_id", "text_hash", "w.*"), wanted.filter("kind = 't'"))
+    pairs = F.filter(F.zip_with("slots", "values", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"].isNotNull())
     diagonal = ["doc_id", "text_hash", "item_id", "diagonal"]
-    aligned = stored(hit.select("doc_id", "text_hash", "item_id", (F.col("w.at") - F.col("item_at")).alias("diagonal"), "item_at", "n_windows", pairs.alias("pairs")), "template-aligned")
+    aligned = stored(hit.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "n_windows", pairs.alias("pairs")), "template-aligned")
     seen = aligned.select(*diagonal, F.explode("pairs").alias("p")).groupBy(*diagonal, "p").agg(F.count(F.lit(1)).alias("n"))
     chosen = seen.groupBy(*diagonal, F.col("p.i").alias("i")).agg(F.min_by("p", F.struct(-F.col("n"), F.col("p.d"))).alias("p"))
     allowed = chosen.groupBy(*diagonal).agg(F.collect_list("p").alias("allowed"))  # as many as the item has slots at most

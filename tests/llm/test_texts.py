@@ -296,6 +296,19 @@ def test_leaks_add_up_over_short_runs_at_any_place(spark):
     assert got == {k: 6 for k in range(8)}
 
 
+def test_a_window_of_all_items_meets_no_item_by_itself(spark):
+    """500 items open with the same words, as 500 documents do; a pass over pairs of both would make 250,000 rows."""
+    opening = "which of the following is the one that"
+    items = [(k, f"{opening} {prose(5000 + k, 14)}") for k in range(500)] + [(500, opening), (500, prose(1, 20))]
+    held = [(k, f"{opening} no item ends in w{k}") for k in range(500)] + [(500 + k, f"start {items[k][1]} end") for k in range(3)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    keys = decontamination.with_probes(decontamination.item_windows(bench), decontamination.NEEDED).filter("probe and kind = 'v'")
+    assert keys.groupBy("key").count().agg({"count": "max"}).first()[0] < 20
+    got = {(r["doc_id"], r["item_id"]): r["matched_windows"] for r in decontamination.leaks(spark.createDataFrame(held, "doc_id long, text string"), bench).collect()}
+    # of the item of two texts, the shorter one is a single window, which all documents hold
+    assert got == {(k, 500): 1 for k in range(503)} | {(500 + k, k): 15 for k in range(3)}
+
+
 def test_mixing(docs, empty):
     got = rows(mixing.mix(docs))
     assert len(got) == len(texts()) and all(0 <= r["probability"] <= 1 for r in got)
