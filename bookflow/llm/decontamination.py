@@ -194,30 +194,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, needed: int = NEEDED) -> DataFr
     close = stored(close.select("doc_id", "text_hash", split_words(F.col("text")).alias("words")), "template-close")
     words = marked(close)
     # the windows to look for in each document: those of the items that it may hold
-    wanted = met.join(small_or_not(keys.drop("length", "entry", "probe"), weight(keys)), F.col("m_item").eqNullSafe(F.col("item_id"))).drop("m_item")
-    return accepted(verbatim(words, wanted, lengths).unionByName(by_template(words, wanted)), needed)
+    size = weight(keys)
+    known = small_or_not(keys.select("key").distinct(), size)
+    wanted = met.join(small_or_not(keys.drop("length", "entry", "probe"), size), F.col("m_item").eqNullSafe(F.col("item_id"))).drop("m_item")
+    return accepted(verbatim(words, wanted, known, lengths).unionByName(by_template(words, wanted, known)), needed)
 
 
-def asked(cut: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Windows of documents (doc_id, text_hash, key and others) that are wanted there."""
+def asked(cut: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Windows of documents (doc_id, text_hash, key and others) that are wanted there; windows of no item (`known` has all keys) aren't moved."""
+    cut = cut.join(known, "key", "left_semi")
     same = cut["doc_id"].eqNullSafe(wanted["m_doc"]) & (cut["text_hash"] == wanted["m_hash"]) & (cut["key"] == wanted["key"])
     return cut.join(wanted, same).drop("m_doc", "m_hash", "key")
 
 
-def verbatim(words: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+def verbatim(words: DataFrame, wanted: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
     """Item windows whose words stand in a document."""
     v = words.select("doc_id", "text_hash", hashed(F.col("low")).alias("v"))
     found = [keys_at(F.col("v"), starts(F.col("v"), n), n) for n in lengths]
     cut = v.select("doc_id", "text_hash", F.explode(F.array_distinct(F.concat(*found))).alias("key"))
-    hit = asked(cut, wanted.filter("kind = 'v'"))
+    hit = asked(cut, wanted.filter("kind = 'v'"), known)
     return hit.select("doc_id", "text_hash", "item_id", "item_at", "n_windows", F.lit(None).cast("array<struct<i:string,d:string>>").alias("pairs"))
 
 
-def by_template(words: DataFrame, wanted: DataFrame) -> DataFrame:
+def by_template(words: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Item windows whose template stands in a document, with slot values that agree along their diagonal."""
     t = words.select("doc_id", "text_hash", "low", hashed(F.col("marks")).alias("t"))
     cut = t.select("doc_id", "text_hash", F.explode(F.transform(starts(F.col("t"), WINDOW), lambda i: F.struct(i.alias("at"), key_at(F.col("t"), i, WINDOW).alias("key"), F.slice("low", i, WINDOW).alias("values")))).alias("w"))
-    hit = asked(cut.select("doc_id", "text_hash", "w.*"), wanted.filter("kind = 't'"))
+    hit = asked(cut.select("doc_id", "text_hash", "w.*"), wanted.filter("kind = 't'"), known)
     pairs = F.filter(F.zip_with("slots", "values", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"].isNotNull())
     diagonal = ["doc_id", "text_hash", "item_id", "diagonal"]
     aligned = stored(hit.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "n_windows", pairs.alias("pairs")), "template-aligned")
