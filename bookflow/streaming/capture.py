@@ -8,9 +8,10 @@ gives equal rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,8 +44,13 @@ def parse_stream(raw: DataFrame, levels: int = 10) -> tuple[DataFrame, DataFrame
     return books, trades
 
 
-#: Ids that are remembered of a symbol at most, how many stay when they are cut, and the parts that a symbol's ids are dealt to.
-MOST_IDS, KEPT_IDS, ID_PARTS = 100_000, 50_000, 16
+#: For a bounded memory: how many ids stay when they are cut, and the parts that a symbol's ids are dealt to.
+KEPT_IDS, ID_PARTS = 50_000, 16
+#: Where a stream's state lies: on local disks, with a bounded cache, so that many ids need no heap.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 NO_ID = -(1 << 63)
 
 
@@ -70,14 +76,18 @@ def _only_new(most: int, kept: int):
     return of
 
 
-def dedup_trades(trades: DataFrame, most: int = MOST_IDS, kept: int = KEPT_IDS, parts: int = ID_PARTS) -> DataFrame:
-    """Each trade id of a symbol once, in order of arrival, however late it comes again.
+def dedup_trades(trades: DataFrame, most: int | None = None, kept: int = KEPT_IDS, parts: int = ID_PARTS) -> DataFrame:
+    """Each trade id of a symbol once, in order of arrival, however late it comes again; rows without an id share one.
 
-    A symbol's ids are dealt to `parts` states, so a busy symbol has as many tasks.
-    A state remembers its last ids: more than most / parts are cut to kept / parts,
-    so its size is bounded whatever the length of the stream. An id that comes
-    again after so many others is new again. Rows without an id share one.
+    Every id is a state of its own, so none is forgotten and a busy symbol has as
+    many tasks as there are; the state grows with the ids of the stream.
+
+    `most` bounds it instead: a symbol's ids are dealt to `parts` states that
+    remember their last ids, more than most / parts are cut to kept / parts, and an
+    id that comes again after so many others is new again.
     """
+    if most is None:
+        return trades.dropDuplicates(["symbol", "trade_id"])
     others = [c for c in trades.columns if c not in {"timestamp", "trade_id"}]
     dealt = trades.select(*others, F.unix_micros("timestamp").alias("__us"), F.coalesce("trade_id", F.lit(NO_ID)).alias("__id")).withColumn("__part", F.pmod("__id", F.lit(parts)))
     rule = _only_new(max(1, most // parts), max(1, kept // parts))
@@ -86,11 +96,26 @@ def dedup_trades(trades: DataFrame, most: int = MOST_IDS, kept: int = KEPT_IDS,
     return restored.select(*trades.columns)
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state as STATE says, unless the session names a store; its settings come back after them."""
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    chosen = spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith(".HDFSBackedStateStoreProvider")
+    for k, v in STATE.items() if chosen else ():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items() if chosen else ():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, trigger: str | None = "60 seconds") -> StreamingQuery:
-    """Append to Parquet by symbol and by each row's own date; trigger None takes what is there and stops."""
-    dated = df.withColumn("date", F.to_date("timestamp"))
+    """Append to Parquet by symbol and by each row's own date, a batch's rows of a day in one file; trigger None takes what is there and stops."""
+    dated = df.withColumn("date", F.to_date("timestamp")).repartition("symbol", "date")
     writer = dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("symbol", "date").outputMode("append")
-    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+    with state_on_disk(df.sparkSession):
+        return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
 def stream_trade_bars(trades: DataFrame, windows: Sequence[str], step: str, watermark: str = "10 minutes") -> dict[str, DataFrame]:

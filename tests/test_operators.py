@@ -307,3 +307,16 @@ def test_late_repeats_are_dropped_and_state_is_bounded(spark, tmp_path):
         most = max(most, len(seen))
         assert all(new)
     assert most <= 100 and seen[-1] == 4999 and capture.new_ids(seen, [4999, 0], 100, 50)[0] == [False, True]
+
+
+def test_every_late_repeat_is_dropped_unless_a_bound_is_asked_for(spark, tmp_path):
+    """A symbol's state once held 6,250 ids a part: the first of 7,000 ids of a part came twice."""
+    ids = grid.F.col("id") * 16
+    rows = spark.range(7000).union(spark.range(100)).coalesce(1).select(grid.F.lit("A").alias("symbol"), grid.F.timestamp_seconds("id").alias("timestamp"), ids.alias("trade_id"))
+    for n, part in enumerate((rows, rows.filter("trade_id < 800"))):
+        part.write.parquet(str(tmp_path / "in" / f"b{n}"))
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        capture.write_stream(capture.dedup_trades(stream), str(tmp_path / "out"), str(tmp_path / "state"), None).awaitTermination(120)
+    got = [r["trade_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [16 * k for k in range(7000)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith(".HDFSBackedStateStoreProvider")
