@@ -8,6 +8,7 @@ be in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bookflow.sources.tables import shared_folder
+
 #: Rows that a range of a key is meant to have, and ranges of a key at most.
 ROWS_PER_RANGE, RANGES = 100_000, 256
 #: Keys of so many values are taken whole; for others, the error of the approximate quantiles is one over ACCURACY.
@@ -23,15 +26,30 @@ SMALL, ACCURACY = 100_000, 10_000
 RUN = 16
 #: Parts that the rows of one hot value, or without a value, are dealt to.
 SALTS = 64
+#: Facts of so many keys at most are broadcast; a key's facts are a row of bounded width.
+BROADCAST_KEYS = 1000
 
 
 def joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a table on keys that may be NULL; AQE broadcasts it where it is measured to be small."""
+    """Join a table on keys that may be NULL. Facts of few keys should be `settled`, or a key's rows are sorted in one task."""
     other = table.withColumnsRenamed({k: f"__of_{k}" for k in keys})
     same = [df[k].eqNullSafe(other[f"__of_{k}"]) for k in keys]
     return df.join(other, same, how).drop(*[f"__of_{k}" for k in keys])
 
 
+def settled(facts: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of one row for each key, written to the shared folder and read back, with a broadcast hint if it has few rows.
+
+    AQE doesn't broadcast a table whose few keys leave most partitions of its
+    exchange empty, and a join on such keys sorts all rows of a key in one task.
+    """
+    spark = facts.sparkSession
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    facts.write.parquet(path)
+    stored = spark.read.schema(facts.schema).parquet(path)
+    return F.broadcast(stored) if stored.limit(most + 1).count() <= most else stored
+
+
 def range_bounds(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row for each key: for the i-th value, __b{i} (ordered bounds of its ranges, none for a key with few rows) and __e{i} (ends of runs of bounds)."""
     points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
@@ -64,7 +82,7 @@ def rank_facts(source: DataFrame, keys: Sequence[str], values: dict[str, dict[st
 
     An entry of __t{i} has a code, and for the k-th flag of the value c{k}, its flagged rows, and o{k}, those of lower codes.
     """
-    bounds = range_bounds(source, keys, list(values))
+    bounds = settled(range_bounds(source, keys, list(values)))
     width = max(map(len, values.values()))
     flags = [[*fs.values(), *[F.lit(0).cast("long")] * (width - len(fs))] for fs in values.values()]
     cells = F.array(*[F.struct(F.lit(i).alias("i"), _code(F.col(v), i).alias("code"), *[f.alias(f"c{k}") for k, f in enumerate(fs)]) for i, (v, fs) in enumerate(zip(values, flags, strict=True))])
@@ -78,13 +96,24 @@ def rank_facts(source: DataFrame, keys: Sequence[str], values: dict[str, dict[st
 
 
 def _coded(df: DataFrame, facts: DataFrame, keys: Sequence[str], values: dict[str, dict[str, Column]]) -> DataFrame:
-    """Adds to each row its code of the i-th value, and the entry of this code with the counts before the value's first entry taken off."""
-    new = {}
-    for i, v in enumerate(values):
-        new[f"__code{i}"] = _code(F.col(v), i)
-        new[f"__at{i}"] = F.get(f"__t{i}", F.array_position(F.col(f"__t{i}.code"), new[f"__code{i}"]).cast("int") - 1)
-        new[f"__first{i}"] = F.get(f"__t{i}", F.lit(0))
-    return joined(df, facts, keys).withColumns(new).drop(*[f"__{c}{i}" for i in range(len(values)) for c in "bet"])
+    """Adds to each row its code of the i-th value, and for the k-th flag __c{i}_{k}, the flagged rows of this code, and __o{i}_{k}, those of lower codes."""
+    codes, new = {}, {}
+    for i, (v, flags) in enumerate(values.items()):
+        codes[f"__code{i}"] = _code(F.col(v), i)
+        codes[f"__at{i}"] = F.get(f"__t{i}", F.array_position(F.col(f"__t{i}.code"), codes[f"__code{i}"]).cast("int") - 1)
+        for k in range(len(flags)):
+            new[f"__c{i}_{k}"] = F.col(f"__at{i}")[f"c{k}"]
+            new[f"__o{i}_{k}"] = F.coalesce(F.col(f"__at{i}")[f"o{k}"] - F.get(f"__t{i}", F.lit(0))[f"o{k}"], F.lit(0))
+    return joined(df, facts, keys).withColumns(codes).withColumns(new).drop(*[f"__{c}{i}" for i in range(len(values)) for c in ("b", "e", "t", "at")])
+
+
+def _on_bound(i: int) -> Column:
+    """Is the i-th value a bound? Its rows need no order."""
+    return F.coalesce(F.col(f"__code{i}") % 2 == 1, F.lit(False))
+
+
+def _rank_of_bound(i: int, k: int) -> Column:
+    return F.col(f"__o{i}_{k}") + (F.col(f"__c{i}_{k}") + 1) / 2.0
 
 
 def _ranked(coded: DataFrame, keys: Sequence[str], i: int, value: str, flags: dict[str, Column]) -> DataFrame:
@@ -92,17 +121,27 @@ def _ranked(coded: DataFrame, keys: Sequence[str], i: int, value: str, flags: di
     given, v, code = coded.columns, F.col(value), F.col(f"__code{i}")
     # the rows of a bound need no order, those without a value no rank: they are spread
     plain = [c for c in given if not c.startswith("__")]
-    salt = F.when(code.isNull() | (code % 2 == 1), F.pmod(F.xxhash64(*plain), F.lit(SALTS))).otherwise(0)
+    salt = F.when(code.isNull() | _on_bound(i), F.pmod(F.xxhash64(*plain), F.lit(SALTS))).otherwise(0)
     flagged = coded.withColumns({"__salt": salt} | {f"__f{k}": f for k, f in enumerate(flags.values())})
     part = [*keys, f"__code{i}", "__salt"]
     upto_peers, peers = Window.partitionBy(*part).orderBy(v.asc_nulls_last()), Window.partitionBy(*part, value)
     n = range(len(flags))
     counted = flagged.withColumns({f"__le{k}": F.sum(f"__f{k}").over(upto_peers) for k in n} | {f"__eq{k}": F.sum(f"__f{k}").over(peers) for k in n})
-    of = lambda x, k: F.col(f"__at{i}")[f"{x}{k}"]
-    inside = lambda k: F.when(code % 2 == 1, (of("c", k) + 1) / 2.0).otherwise(F.col(f"__le{k}") - (F.col(f"__eq{k}") - 1) / 2.0)
-    lower = lambda k: F.coalesce(of("o", k) - F.col(f"__first{i}")[f"o{k}"], F.lit(0))
-    rank = lambda k: F.when(F.col(f"__f{k}") == 1, lower(k) + inside(k))
-    return counted.select(*given, *[rank(k).alias(name) for k, name in enumerate(flags)])
+    rank = lambda k: F.when(_on_bound(i), _rank_of_bound(i, k)).otherwise(F.col(f"__o{i}_{k}") + F.col(f"__le{k}") - (F.col(f"__eq{k}") - 1) / 2.0)
+    return counted.select(*given, *[F.when(F.col(f"__f{k}") == 1, rank(k)).alias(name) for k, name in enumerate(flags)])
+
+
+def _ranked_apart(df: DataFrame, facts: DataFrame, keys: Sequence[str], value: str, flags: dict[str, Column]) -> DataFrame:
+    """Adds one rank for each flag of the only value: rows of bounds are looked up and stay where they are, like rows without the value; others are exchanged and sorted."""
+    of = lambda x, k: F.col("__x")[f"{x}{k}"]
+    known = [(of("o", k) - F.get("__t0", F.lit(0))[f"o{k}"] + (of("c", k) + 1) / 2.0).alias(f"__r{k}") for k in range(len(flags))]
+    entries = facts.select(*keys, "__b0", "__t0", F.explode("__t0").alias("__x")).filter(F.col("__x.code") % 2 == 1)
+    bounds = settled(entries.select(*keys, F.get("__b0", F.floor(F.col("__x.code") / 2).cast("int")).alias(value), F.lit(True).alias("__hot"), *known), BROADCAST_KEYS * RANGES)
+    looked = joined(df, bounds, [*keys, value], "left")
+    between = F.col(value).isNotNull() & F.col("__hot").isNull()
+    still = looked.filter(~between).select(*df.columns, *[F.when(f == 1, F.col(f"__r{k}")).alias(name) for k, (name, f) in enumerate(flags.items())])
+    others = _coded(looked.filter(between).select(*df.columns), facts, keys, {value: flags})
+    return still.unionByName(_ranked(others, keys, 0, value, flags).select(*still.columns))
 
 
 def any_larger(df: DataFrame, keys: Sequence[str], most: int | None = None) -> bool:
@@ -126,10 +165,14 @@ def _whole_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, dict[str,
 def _with_ranks(df: DataFrame, source: DataFrame, keys: Sequence[str], values: dict[str, dict[str, Column]], large: bool | None) -> DataFrame:
     if not (any_larger(source, keys) if large is None else large):
         return _whole_ranks(df, keys, values)
-    out = _coded(df, rank_facts(source, keys, values), keys, values)
+    facts = settled(rank_facts(source, keys, values))
+    if len(values) == 1:  # rows are read twice; with more values that would double for each
+        ((v, flags),) = values.items()
+        return _ranked_apart(df, facts, keys, v, flags)
+    out = _coded(df, facts, keys, values)
     for i, (v, flags) in enumerate(values.items()):
         out = _ranked(out, keys, i, v, flags)
-    return out.drop(*[f"__{c}{i}" for i in range(len(values)) for c in ("code", "at", "first")])
+    return out.drop(*[f"__code{i}" for i in range(len(values))], *[f"__{c}{i}_{k}" for i, flags in enumerate(values.values()) for k in range(len(flags)) for c in "co"])
 
 
 def masked_ranks(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, Column | None], source: DataFrame | None = None, large: bool | None = None) -> DataFrame:
@@ -173,7 +216,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     v, margin, n_probs = F.col(value).cast("double"), 3 / ACCURACY, len(probs)
     order = sorted(range(n_probs), key=lambda i: probs[i])
     ends = [x for i in order for x in (max(probs[i] - margin, 0.0), min(probs[i] + margin, 1.0))]
-    facts = df.groupBy(*keys).agg(F.count(v).alias("__n"), F.percentile_approx(v, F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("__ends"))
+    facts = settled(df.groupBy(*keys).agg(F.count(v).alias("__n"), F.percentile_approx(v, F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("__ends")))
     large = F.col("__n") > SMALL
     bound = lambda k: F.when(large & F.lit(0.0 < ends[k] < 1.0), F.col("__ends")[k])
     bracketed = facts.select(*keys, "__n", F.array(*[bound(2 * k) for k in range(n_probs)]).alias("__from"), F.array(*[bound(2 * k + 1) for k in range(n_probs)]).alias("__to"))

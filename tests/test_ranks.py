@@ -67,3 +67,25 @@ def test_quantiles_gather_only_brackets(monkeypatch, spark):
     edges = stats.quantile_bins(df, ["k"], "x", 5).groupBy("bin").count().collect()
     assert {r["count"] for r in edges} == {10_000}
     assert ranks.exact_quantiles(df.limit(0), ["k"], "x", [0.5]).collect() == []
+
+
+def test_facts_of_few_keys_are_broadcast(monkeypatch, spark):
+    """A join with the facts of two keys sorted all rows of a key in one task."""
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 40)
+    monkeypatch.setattr(ranks, "SMALL", 1000)
+    monkeypatch.setattr(ranks, "ACCURACY", 500)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(6000).select((ranks.F.col("id") % 2).alias("k"), (ranks.F.col("id") % 7).cast("double").alias("x"), (ranks.F.col("id") % 3 == 0).cast("int").alias("y"))
+        made = [
+            ranks.average_rank(df, ["k"], "x"), stats.quantile_bins(df, ["k"], "x", 5), stats.decile_returns(df, "x", "y", 3, ["k"]),
+            stats.box_stats(df, ["x"], ["k"]), stats.classification_metrics(df, ["k"], "y", "x"),
+        ]
+        for out in made:
+            rows = out.collect()
+            assert rows and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        ranked = made[0].toPandas()
+        assert np.allclose(ranked["rank"], ranked.groupby("k")["x"].rank())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
