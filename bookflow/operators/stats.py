@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.functions.numeric import correlation
-from bookflow.operators.ranks import any_larger, average_rank, average_ranks, exact_quantiles, joined
+from bookflow.operators.ranks import SMALL, any_larger, average_rank, average_ranks, exact_quantiles, joined, settled
 from bookflow.operators.sums import centred, summed_vectors, typed
 
 
@@ -32,17 +32,19 @@ def average_rank_by_counts(df: DataFrame, keys: Sequence[str], value: str, name:
 
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, name: str = "bin", large: bool | None = None) -> DataFrame:
     """Adds the quantile bin of `value`, from 1: right-closed, the lowest value included, equal edges merged. Not ntile: ties stay together."""
+    large = any_larger(df, keys, SMALL) if large is None else large
     edges = exact_quantiles(df, keys, value, [i / bins for i in range(bins + 1)], large=large).select(*keys, F.array_distinct("q").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
     at = F.when(F.col(value).isNotNull() & (F.size("__edges") > 1), F.greatest(below, F.lit(1)))
-    return joined(df, edges, keys).withColumn(name, at).drop("__edges")
+    return joined(df, settled(edges) if large else edges, keys).withColumn(name, at).drop("__edges")
 
 
 def decile_returns(df: DataFrame, feature: str, target: str, n_bins: int = 10, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Mean, deviation and count of the target in each quantile bin of the feature; keys with fewer than 5 rows a bin give none."""
     both = df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*keys, feature, target)
     sizes = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n_bins * 5)
-    enough, large = joined(both, sizes, keys).drop("__n"), any_larger(both, keys)
+    large = any_larger(both, keys)
+    enough = joined(both, settled(sizes) if large else sizes, keys).drop("__n")
     return (
         quantile_bins(enough, keys, feature, n_bins, "decile", large).filter("decile is not null").groupBy(*keys, "decile")
         .agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"), F.count(target).alias("count"))
@@ -104,10 +106,11 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int, keys: Sequence[str]
 def box_stats(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Quartiles and whiskers (the furthest values within 1.5 interquartile ranges)."""
     long = unpivoted(df, keys, metrics, "metric").filter("value is not null")
-    q = exact_quantiles(long, [*keys, "metric"], "value", [0.25, 0.5, 0.75], large=any_larger(df, keys)).select(*keys, "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    large = any_larger(df, keys)
+    q = exact_quantiles(long, [*keys, "metric"], "value", [0.25, 0.5, 0.75], large=large).select(*keys, "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return joined(long, q, [*keys, "metric"]).filter(inside).groupBy(*keys, "metric", "q1", "median", "q3").agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
+    return joined(long, settled(q) if large else q, [*keys, "metric"]).filter(inside).groupBy(*keys, "metric", "q1", "median", "q3").agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", least: int = 10, large: bool | None = None) -> DataFrame:
@@ -127,8 +130,8 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], y_true: str = "y_
     Predictions are cut at 0.5 if none is above 1, else at 0.
     """
     both = df.filter(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull()).select(*keys, F.col(y_true).cast("int").alias("__y"), F.col(y_pred).alias("__p"))
-    cuts = both.groupBy(*keys).agg(F.when(F.max("__p") <= 1.0, 0.5).otherwise(0.0).alias("__cut"))
-    ranked = joined(average_rank(both, keys, "__p", "__rp"), cuts, keys)
+    cuts, large = both.groupBy(*keys).agg(F.when(F.max("__p") <= 1.0, 0.5).otherwise(0.0).alias("__cut")), any_larger(both, keys)
+    ranked = joined(average_rank(both, keys, "__p", "__rp", large), settled(cuts) if large else cuts, keys)
     yes, hit = F.col("__p") > F.col("__cut"), F.col("__y") == 1
     count = lambda c: F.count(F.when(c, 1))
     agg = ranked.groupBy(*keys).agg(
