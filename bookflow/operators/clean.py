@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bookflow.operators.ranks import any_larger, exact_quantiles, joined
+from bookflow.operators.ranks import any_larger, exact_quantiles, joined, settled
 
 SESSION = ("symbol", "date")
 # Names of the steps in the reports.
@@ -38,10 +38,9 @@ def _levels(df: DataFrame, kind: str, levels: int) -> list[str]:
 
 
 def is_last_of_timestamp(session: Sequence[str] = SESSION) -> Column:
-    """Is this the last arrival at its timestamp? Uses the session's order, so no shuffle of its own."""
-    w = Window.partitionBy(*session).orderBy("timestamp", "seq")
-    after = F.lead("timestamp").over(w)
-    return after.isNull() | ~after.eqNullSafe(F.col("timestamp"))
+    """Is this the last arrival at its timestamp, or without one? Windows hold one timestamp, so a long session is many tasks."""
+    w = Window.partitionBy(*session, "timestamp").orderBy("seq")
+    return F.col("timestamp").isNull() | F.lead(F.lit(1)).over(w).isNull()
 
 
 def drop_duplicate_snapshots(df: DataFrame, session: Sequence[str] = SESSION) -> DataFrame:
@@ -106,7 +105,7 @@ def book_failures(df: DataFrame, levels: int = 5, max_spread_multiple: float = 1
         .when(~_true(spread > 0), 4)
     )
     marked = df.withColumn("__last", is_last_of_timestamp(session)).withColumn("__early", early)
-    middle = median_of(marked.withColumn("__spread", F.when(F.col("__early").isNull(), spread)), "__spread", session, any_larger(df, session))
+    middle = settled(median_of(marked.withColumn("__spread", F.when(F.col("__early").isNull(), spread)), "__spread", session, any_larger(df, session)))
     late = (
         F.when(~_true((F.col("__median") <= 0) | (spread <= F.col("__median") * max_spread_multiple)), 5)
         .when(~_true(_all([F.col(c) > 0 for c in _levels(df, "price", levels)])), 6)
@@ -190,7 +189,7 @@ def trade_failures(trades: DataFrame, books: DataFrame, session: Sequence[str] =
     marked = trades.withColumn("failed_step", early)
     failed, rest = marked.filter("failed_step is not null"), marked.filter("failed_step is null")
     flagged = _outliers(rest.drop("failed_step"), window, min_periods, n_std, guard, session, chunk)
-    ranged = flagged.join(book_range(books, session), list(session), "left")
+    ranged = flagged.join(settled(book_range(books, session)), list(session), "left")
     inside = _true(F.col("timestamp").between(F.col("__from"), F.col("__to")))
     late = F.when(F.col("outlier"), 4).when(~inside, 5)
     return failed.unionByName(ranged.withColumn("failed_step", late).select(*marked.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -320,3 +321,14 @@ def test_every_late_repeat_is_dropped_unless_a_bound_is_asked_for(spark, tmp_pat
     got = [r["trade_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == [16 * k for k in range(7000)]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith(".HDFSBackedStateStoreProvider")
+
+
+def test_long_sessions_are_many_tasks(spark):
+    """Windows over a whole session found repeated timestamps, and a join on few keys sorted a key's rows in one task."""
+    rows = [("A", DAY, n, T0 + dt.timedelta(seconds=n // 2)) for n in range(400)] + [("A", DAY, 400 + n, None) for n in range(2)]
+    df = spark.createDataFrame(rows, "symbol string, date date, seq long, timestamp timestamp")
+    last = clean.drop_duplicate_snapshots(df)
+    assert {r["seq"] for r in last.collect()} == {*range(1, 400, 2), 400, 401}
+    assert re.search(r"\[symbol#\d+, date#\d+, timestamp#\d+\]", last._jdf.queryExecution().optimizedPlan().toString())
+    folds = splits.walk_forward_folds(df.filter("timestamp is not null"))
+    assert folds.count() > 0 and "strategy=broadcast" in folds._jdf.queryExecution().optimizedPlan().toString()
