@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from bookflow.config import UNITS
 from bookflow.functions.numeric import correlation
-from bookflow.operators.ranks import any_larger, average_ranks, exact_quantiles, joined, masked_ranks
+from bookflow.operators.ranks import any_larger, average_ranks, exact_quantiles, joined, masked_ranks, settled
 from bookflow.operators.splits import with_row_number
 from bookflow.operators.stats import small_rank, unpivoted
 
@@ -116,10 +116,12 @@ def regimes(df: DataFrame, volatility: str = "realized_vol_30s", keys: Sequence[
     used = {k: c for k, c in sources.items() if c in df.columns}
     names = {c: k for k, c in used.items()}
     long = unpivoted(df, keys, list(names))
-    cuts = exact_quantiles(long, [*keys, "feature"], "value", [0.0, 1 / 3, 2 / 3, 1.0], large=any_larger(df, keys) if large is None else large)
+    large = any_larger(df, keys) if large is None else large
+    cuts = exact_quantiles(long, [*keys, "feature"], "value", [0.0, 1 / 3, 2 / 3, 1.0], large=large)
     counts = long.groupBy(*keys, "feature").agg(F.least(F.count_distinct("value"), F.lit(3)).alias("__d"), F.count("value").alias("__n"))
     of = lambda c, x: F.first(F.when(F.col("feature") == c, F.col(x)), ignorenulls=True)
     facts = joined(cuts, counts, [*keys, "feature"]).groupBy(*keys).agg(*[of(c, x).alias(f"{n}{k}") for c, k in names.items() for x, n in (("q", "__e_"), ("__d", "__d_"), ("__n", "__n_"))])
+    facts = settled(facts)  # read again for each column below
     out = joined(df, facts, keys)
     few = [k for k in used if facts.filter((F.col(f"__d_{k}") < 3) & (F.col(f"__d_{k}") > 0)).limit(1).count()]
     for k, c in used.items():
