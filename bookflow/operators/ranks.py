@@ -240,3 +240,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     values = found.select(*keys, F.array(*[one(i, a) for i, a in enumerate(at)]).alias(name))
     return joined(facts.select(*keys), values, keys, "left")
 
+
+def nth_values(df: DataFrame, keys: Sequence[str], value: str, nth: str) -> DataFrame:
+    """One row for each key: __v, its value at place `nth` in order (from 1, the same on all rows of the key; values are set), __left, how many rows of this value are up to that place, and __same, its rows.
+
+    Rows are counted by ranges, then values by value in the one range that holds the place.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v"), F.col(nth).alias("__nth"))
+    coded = joined(rows, settled(range_bounds(rows, keys, ["__v"])), keys).select(*keys, "__v", "__nth", _code(F.col("__v"), 0).alias("__code"))
+
+    def reached(by: str, source: DataFrame) -> DataFrame:
+        counts = source.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("__c"), F.max("__nth").alias("__nth"))
+        before = F.sum("__c").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+        left = counts.withColumn("__left", F.col("__nth") - F.coalesce(before, F.lit(0)))
+        return left.filter((F.col("__left") > 0) & (F.col("__left") <= F.col("__c")))
+
+    held = settled(reached("__code", coded).select(*keys, F.col("__code").alias("__in"), F.col("__left").alias("__nth")))
+    inside = joined(coded.drop("__nth"), held, keys).filter(F.col("__code") == F.col("__in"))
+    return reached("__v", inside).select(*keys, "__v", "__left", F.col("__c").alias("__same"))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookflow.config import UNITS
 from bookflow.functions.numeric import correlation
-from bookflow.operators.ranks import any_larger, average_ranks, exact_quantiles, joined, masked_ranks, settled
+from bookflow.operators.ranks import any_larger, average_ranks, exact_quantiles, joined, masked_ranks, nth_values, settled
 from bookflow.operators.splits import with_row_number
 from bookflow.operators.stats import small_rank, unpivoted
 
@@ -105,40 +106,84 @@ def top_features(ic: DataFrame, horizon: str, n: int = 20, keys: Sequence[str] =
 REGIMES = {"vol_regime": ("low_vol", "mid_vol", "high_vol"), "spread_regime": ("tight", "mid", "wide"), "liq_regime": ("thin", "mid", "deep")}
 
 
+def _first_label(df: DataFrame, facts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Where a column of two values is cut in order of value, time and a hash of the row: keys and __v, __t, __h, the value, time and hash up to which rows get the first label, and __g, how many of the rows at __h do (NULL: all).
+
+    `facts` has n, the rows with a value, low and high, the values, and n_low. Only counts are taken; no rows of a value are ordered.
+    """
+    first = F.floor((F.col("n") + 1) / 2)
+    inside = F.when(F.col("n_low") >= first, F.struct(F.col("low").alias("__v"), first.alias("__c"))).otherwise(F.struct(F.col("high").alias("__v"), (first - F.col("n_low")).alias("__c")))
+    places = settled(facts.select(*keys, inside.alias("__i")).select(*keys, "__i.*"))
+    rows = joined(df, places, keys).filter(F.col(column) == F.col("__v"))
+    times = nth_values(rows.select(*keys, _time().alias("__us"), "__c"), keys, "__us", "__c").withColumnsRenamed({"__v": "__t", "__left": "__few"})
+    cut = settled(joined(places.drop("__c"), times, keys))
+    tied = cut.filter("__few < __same")
+    if tied.isEmpty():
+        return cut.select(*keys, "__v", "__t", F.lit(None).cast("double").alias("__h"), F.lit(None).cast("long").alias("__g"))
+    open_rows = joined(df, F.broadcast(tied), keys).filter((F.col(column) == F.col("__v")) & (_time() == F.col("__t")))
+    hashes = nth_values(open_rows.select(*keys, _row_hash(df).alias("__hash"), "__few"), keys, "__hash", "__few")
+    cells = hashes.select(*keys, F.col("__v").alias("__h"), F.when(F.col("__left") < F.col("__same"), F.col("__left")).alias("__g"))
+    return settled(joined(cut.drop("__few", "__same"), cells, keys, "left"))
+
+
+def _time() -> Column:
+    """Microseconds, exact as a double up to the year 2255; rows without a time come first."""
+    return F.coalesce(F.unix_micros("timestamp").cast("double"), F.lit(float("-inf")))
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """53 bits of a hash of the row, which a double holds."""
+    return F.shiftright(F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]), 11).cast("double")
+
+
 def regimes(df: DataFrame, volatility: str = "realized_vol_30s", keys: Sequence[str] = ("symbol",), large: bool | None = None) -> DataFrame:
     """Adds tercile labels of volatility, spread and depth, where these columns exist.
 
     Terciles are right-closed quantile bins. Where edges coincide there are no
     labels, unless the column has fewer than three values: then rows are cut by
-    their rank in order of value and time, with as many labels as values.
+    their rank in order of value and time, with as many labels as values. Rows of
+    one value and time are ordered by a hash of the row, so every run cuts them
+    alike. The place of the cut is found by counts; only rows that are equal in
+    all columns and lie on it are numbered.
     """
     sources = {"vol_regime": volatility, "spread_regime": "spread", "liq_regime": "total_depth"}
     used = {k: c for k, c in sources.items() if c in df.columns}
     names = {c: k for k, c in used.items()}
-    long = unpivoted(df, keys, list(names))
+    long, by, v = unpivoted(df, keys, list(names)), [*keys, "feature"], F.col("value")
     large = any_larger(df, keys) if large is None else large
-    cuts = exact_quantiles(long, [*keys, "feature"], "value", [0.0, 1 / 3, 2 / 3, 1.0], large=large)
-    counts = long.groupBy(*keys, "feature").agg(F.least(F.count_distinct("value"), F.lit(3)).alias("__d"), F.count("value").alias("__n"))
+    cuts = exact_quantiles(long, by, "value", [0.0, 1 / 3, 2 / 3, 1.0], large=large)
+    ends = settled(long.groupBy(*by).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")))
+    counted = joined(long, ends, by).groupBy(*by).agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("n").alias("n"), F.count(F.when(v == F.col("low"), 1)).alias("n_low"), F.count(F.when((v > F.col("low")) & (v < F.col("high")), 1)).alias("n_between"))
+    distinct = F.when(F.col("n") == 0, 0).when(F.col("low") == F.col("high"), 1).when(F.col("n_between") == 0, 2).otherwise(3)
+    table = settled(joined(cuts, counted.withColumn("d", distinct), by))  # read again for each column below
     of = lambda c, x: F.first(F.when(F.col("feature") == c, F.col(x)), ignorenulls=True)
-    facts = joined(cuts, counts, [*keys, "feature"]).groupBy(*keys).agg(*[of(c, x).alias(f"{n}{k}") for c, k in names.items() for x, n in (("q", "__e_"), ("__d", "__d_"), ("__n", "__n_"))])
-    facts = settled(facts)  # read again for each column below
-    out = joined(df, facts, keys)
-    few = [k for k in used if facts.filter((F.col(f"__d_{k}") < 3) & (F.col(f"__d_{k}") > 0)).limit(1).count()]
+    out = joined(df, settled(table.groupBy(*keys).agg(*[of(c, x).alias(f"__{x}_{k}") for c, k in names.items() for x in ("q", "d")])), keys)
+    hashed, numbered = _row_hash(df), []
     for k, c in used.items():
-        edges, labels, x = F.col(f"__e_{k}"), REGIMES[k], F.col(c)
+        edges, labels, x, d = F.col(f"__q_{k}"), REGIMES[k], F.col(c), F.col(f"__d_{k}")
         label = F.when(x <= edges[1], labels[0]).when(x <= edges[2], labels[1]).when(x.isNotNull(), labels[2])
         value = F.when(F.size(F.array_distinct(edges)) == 4, label)
-        if k in few:
-            # the place in order of value and time: rows of lower values, and the number in time among the rows of this one
-            sizes = out.groupBy(*keys, c).agg(F.count(x).alias("__size"))
-            before = Window.partitionBy(*keys).orderBy(x.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-            lower = sizes.select(*keys, c, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__lower"))
-            out = joined(with_row_number(out, [*keys, c], rn="__rn", n_rows="__rows"), lower, [*keys, c])
-            m, n = F.col(f"__d_{k}"), F.col(f"__n_{k}")
-            at = F.least(m - 1, F.greatest(F.lit(0), F.ceil((F.col("__lower") + F.col("__rn")) * m / F.greatest(n - 1, F.lit(1))) - 1))
-            value = F.when(m < 3, F.when(x.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in labels]), (at + 1).cast("int")))).otherwise(value)
-        out = out.withColumn(k, value).drop("__lower", "__rn", "__rows")
-    return out.drop(*[f"__{p}_{k}" for k in used for p in "edn"])
+        value = F.when(d == 1, F.when(x.isNotNull(), labels[0])).otherwise(value)
+        two = table.filter((F.col("feature") == c) & (F.col("d") == 2))
+        if not two.isEmpty():
+            cut = _first_label(df, two, keys, c)
+            out = joined(out, cut.withColumnsRenamed({f"__{p}": f"__{p}_{k}" for p in "vthg"}), keys, "left")
+            at, t, h, g = [F.col(f"__{p}_{k}") for p in "vthg"]
+            before = (x < at) | ((x == at) & ((_time() < t) | ((_time() == t) & (h.isNull() | (hashed <= h)))))
+            value = F.when(d == 2, F.when(x.isNotNull(), F.when(before, labels[0]).otherwise(labels[1]))).otherwise(value)
+            if not cut.filter("__g is not null").isEmpty():
+                out = out.withColumn(f"__on_{k}", F.coalesce(g.isNotNull() & (x == at) & (_time() == t) & (hashed == h), F.lit(False)))
+                numbered.append(k)
+        out = out.withColumn(f"__label_{k}", value)
+    if numbered:
+        on = reduce(lambda a, b: a | b, [F.col(f"__on_{k}") for k in numbered])
+        some = out.filter(on)
+        for k in numbered:
+            equal = Window.partitionBy(*keys, F.when(~F.col(f"__on_{k}"), hashed)).orderBy(F.lit(1))
+            late = F.col(f"__on_{k}") & (F.row_number().over(equal) > F.col(f"__g_{k}"))
+            some = some.withColumn(f"__label_{k}", F.when(late, REGIMES[k][1]).otherwise(F.col(f"__label_{k}")))
+        out = out.filter(~on).unionByName(some)
+    return out.select(*[c for c in df.columns if c not in used], *[F.col(f"__label_{k}").alias(k) for k in used])
 
 
 def regime_ic(df: DataFrame, target: str, regime_cols: Sequence[str], y_pred: str = "y_pred", keys: Sequence[str] = ("symbol",), least: int = LEAST, large: bool | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from bookflow.config import SCENARIOS, Config, micros
-from bookflow.operators import backtest, book, clean, features, grid, models, signal, splits, stats
+from bookflow.operators import backtest, book, clean, features, grid, models, ranks, signal, splits, stats
 from bookflow.sources import imports, tables
 from bookflow.streaming import capture
 
@@ -148,6 +148,31 @@ def test_regimes_with_few_values(spark):
     assert set(got.vol_regime) == {"low_vol", "mid_vol", "high_vol"} and set(got.spread_regime) == {"tight", "mid"} and set(got.liq_regime) == {"thin"}
 
 
+def test_regimes_cut_rows_of_one_time_alike(spark):
+    """Ties in time that lie on the cut: the same rows get the first label in whatever order the table comes."""
+    rows = [("A", i, T0, 1.0 + (i % 4 == 0), float(i * 7 % 13)) for i in range(101)]
+    found = []
+    for order in (rows, rows[::-1]):
+        got = signal.regimes(spark.createDataFrame(order, "symbol string, id int, timestamp timestamp, spread double, x double").coalesce(1), "x")
+        found.append({r["id"] for r in got.filter("spread_regime = 'tight'").collect()})
+    assert found[0] == found[1] and len(found[0]) == 51 and not any(i % 4 == 0 for i in found[0])
+
+
+def test_regimes_cut_in_order_of_value_and_time(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 20)
+    rng = np.random.default_rng(3)
+    rows = [("B", i, T0 + dt.timedelta(seconds=int(rng.integers(0, 60))), float(rng.integers(1, 3)), 5.0) for i in range(200)]
+    rows += [("C", 0, T0, 2.0, 5.0)] * 7 + [("D", 0, T0, 1.0, None)] * 2 + [("D", 0, T0, 2.0, None)] * 7  # equal rows
+    rows += [(None, 0, None, 1.0, None), (None, 1, T0, 1.0, None), (None, 2, T0, 2.0, None)]  # no time, no key
+    got = signal.regimes(spark.createDataFrame(rows, "symbol string, id int, timestamp timestamp, spread double, total_depth double"), "x").toPandas()
+    assert len(got) == len(rows) and set(got[got.symbol == "C"].spread_regime) == {"tight"} and got[got.symbol == "D"].liq_regime.isna().all()
+    for key in ("B", "D", None):
+        table = got[got.symbol.isna()] if key is None else got[got.symbol == key]
+        tight, mid = table[table.spread_regime == "tight"], table[table.spread_regime == "mid"]
+        places = lambda t: list(zip(t.spread, t.timestamp.fillna(pd.Timestamp(0)), strict=True))
+        assert len(tight) == (len(table) + 1) // 2 and len(tight) + len(mid) == len(table) and max(places(tight)) <= min(places(mid))
+
+
 def test_holds_match_a_plain_scan(spark):
     rng = np.random.default_rng(7)
     for hold in (1, 3, 5):
