@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,7 +135,8 @@ def rolling_median_std(df: DataFrame, value: str, before: int, after: int, min_p
     """Adds roll_median and roll_std of a frame of rows around each row, and session_rows.
 
     Sessions are cut into chunks of rows that carry the neighbouring rows their
-    frames need, so one large session is many tasks.
+    frames need, so one large session is many tasks. A task holds a chunk as an
+    Arrow table; only the value becomes a pandas series.
     """
     w = Window.partitionBy(*session)
     numbered = df.withColumn("__rn", F.row_number().over(w.orderBy("timestamp", "seq")) - 1).withColumn("session_rows", F.count(F.lit(1)).over(w))
@@ -142,18 +145,20 @@ def rolling_median_std(df: DataFrame, value: str, before: int, after: int, min_p
     dealt = numbered.withColumn("__own", F.floor(F.col("__rn") / chunk).cast("int")).withColumn("__chunk", F.explode(F.sequence(low, high)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("__rn").schema.fields)
 
-    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn", kind="stable")
-        size = before + after + 1
-        x = pdf[value]
+    def roll(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["__rn"]))
+        x = table[value].to_pandas()
         padded = pd.concat([x, pd.Series([float("nan")] * after)], ignore_index=True)
-        roll = padded.rolling(size, min_periods=min_periods)
-        pdf["roll_median"] = roll.median().to_numpy()[after:]
-        pdf["roll_std"] = roll.std().to_numpy()[after:]
-        own = pdf[pdf["__own"] == pdf["__chunk"]]
-        return own.drop(columns=["__rn", "__own", "__chunk"])
-
-    return dealt.groupBy(*session, "__chunk").applyInPandas(roll, fields + ", roll_median double, roll_std double")
+        rolled = padded.rolling(before + after + 1, min_periods=min_periods)
+        for name, found in (("roll_median", rolled.median()), ("roll_std", rolled.std())):
+            table = table.append_column(name, pa.array(found.to_numpy()[after:], from_pandas=True))
+        own = table.filter(pc.equal(table["__own"], table["__chunk"])).drop_columns(["__rn", "__own", "__chunk"])
+        for i, f in enumerate(own.schema):
+            if pa.types.is_floating(f.type):  # NaN is no value
+                own = own.set_column(i, f.name, pc.if_else(pc.is_nan(own[f.name]), pa.scalar(None, f.type), own[f.name]))
+        return own
+
+    return dealt.groupBy(*session, "__chunk").applyInArrow(roll, fields + ", roll_median double, roll_std double")
 
 
 def drop_price_outliers(df: DataFrame, window: int = 1000, min_periods: int = 10, n_std: float = 5.0, guard: int = 100, session: Sequence[str] = SESSION, chunk: int = CHUNK) -> DataFrame:

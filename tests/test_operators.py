@@ -148,6 +148,20 @@ def test_regimes_with_few_values(spark):
     assert set(got.vol_regime) == {"low_vol", "mid_vol", "high_vol"} and set(got.spread_regime) == {"tight", "mid"} and set(got.liq_regime) == {"thin"}
 
 
+def test_chunks_of_trades_stay_arrow_tables(spark):
+    """A chunk's rows become no Python objects; chunks, gaps and NaN change no value."""
+    x = np.random.default_rng(5).normal(size=90)
+    rows = [("A", DAY, T0 + dt.timedelta(seconds=i), i, None if i == 7 else float("nan") if i == 8 else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, date date, timestamp timestamp, seq long, price double")
+    got = clean.rolling_median_std(df, "price", 6, 5, 4, chunk=20)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().toString()
+    got = got.toPandas().sort_values("seq").reset_index(drop=True)
+    plain = pd.concat([pd.Series([r[4] for r in rows], dtype=float), pd.Series([np.nan] * 5)], ignore_index=True).rolling(12, min_periods=4)
+    assert len(got) == 90 and set(got.session_rows) == {90} and got.price.isna().sum() == 2
+    for name, want in (("roll_median", plain.median()), ("roll_std", plain.std())):
+        assert np.allclose(got[name], want[5:], equal_nan=True)
+
+
 def test_regimes_cut_rows_of_one_time_alike(spark):
     """Ties in time that lie on the cut: the same rows get the first label in whatever order the table comes."""
     rows = [("A", i, T0, 1.0 + (i % 4 == 0), float(i * 7 % 13)) for i in range(101)]
